@@ -17,8 +17,11 @@ PROMPT_FIELDS = ("title", "features", "company", "reviews", "context")
 
 
 def point_text(points: Column) -> Column:
-    """An array of points as one line each: rank, term and number of reviews."""
-    return F.array_join(
+    """An array of points as one line each: rank, term and number of reviews.
+
+    Null when there is no point.
+    """
+    lines = F.array_join(
         F.transform(
             points,
             lambda p: F.concat(
@@ -28,6 +31,7 @@ def point_text(points: Column) -> Column:
         ),
         "\n",
     )
+    return F.when(F.size(points) > 0, lines)
 
 
 def prompt_table(subjects: DataFrame, tasks: Sequence[str], key: str = "subject") -> DataFrame:

@@ -30,7 +30,8 @@ def all_reviews(
 
 
 def _shape(df: DataFrame, subject: str, order: Column) -> DataFrame:
-    return df.select(
+    # Named here, so that both readers of this table share one shuffle.
+    return df.where(F.col(subject).isNotNull()).select(
         F.col(subject).alias("subject"), order.cast("bigint").alias("ord"), "rating", "text"
     )
 
@@ -154,10 +155,15 @@ def pain_points(reviews: DataFrame, k: int = PAIN_K, **kw) -> DataFrame:
     return mine_points(reviews, pain_k=k, **kw).where(F.col("kind") == PAIN).drop("kind")
 
 
-def point_list(points: DataFrame, kind: str, name: str) -> DataFrame:
-    """A subject's points of one kind as an array in rank order (at most k long)."""
-    rows = F.array_sort(F.collect_list(F.struct("rank", "term", "own_df", "quote")))
-    return points.where(F.col("kind") == kind).groupBy("subject").agg(rows.alias(name))
+def point_lists(points: DataFrame) -> DataFrame:
+    """``subject, praise, pain``: each subject's points as two arrays in rank order.
+
+    At most a handful of points per subject, so one small aggregate serves every
+    later step and the mining runs once.
+    """
+    point = F.struct("rank", "term", "own_df", "quote")
+    of_kind = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, point)))
+    return points.groupBy("subject").agg(of_kind(PRAISE).alias("praise"), of_kind(PAIN).alias("pain"))
 
 
 def with_context(task: DataFrame, *contexts: DataFrame, key: str = "subject") -> DataFrame:
@@ -167,50 +173,40 @@ def with_context(task: DataFrame, *contexts: DataFrame, key: str = "subject") ->
     return task
 
 
-def improvement_candidate(points: DataFrame, products: DataFrame) -> DataFrame:
+def improvement_candidate(lists: DataFrame, products: DataFrame) -> DataFrame:
     """The first pain point per product that its listed features do not name already.
 
-    ``products`` holds ``subject, title, features`` (text). Every product gets a
-    row, with nulls when nothing is left to propose; praised features and pain
-    points come along as context.
+    ``lists`` comes from ``point_lists``; ``products`` holds ``subject, title,
+    features`` (text). Every product gets a row, with nulls when nothing is left
+    to propose; praised features and pain points come along as context.
     """
-    listed = products.select("subject", F.explode(terms(F.col("features"))).alias("term"))
-    open_points = points.where(F.col("kind") == PAIN).join(listed, ["subject", "term"], "left_anti")
-    best = open_points.groupBy("subject").agg(
-        F.min(F.struct("rank", "term", "own_df", "quote")).alias("best")
+    listed = F.coalesce(terms(F.col("features")), F.array().cast("array<string>"))
+    named = with_context(products.select("subject", "title", "features"), lists)
+    first = F.get(
+        F.filter("pain", lambda p: ~F.array_contains(F.col("listed"), p["term"])), F.lit(0)
     )
-    picked = best.select(
-        "subject",
+    return named.withColumn("listed", listed).withColumn("best", first).select(
+        "subject", "title", "features",
         F.col("best.term").alias("improve_term"),
         F.col("best.own_df").alias("evidence"),
         F.col("best.quote").alias("quote"),
-    )
-    return with_context(
-        products.select("subject", "title", "features"),
-        picked,
-        point_list(points, PAIN, "pain_context"),
-        point_list(points, PRAISE, "praise_context"),
+        "pain", "praise",
     )
 
 
 def strategy_candidates(
-    points: DataFrame, profiles: DataFrame, max_items: int = STRATEGY_K
+    lists: DataFrame, profiles: DataFrame, max_items: int = STRATEGY_K
 ) -> DataFrame:
     """Up to two recommendations per company: its top pain points, with context.
 
-    ``profiles`` comes from ``company_profile``; companies without a pain point
-    have no recommendation.
+    ``lists`` comes from ``point_lists``, ``profiles`` from ``company_profile``;
+    companies without a pain point have no recommendation.
     """
-    top = points.where((F.col("kind") == PAIN) & (F.col("rank") <= max_items))
-    return with_context(
-        top.select(
-            "subject", "rank", F.col("term").alias("improve_term"),
-            F.col("own_df").alias("evidence"), "quote",
-        ),
-        point_list(points, PRAISE, "strengths"),
-        point_list(points, PAIN, "challenges"),
-        profiles,
+    top = F.inline(F.slice("pain", 1, max_items)).alias("rank", "improve_term", "evidence", "quote")
+    found = lists.select(
+        "subject", top, F.col("praise").alias("strengths"), F.col("pain").alias("challenges")
     )
+    return with_context(found, profiles)
 
 
 PROFILE_FIELDS = ("business_type", "core_offerings", "customer_base", "market_presence")

@@ -125,7 +125,7 @@ def s5(spark, sf):
 @query(
     "s6_review_pages",
     with_views(
-        "SELECT company, page_no, status_code, length(html) AS html_chars FROM fx_pages", "fx_pages"
+        "SELECT company, page_no, status_code, cast(length(html) AS integer) AS html_chars FROM fx_pages", "fx_pages"
     ),
 )
 def s6(spark, sf):
@@ -616,7 +616,7 @@ def a7(spark, sf):
 def _points_sql(kind: str, source: str, exclude: str = "", extra: dict | None = None) -> str:
     needs = [source] if source in dv.SQL_VIEWS else []
     return with_views(
-        f"""SELECT subject, rnk AS rank, term, own_df, diff, quote FROM fx_points
+        f"""SELECT subject, cast(rnk AS integer) AS rank, term, own_df, diff, quote FROM fx_points
             WHERE kind = '{kind}'""",
         *needs,
         extra=(extra or {}) | dv.sql_points(source, exclude),
@@ -647,7 +647,7 @@ _UNRATED = {"fx_unrated": 'SELECT subject, id AS ord, "text" FROM fx_text'}
 @query(
     "a8_strengths_by_word_table",
     with_views(
-        """SELECT subject, rnk AS rank, term, own_df, diff, quote FROM fx_points
+        """SELECT subject, cast(rnk AS integer) AS rank, term, own_df, diff, quote FROM fx_points
            WHERE kind = 'praise'""",
         "fx_text",
         "fx_words",
@@ -708,13 +708,12 @@ _BEST_CHANGE = {
     ),
 )
 def a10(spark, sf):
-    found = mining.improvement_candidate(
-        mining.mine_points(_capped(spark, sf)), dv.subjects(spark, sf)
-    )
+    lists = mining.point_lists(mining.mine_points(_capped(spark, sf)))
+    found = mining.improvement_candidate(lists, dv.subjects(spark, sf))
     return found.select(
         "subject", "title", "improve_term", "evidence", "quote",
-        insights.point_text(F.col("pain_context")).alias("pain"),
-        insights.point_text(F.col("praise_context")).alias("praise"),
+        insights.point_text(F.col("pain")).alias("pain"),
+        insights.point_text(F.col("praise")).alias("praise"),
     )
 
 
@@ -731,7 +730,7 @@ _COMPANY = {
 @query(
     "a11_strategy_candidates",
     with_views(
-        """SELECT t.subject, t.rnk AS rank, t.term AS improve_term, t.own_df AS evidence, t.quote,
+        """SELECT t.subject, cast(t.rnk AS integer) AS rank, t.term AS improve_term, t.own_df AS evidence, t.quote,
                   praise AS strengths, pain AS challenges, business_type, market_presence
            FROM fx_points t LEFT JOIN fx_praise a ON t.subject = a.subject
            LEFT JOIN fx_pain b ON t.subject = b.subject
@@ -743,9 +742,8 @@ _COMPANY = {
     ),
 )
 def a11(spark, sf):
-    found = mining.strategy_candidates(
-        mining.mine_points(_all(spark, sf)), _company_profiles(spark, sf)
-    )
+    lists = mining.point_lists(mining.mine_points(_all(spark, sf)))
+    found = mining.strategy_candidates(lists, _company_profiles(spark, sf))
     return found.select(
         "subject", "rank", "improve_term", "evidence", "quote",
         insights.point_text(F.col("strengths")).alias("strengths"),
@@ -765,8 +763,9 @@ def a11(spark, sf):
     ),
 )
 def j3(spark, sf):
-    praise = mining.point_list(mining.mine_points(_capped(spark, sf)), mining.PRAISE, "praise")
-    joined = mining.with_context(dv.subjects(spark, sf).select("subject", "title"), praise)
+    lists = mining.point_lists(mining.mine_points(_capped(spark, sf)))
+    products = dv.subjects(spark, sf).select("subject", "title")
+    joined = mining.with_context(products, lists.select("subject", "praise"))
     return joined.withColumn("praise", insights.point_text(F.col("praise")))
 
 
@@ -830,7 +829,7 @@ def a12_company(spark, sf):
 @query(
     "w1_top_reviews_per_product",
     with_views(
-        f"""SELECT parent_asin, review_no, id, rating, "text" FROM ({_NUMBERED})
+        f"""SELECT parent_asin, cast(review_no AS integer) AS review_no, id, rating, "text" FROM ({_NUMBERED})
             WHERE review_no <= 50""",
         "fx_reviews",
     ),
@@ -857,7 +856,7 @@ def w2(spark, sf):
 @query(
     "w3_number_reviews",
     with_views(
-        f"SELECT parent_asin, id, review_no FROM ({_NUMBERED}) WHERE review_no <= 10", "fx_reviews"
+        f"SELECT parent_asin, id, cast(review_no AS integer) AS review_no FROM ({_NUMBERED}) WHERE review_no <= 10", "fx_reviews"
     ),
 )
 def w3(spark, sf):
@@ -1103,7 +1102,9 @@ def x12(spark, sf):
 def x12_company(spark, sf):
     found = flows.parsed_company_reviews(dv.pages(spark, sf, "html", upto=4), **AD)
     points = mining.mine_points(flows.rated_company_reviews(found, dv.words(spark, sf)))
-    return flows.company_prompt_table(found, points, dv.host_profiles(spark, sf))
+    return flows.company_prompt_table(
+        found, mining.point_lists(points), dv.host_profiles(spark, sf)
+    )
 
 
 @query(
@@ -1378,7 +1379,7 @@ def e1(spark, sf):
 @query(
     "e2_review_keywords",
     with_views(
-        """SELECT subject, rnk AS rank, term, tf, df, score FROM (
+        """SELECT subject, cast(rnk AS integer) AS rank, term, tf, df, score FROM (
              SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, term) AS rnk FROM (
                SELECT t.subject, t.term, tf, df, round(tf * ln((SELECT count(DISTINCT subject) FROM fx_text) / df), 4) AS score
                FROM fx_tf t JOIN (SELECT term, count(*) AS df FROM fx_tf GROUP BY term) d ON t.term = d.term))

@@ -9,9 +9,8 @@ from voxtally.functions.text import company_name
 from voxtally.operators.clean import load_metadata, load_reviews
 from voxtally.operators.insights import insight_bundle, point_text, prompt_table
 from voxtally.operators.mining import (
-    PAIN, PRAISE, PROFILE_FIELDS, all_reviews, company_profile, improvement_candidate,
-    mine_points, most_helpful, page_position, point_list, rate_by_words, strategy_candidates,
-    with_context,
+    PROFILE_FIELDS, STRATEGY_K, all_reviews, company_profile, improvement_candidate, mine_points,
+    most_helpful, page_position, point_lists, rate_by_words, with_context,
 )
 from voxtally.operators.pages import (
     MIN_REVIEWS, REVIEW_CLASS, company_reviews, min_review_gate, page_limits, passing_reviews,
@@ -42,13 +41,12 @@ def _outputs(subjects: DataFrame, tasks: tuple[str, ...], *texts) -> DataFrame:
     return subjects.select("subject", F.inline(rows))
 
 
-def product_outputs(points: DataFrame, products: DataFrame) -> DataFrame:
+def product_outputs(lists: DataFrame, products: DataFrame) -> DataFrame:
     """The three findings of every product in long form."""
-    found = improvement_candidate(points, products)
+    found = improvement_candidate(lists, products)
     proposal = F.concat(F.lit("Improve "), F.col("improve_term"))
     return _outputs(
-        found, PRODUCT_TASKS, point_text(F.col("praise_context")),
-        point_text(F.col("pain_context")), proposal,
+        found, PRODUCT_TASKS, point_text(F.col("praise")), point_text(F.col("pain")), proposal
     )
 
 
@@ -60,8 +58,8 @@ def product_insights(
     ``reviews``: subject, id, rating, helpful_vote, text. ``products``: subject,
     title, features.
     """
-    points = mine_points(most_helpful(reviews, k))
-    return insight_bundle(product_outputs(points, products), PRODUCT_TASKS)
+    lists = point_lists(mine_points(most_helpful(reviews, k)))
+    return insight_bundle(product_outputs(lists, products), PRODUCT_TASKS)
 
 
 def product_prompt_table(
@@ -71,10 +69,8 @@ def product_prompt_table(
     texts = reviews_text_numbered(reviews, "subject", k).withColumnRenamed(
         "reviews_text", "reviews"
     )
-    points = mine_points(most_helpful(reviews, k))
-    findings = with_context(
-        products, texts, point_list(points, PRAISE, "praise"), point_list(points, PAIN, "pain")
-    )
+    lists = point_lists(mine_points(most_helpful(reviews, k)))
+    findings = with_context(products, texts, lists)
     context = F.concat_ws("\n", point_text(F.col("pain")), point_text(F.col("praise")))
     return prompt_table(
         findings.select("subject", "title", "features", "reviews", context.alias("context")),
@@ -92,26 +88,18 @@ def profile_text() -> Column:
     )
 
 
-def strategy_text(recommendations: DataFrame) -> DataFrame:
-    """Up to two recommendations per company as one text."""
-    rows = F.array_sort(F.collect_list(F.struct("rank", "improve_term")))
-    return recommendations.groupBy("subject").agg(
-        F.array_join(F.transform(rows, lambda r: F.concat(F.lit("Improve "), r["improve_term"])), "\n")
-        .alias("strategy")
-    )
-
-
-def company_outputs(points: DataFrame, profiles: DataFrame) -> DataFrame:
+def company_outputs(lists: DataFrame, profiles: DataFrame) -> DataFrame:
     """The four findings of every company in long form; ``profiles`` lists the companies."""
-    found = with_context(
-        profiles,
-        point_list(points, PRAISE, "praise"),
-        point_list(points, PAIN, "pain"),
-        strategy_text(strategy_candidates(points, profiles)),
+    found = with_context(profiles, lists)
+    strategy = F.array_join(
+        F.transform(
+            F.slice("pain", 1, STRATEGY_K), lambda p: F.concat(F.lit("Improve "), p["term"])
+        ),
+        "\n",
     )
     return _outputs(
         found, COMPANY_TASKS, profile_text(), point_text(F.col("praise")),
-        point_text(F.col("pain")), F.col("strategy"),
+        point_text(F.col("pain")), F.when(F.size("pain") > 0, strategy),
     )
 
 
@@ -142,10 +130,10 @@ def company_insights(
     parsed = parsed_company_reviews(pages, tag, css_class, max_pages)
     outcomes = min_review_gate(pages, parsed, page_limits(pages, max_pages), n)
     reviews = passing_reviews(parsed, outcomes)
-    mined = mine_points(rated_company_reviews(reviews, words))
+    lists = point_lists(mine_points(rated_company_reviews(reviews, words)))
     passed = outcomes.where(F.col("outcome") == "ok").select(F.col("company").alias("subject"))
     return insight_bundle(
-        company_outputs(mined, company_profile(passed, profiles)), COMPANY_TASKS
+        company_outputs(lists, company_profile(passed, profiles)), COMPANY_TASKS
     )
 
 
@@ -161,15 +149,13 @@ def rated_company_reviews(reviews: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def company_prompt_table(
-    reviews: DataFrame, points: DataFrame, profiles: DataFrame
+    reviews: DataFrame, lists: DataFrame, profiles: DataFrame
 ) -> DataFrame:
     """Prompts of the four company tasks, the last with all findings as context."""
     texts = reviews_text_plain(reviews).select(
         F.col("company").alias("subject"), F.col("reviews_text").alias("reviews")
     )
-    findings = with_context(
-        profiles, texts, point_list(points, PRAISE, "praise"), point_list(points, PAIN, "pain")
-    )
+    findings = with_context(profiles, texts, lists)
     context = F.concat_ws(
         "\n", profile_text(), point_text(F.col("praise")), point_text(F.col("pain"))
     )
