@@ -28,7 +28,9 @@ def review_keywords(reviews: DataFrame, k: int = 10) -> DataFrame:
         .groupBy("subject", "term")
         .agg(F.count("*").alias("tf"))
     )
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # Reading ``tf`` here keeps this branch equal to the other, so the texts are
+    # exploded and shuffled once.
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     total = reviews.agg(F.count_distinct("subject")).scalar()
     scored = tf.join(df, "term").withColumn(
         "score", F.round(F.col("tf") * F.log(total / F.col("df")), 4)

@@ -126,10 +126,16 @@ def rank_points(
     )
 
 
-def with_quotes(points: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Adds the quoted review's text to the few chosen points."""
+def with_quotes(points: DataFrame, reviews: DataFrame, ids_may_repeat: bool = False) -> DataFrame:
+    """Adds the quoted review's text to the few chosen points.
+
+    An inner join, which lets Catalyst send the points to the texts when they are
+    few: every point has its review. ``ids_may_repeat`` is for exact copies that
+    share an id; their equal quotes are folded to one.
+    """
     texts = _polar(reviews).select("subject", "ord", F.col("text").alias("quote"))
-    return points.join(texts, ["subject", "ord"], "left").drop("ord")
+    quoted = points.join(texts, ["subject", "ord"]).drop("ord")
+    return quoted.dropDuplicates(["subject", "kind", "rank"]) if ids_may_repeat else quoted
 
 
 def mine_points(
@@ -137,12 +143,13 @@ def mine_points(
     praised_k: int = PRAISED_K,
     pain_k: int = PAIN_K,
     max_share: float | None = None,
+    ids_may_repeat: bool = False,
 ) -> DataFrame:
     """``subject, kind, rank, term, own_df, diff, quote`` for both kinds in one pass."""
     stats = term_stats(reviews)
     if max_share is not None:
         stats = stats.join(common_terms(reviews, max_share), "term", "left_anti")
-    return with_quotes(rank_points(stats, praised_k, pain_k), reviews)
+    return with_quotes(rank_points(stats, praised_k, pain_k), reviews, ids_may_repeat)
 
 
 def praised_features(reviews: DataFrame, k: int = PRAISED_K, **kw) -> DataFrame:

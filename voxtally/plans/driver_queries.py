@@ -6,8 +6,10 @@ read; the unit tests cover those.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtally.functions import prompts as pr
@@ -25,12 +27,16 @@ from voxtally.sources import readers, writers
 from voxtally.streaming import ingest
 from voxtally.streaming import tasks as live
 
+# Executors get the stand-in model below by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 TITLE, SEARCH = "blue bolt", "ring"
+MODEL_FAILURE = dv.OTHER_FAILURE_TEXT
 AD = {"tag": "div", "css_class": "ad"}
 
 
@@ -124,13 +130,15 @@ def s5(spark, sf):
 
 @query(
     "s6_review_pages",
-    with_views(
-        "SELECT company, page_no, status_code, cast(length(html) AS integer) AS html_chars FROM fx_pages", "fx_pages"
-    ),
+    f"""SELECT {dv.sql_host('url')} AS company, page_id % 4 + 1 AS page_no,
+               cast(length(html) AS integer) AS html_chars FROM pages""",
 )
 def s6(spark, sf):
-    saved = dv.pages(spark, sf, F.length("html").alias("html_chars"))
-    return readers.clean_pages(saved).select("company", "page_no", "status_code", "html_chars")
+    saved = table(spark, sf, "pages").select(
+        F.col("url").alias("company"), (F.col("page_id") % 4 + 1).alias("page_no"),
+        F.length("html").alias("html_chars"),
+    )
+    return readers.clean_pages(saved)
 
 
 @query(
@@ -1325,7 +1333,7 @@ def _length_model():
 
     def answer(prompt: str, model: str | None) -> str:
         if len(prompt) % 2 == 0:
-            raise ValueError(dv.OTHER_FAILURE_TEXT)
+            raise ValueError(MODEL_FAILURE)
         return f"{model}: {len(prompt)}"
 
     return answer
