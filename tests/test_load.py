@@ -113,7 +113,7 @@ def test_categories_in_one_scan(spark, tmp_path, raw):
         spark, [str(tmp_path / "one"), str(tmp_path / "two")], schemas.RAW_REVIEW_SCHEMA
     )
     assert both.count() == 2 * raw.count()
-    assert both.select("source_file").distinct().count() == 2
+    assert both.select("source_path").distinct().count() == 2
 
 
 def test_user_file(spark, tmp_path):

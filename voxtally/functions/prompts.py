@@ -45,6 +45,7 @@ TEMPLATES = {
     ),
 }
 
+# The models in use and the tasks that get the large one.
 SMALL_MODEL, LARGE_MODEL = "gpt-4o-mini", "gpt-4o"
 LARGE_MODEL_TASKS = ("improvement", "strategy")
 MISSING = "Not available"

@@ -72,15 +72,16 @@ def s1(spark, sf):
 
 @query(
     "s2_scan_categories",
-    """SELECT r_name AS name, 'region.parquet' AS source_file FROM region
-       UNION ALL SELECT n_name, 'nation.parquet' FROM nation""",
+    """SELECT doc_id, 'documents' AS category FROM documents
+       UNION ALL SELECT doc_id, 'labels' FROM labels""",
 )
 def s2(spark, sf):
-    parts = {
-        f"{t}.parquet": table(spark, sf, t).select(F.col(c).alias("name"))
-        for t, c in (("region", "r_name"), ("nation", "n_name"))
-    }
-    return readers.union_categories(parts).withColumnRenamed("category", "source_file")
+    schema = table(spark, sf, "labels").select("doc_id").schema
+    paths = [f"{sf}/{t}.parquet" for t in ("documents", "labels")]
+    both = readers.scan_categories(spark, paths, schema)
+    # The table's own name, whether it is one file or a folder of files.
+    category = F.regexp_extract("source_path", r"/(documents|labels)\.parquet", 1)
+    return both.select("doc_id", category.alias("category"))
 
 
 _RAW_LOADED = """SELECT rating, title, "text", asin, parent_asin, epoch_s, helpful_vote FROM fx_raw
@@ -192,7 +193,7 @@ def s9(spark, sf):
 @query(
     "f1_valid_epoch",
     with_views(
-        """SELECT helpful_vote, epoch_s, epoch_s BETWEEN 0 AND 2147483647 AS valid FROM fx_raw""",
+        """SELECT helpful_vote, epoch_s, cast(epoch_s BETWEEN 0 AND 2147483647 AS integer) AS valid FROM fx_raw""",
         "fx_raw",
     ),
 )
@@ -200,7 +201,7 @@ def f1(spark, sf):
     return dv.raw_reviews(spark, sf).select(
         "helpful_vote",
         F.col("timestamp").alias("epoch_s"),
-        tm.valid_epoch(F.col("timestamp")).alias("valid"),
+        tm.valid_epoch(F.col("timestamp")).cast("int").alias("valid"),
     )
 
 
@@ -923,7 +924,7 @@ def l3(spark, sf):
 @query(
     "u1_union_categories",
     with_views(
-        """SELECT title AS category, count(*) AS row_count, sum(rating) > 0 AS rated FROM fx_raw
+        """SELECT title AS category, count(*) AS row_count, cast(sum(rating) > 0 AS integer) AS rated FROM fx_raw
            WHERE title IN ('click', 'view') GROUP BY title""",
         "fx_raw",
     ),
@@ -937,7 +938,7 @@ def u1(spark, sf):
         }
     )
     return both.groupBy("category").agg(
-        F.count("*").alias("row_count"), (F.sum("rating") > 0).alias("rated")
+        F.count("*").alias("row_count"), (F.sum("rating") > 0).cast("int").alias("rated")
     )
 
 
@@ -1007,10 +1008,10 @@ def x6(spark, sf):
     )
 
 
-@query("x7_contains", """SELECT doc_id, contains("text", '.') AS has_dot FROM documents""")
+@query("x7_contains", """SELECT doc_id, cast(contains("text", '.') AS integer) AS has_dot FROM documents""")
 def x7(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", F.col("text").contains(".").alias("has_dot")
+        "doc_id", F.col("text").contains(".").cast("int").alias("has_dot")
     )
 
 
@@ -1177,13 +1178,13 @@ def x17(spark, sf):
 @query(
     "x18_terminal_status",
     with_views(
-        """SELECT status IN ('completed', 'failed') AS terminal, count(*) AS task_count
+        """SELECT cast(status IN ('completed', 'failed') AS integer) AS terminal, count(*) AS task_count
            FROM fx_tasks GROUP BY 1""",
         "fx_tasks",
     ),
 )
 def x18(spark, sf):
-    terminal = st.is_terminal(F.col("status")).alias("terminal")
+    terminal = st.is_terminal(F.col("status")).cast("int").alias("terminal")
     return dv.task_log(spark, sf).groupBy(terminal).agg(F.count("*").alias("task_count"))
 
 
@@ -1372,7 +1373,7 @@ def p2(spark, sf):
 @query(
     "e1_rating_trend",
     with_views(
-        """SELECT parent_asin, "month", avg_rating, review_count,
+        """SELECT parent_asin, cast("month" AS varchar) AS "month", avg_rating, review_count,
                   avg_rating - lag(avg_rating) OVER (PARTITION BY parent_asin ORDER BY "month") AS change
            FROM (SELECT parent_asin, cast(date_trunc('month', "timestamp") AS date) AS "month",
                         avg(rating) AS avg_rating, count(*) AS review_count
@@ -1381,7 +1382,8 @@ def p2(spark, sf):
     ),
 )
 def e1(spark, sf):
-    return market.rating_trend(dv.reviews(spark, sf))
+    trend = market.rating_trend(dv.reviews(spark, sf))
+    return trend.withColumn("month", F.col("month").cast("string"))
 
 
 @query(

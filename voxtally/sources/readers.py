@@ -35,7 +35,7 @@ def scan_categories(
 ) -> DataFrame:
     """Several categories in one scan, each row tagged with the file it came from."""
     return scan_category(spark, paths, schema, fmt).withColumn(
-        "source_file", F.col("_metadata.file_name")
+        "source_path", F.col("_metadata.file_path")
     )
 
 
