@@ -6,7 +6,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from voxtally.operators import market
+from voxtally.operators import market, skew
 from voxtally.operators import reviews as rv
 
 SF = "/root/testdata/sf0.01"
@@ -69,8 +69,9 @@ def test_hot_product_join_is_split(spark):
         "id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 9000).cast("string"))
         .alias("parent_asin"), F.repeat(F.col("id").cast("string"), 30).alias("text"),
     )
-    meta = reviews.select("parent_asin").distinct().withColumns(
-        {"title": F.lit("t"), "price": F.lit(1.0)}
+    names = F.when(F.col("id") == 9000, "hot").otherwise(F.col("id").cast("string"))
+    meta = spark.range(9001).select(
+        names.alias("parent_asin"), F.lit("t").alias("title"), F.lit(1.0).alias("price")
     )
     limits = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -90,6 +91,29 @@ def test_hot_product_join_is_split(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_salted_joins_keep_every_row(spark):
+    """The same rows as the plain join, a hot key in many parts."""
+    data = spark.range(30000).select(
+        "id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k")
+    )
+    busy = data.groupBy("k").agg(F.count("*").alias("n")).where("n > 400")
+    for how in ("inner", "left_semi", "left_anti", "left"):
+        plain = data.join(busy, "k", how)
+        salted = skew.salted_join(data, busy, ["k"], how, F.col("id"))
+        assert salted.columns == plain.columns
+        assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
+
+
+def test_hot_product_of_demo_subset_is_spread(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(queries()["f16_demo_reviews"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"hashpartitioning\(parent_asin#\d+, _part#\d+", text)) == 2
+
+
 def test_price_bands_share_equal_prices(spark):
     prices = [1.0, 1.0, 1.0, 2.5, 3.25, 3.75, 9.0, 900.0]
     meta = spark.createDataFrame(

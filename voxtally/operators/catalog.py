@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtally.functions.text import contains_text
 from voxtally.functions.times import in_year
+from voxtally.operators.skew import salted_join
 
 # The product a title stands for: most rated first, then smallest product key.
 BEST_PRODUCT = (F.desc_nulls_last, "rating_number"), (F.asc, "parent_asin")
@@ -94,10 +95,14 @@ def demo_products(reviews: DataFrame, min_reviews: int = 100, year: int = 2023)
 def demo_subset(
     reviews: DataFrame, metadata: DataFrame, min_reviews: int = 100, year: int = 2023
 ) -> tuple[DataFrame, DataFrame]:
-    """Reviews and metadata of the busy products, both by left-semi join."""
+    """Reviews and metadata of the busy products, both by left-semi join.
+
+    The busiest product may hold a third of all reviews, so its reviews are salted.
+    """
     busy = demo_products(reviews, min_reviews, year).select("parent_asin")
     in_scope = reviews.where(in_year(F.col("timestamp"), year))
+    spread = F.struct(*(c for c in ("id", "text", "timestamp") if c in reviews.columns))
     return (
-        in_scope.join(busy, "parent_asin", "left_semi"),
+        salted_join(in_scope, busy, ["parent_asin"], "left_semi", spread),
         metadata.join(busy, "parent_asin", "left_semi"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtally.functions.text import terms
+from voxtally.operators.skew import salted_join
 
 
 def rating_trend(reviews: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def review_keywords(reviews: DataFrame, k: int = 10) -> DataFrame:
     # exploded and shuffled once.
     df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     total = reviews.agg(F.count_distinct("subject")).scalar()
-    scored = tf.join(df, "term").withColumn(
+    # A common term has a row for nearly every subject.
+    scored = salted_join(tf, df, ["term"], "inner", F.col("subject")).withColumn(
         "score", F.round(F.col("tf") * F.log(total / F.col("df")), 4)
     )
     w = Window.partitionBy("subject").orderBy(F.desc("score"), F.asc("term"))
@@ -105,7 +107,7 @@ def competitor_gap(reviews: DataFrame, metadata: DataFrame) -> DataFrame:
     """Own mean rating against the mean of all other products of the category.
 
     Category totals come from an aggregate joined back, since a window would hold
-    a whole category in one task.
+    a whole category in one task; the join is salted for the same reason.
     """
     per_product = reviews.groupBy("parent_asin").agg(
         F.sum("rating").alias("own_sum"), F.count("rating").alias("own_n")
@@ -116,7 +118,7 @@ def competitor_gap(reviews: DataFrame, metadata: DataFrame) -> DataFrame:
     )
     own = F.try_divide(F.col("own_sum"), F.col("own_n"))
     others = F.try_divide(F.col("all_sum") - F.col("own_sum"), F.col("all_n") - F.col("own_n"))
-    return rated.join(totals, "main_category").select(
+    return salted_join(rated, totals, ["main_category"], "inner", F.col("parent_asin")).select(
         "parent_asin", "main_category", own.alias("own_rating"), others.alias("other_rating"),
         (own - others).alias("gap"),
     )

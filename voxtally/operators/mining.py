@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtally.functions.text import terms
 from voxtally.operators.reviews import TOP_REVIEWS, number_reviews
+from voxtally.operators.skew import salted_join
 
 PRAISE, PAIN = "praise", "pain"
 PRAISED_K, PAIN_K, STRATEGY_K = 4, 3, 2
@@ -148,7 +149,8 @@ def mine_points(
     """``subject, kind, rank, term, own_df, diff, quote`` for both kinds in one pass."""
     stats = term_stats(reviews)
     if max_share is not None:
-        stats = stats.join(common_terms(reviews, max_share), "term", "left_anti")
+        common = common_terms(reviews, max_share)
+        stats = salted_join(stats, common, ["term"], "left_anti", F.col("subject"))
     return with_quotes(rank_points(stats, praised_k, pain_k), reviews, ids_may_repeat)
 
 

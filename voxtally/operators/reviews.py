@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtally.operators.catalog import title_to_parent
+from voxtally.operators.skew import salted_join
 
 TOP_REVIEWS = 50
 PRODUCT_COLUMNS = ("main_category", "average_rating", "rating_number", "price")
@@ -23,13 +24,15 @@ def reviews_with_metadata(
 ) -> DataFrame:
     """Reviews with the columns of their product.
 
-    A product listed twice doubles its reviews, as an inner join does. With
-    ``dedup=True`` a review is kept once, without product columns. No side is
+    A product listed twice doubles its reviews, as an inner join does. No side is
     hinted: Catalyst broadcasts metadata only when its measured size allows, and
-    splits a hot product's partition otherwise.
+    adaptive execution splits a hot product's partition otherwise. With
+    ``dedup=True`` a review is kept once, without product columns; only keys are
+    needed then, so hot products are salted.
     """
     if dedup:
-        return reviews.join(metadata, "parent_asin", "left_semi")
+        keys = metadata.select("parent_asin")
+        return salted_join(reviews, keys, ["parent_asin"], "left_semi", F.col("id"))
     products = metadata.select(
         "parent_asin",
         F.col("title").alias("product_title"),
