@@ -163,7 +163,7 @@ def test_prompts_and_models(spark):
         [("s", "Watch {reviews}", "Review 1: ok", None)],
         "subject string, title string, reviews string, features string",
     )
-    got = {r.task: r for r in insights.product_prompts(subjects).collect()}
+    got = {r.task: r for r in insights.prompt_table(subjects, PRODUCT_TASKS).collect()}
     assert [got[t].task_pos for t in PRODUCT_TASKS] == [0, 1, 2]
     assert "Review 1: ok" in got["pain_points"].prompt
     assert "Watch {reviews}" in got["improvement"].prompt

@@ -30,6 +30,8 @@ def box(text, cls=CLASS):
         (box("<div/>a") + box("b"), ["a", "b"]),
         (f"<DIV CLASS='{CLASS}'>x</DIV>", ["x"]),
         (box("a<![CDATA[ raw ]]>b"), ["a raw b"]),
+        (box("a<ruby>b<rp>(</rp><rt>hidden</rt></ruby>"), ["ab"]),
+        (box("a<![if x]>b") + box("c<!foo>d"), ["ab", "cd"]),
         ("<p>nothing</p>", []),
         ("", []),
     ],
@@ -44,6 +46,17 @@ def test_attribute_or_null():
     assert pg.page_blocks(html, "a", None, "href") == ["/1", None, "/3"]
 
 
+def test_text_of_a_script_is_its_own():
+    html = f'<script class="{CLASS}">let x = 1;</script>'
+    assert pg.page_blocks(html, "script", CLASS, None) == ["let x = 1;"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="<>![]-/?&;#'\"=adivscriptCDATA ", max_size=60))
+def test_any_text_is_read_without_error(html):
+    pg.page_blocks(box("x") + html, "div", CLASS, None)
+
+
 PIECES = st.sampled_from(
     [f'<div class="{CLASS}">', "<div>", "</div>", "<p>", "</p>", "text &amp; ", "<br>", "<script>", "</script>", "<!-- ", " -->"]
 )

@@ -37,14 +37,24 @@ TEMPLATES = {
         "Describe {company} from common knowledge in four short fields: business type, "
         "core offerings, customer base, market presence."
     ),
-    "strengths": "Company: {company}\n" + _PRAISE,
-    "challenges": "Company: {company}\n" + _PAIN,
+    "strengths": "Company: {company}\nKnown of it:\n{context}\n" + _PRAISE,
+    "challenges": "Company: {company}\nKnown of it:\n{context}\n" + _PAIN,
     "strategy": (
         "Recommend at most two improvements for {company}.\nFindings so far:\n{context}\n"
         "For each give the steps to take and the outcome to expect."
     ),
 }
 
+# Which earlier tasks a task reads, in this order, and which tasks may run together.
+CONTEXT_TASKS = {
+    "improvement": ("pain_points", "praised_features"),
+    "strengths": ("company_profile",),
+    "challenges": ("company_profile",),
+    "strategy": ("company_profile", "strengths", "challenges"),
+}
+PRODUCT_STAGES = (("praised_features", "pain_points"), ("improvement",))
+COMPANY_STAGES = (("company_profile",), ("strengths", "challenges"), ("strategy",))
+
 # The models in use and the tasks that get the large one.
 SMALL_MODEL, LARGE_MODEL = "gpt-4o-mini", "gpt-4o"
 LARGE_MODEL_TASKS = ("improvement", "strategy")

@@ -65,16 +65,15 @@ def as_card(metadata: DataFrame) -> DataFrame:
     )
 
 
-def titles_to_parent(metadata: DataFrame) -> DataFrame:
+def titles_to_parent(metadata: DataFrame, *also: str) -> DataFrame:
     """The product key of every title at once, by the same rule as ``lookup_title``.
 
-    A pre-aggregating ``min_by``, so a title shared by very many rows is folded
-    before the shuffle.
+    ``also`` names further columns of that product. A pre-aggregating ``min_by``,
+    so a title shared by very many rows is folded before the shuffle.
     """
     votes = F.coalesce(F.col("rating_number"), F.lit(-1))
-    return metadata.groupBy("title").agg(
-        F.min_by("parent_asin", F.struct(-votes, F.col("parent_asin"))).alias("parent_asin")
-    )
+    best = F.min_by(F.struct("parent_asin", *also), F.struct(-votes, F.col("parent_asin"), *also))
+    return metadata.groupBy("title").agg(best.alias("best")).select("title", "best.*")
 
 
 def title_to_parent(metadata: DataFrame, title: str) -> DataFrame:

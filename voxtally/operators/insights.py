@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxtally.functions.prompts import COMPANY_TASKS, PRODUCT_TASKS, build_prompt, route_model
+from voxtally.functions.prompts import build_prompt, route_model
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PROMPT_FIELDS = ("title", "features", "company", "reviews", "context")
+PROMPT_FIELDS = ("title", "features", "company", "reviews")
 
 
 def point_text(points: Column) -> Column:
@@ -34,37 +34,39 @@ def point_text(points: Column) -> Column:
     return F.when(F.size(points) > 0, lines)
 
 
-def prompt_table(subjects: DataFrame, tasks: Sequence[str], key: str = "subject") -> DataFrame:
+def prompt_table(
+    subjects: DataFrame,
+    tasks: Sequence[str],
+    contexts: Mapping[str, Column] | None = None,
+    order: Sequence[str] | None = None,
+    key: str = "subject",
+) -> DataFrame:
     """One row per subject and task: position, model and full prompt.
 
-    ``subjects`` has the key and any of title, features, company, reviews,
-    context; the tasks are an array literal exploded in place, so nothing is
-    joined or shuffled.
+    ``subjects`` has the key and any of title, features, company, reviews;
+    ``contexts`` gives the context of a task from its columns. ``order`` lists all
+    tasks of the analysis when only some are asked for. The tasks are an array
+    literal exploded in place, so nothing is joined or shuffled.
     """
-    have = {f: F.col(f) for f in PROMPT_FIELDS if f in subjects.columns}
-    fields = {f: have.get(f, F.lit(None)) for f in PROMPT_FIELDS}
+    contexts = contexts or {}
+    positions = list(order or tasks)
+    fields = {f: F.col(f) if f in subjects.columns else F.lit(None) for f in PROMPT_FIELDS}
     rows = F.array(
         *(
             F.struct(
-                F.lit(i).alias("task_pos"),
+                F.lit(positions.index(task)).alias("task_pos"),
                 F.lit(task).alias("task"),
                 route_model(F.lit(task)).alias("model"),
-                build_prompt(task, **fields).alias("prompt"),
+                build_prompt(
+                    task, **fields, context=contexts.get(task, F.lit(None))
+                ).alias("prompt"),
             )
-            for i, task in enumerate(tasks)
+            for task in tasks
         )
     )
     return subjects.select(key, F.inline(rows))
 
 
-def product_prompts(subjects: DataFrame) -> DataFrame:
-    return prompt_table(subjects, PRODUCT_TASKS)
-
-
-def company_prompts(subjects: DataFrame) -> DataFrame:
-    return prompt_table(subjects, COMPANY_TASKS)
-
-
 def map_prompts(
     df: DataFrame,
     make_model: Callable[[], Callable[[str, str | None], str]],

@@ -26,7 +26,8 @@ REVIEW_CLASS = "styles_reviewContent__44s_M"
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-_HIDDEN = frozenset(("script", "style", "template"))
+# Elements whose text is their own and no part of the text around them.
+_OWN_TEXT = frozenset("script style template rt rp".split())
 
 
 class _Blocks(HTMLParser):
@@ -42,7 +43,8 @@ class _Blocks(HTMLParser):
         self.found: list[tuple[list[str], dict]] = []
         self.stack: list[tuple[str, list[str] | None]] = []
         self.open_parts: list[list[str]] = []
-        self.hidden = 0
+        self.owners: list[str | None] = [None]
+        self.read_from = tag if tag in _OWN_TEXT else None
 
     def _wanted(self, tag: str, attrs: dict) -> bool:
         if tag != self.tag:
@@ -63,7 +65,8 @@ class _Blocks(HTMLParser):
         self.stack.append((tag, parts))
         if parts is not None:
             self.open_parts.append(parts)
-        self.hidden += tag in _HIDDEN
+        if tag in _OWN_TEXT:
+            self.owners.append(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -77,12 +80,13 @@ class _Blocks(HTMLParser):
             name, parts = self.stack.pop()
             if parts is not None:
                 self.open_parts.pop()
-            self.hidden -= name in _HIDDEN
+            if name in _OWN_TEXT:
+                self.owners.pop()
             if name == tag:
                 return
 
     def handle_data(self, data):
-        if not self.hidden:
+        if self.owners[-1] == self.read_from:
             for parts in self.open_parts:
                 parts.append(data)
 
@@ -94,8 +98,11 @@ class _Blocks(HTMLParser):
 def page_blocks(html: str, tag: str, css_class: str | None, attr: str | None) -> list[str | None]:
     """Stripped text, or one attribute, of every wanted element in document order."""
     parser = _Blocks(tag, css_class)
-    parser.feed(html)
-    parser.close()
+    try:
+        parser.feed(html)
+        parser.close()
+    except AssertionError:  # a declaration the parser gives up on: keep what came before
+        pass
     if attr:
         return [attrs.get(attr) for _, attrs in parser.found]
     return ["".join(parts).strip() for parts, _ in parser.found]

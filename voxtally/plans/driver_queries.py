@@ -19,6 +19,7 @@ from voxtally.functions import times as tm
 from voxtally.operators import catalog, clean, insights, market, mining, tasks
 from voxtally.operators import pages as pg
 from voxtally.operators import reviews as rv
+from voxtally.plans import analysis
 from voxtally.plans import driver_views as dv
 from voxtally.plans import flows
 from voxtally.plans.driver_views import table, with_views
@@ -1047,12 +1048,14 @@ def _sql_prompt(task: str, **fields: str) -> str:
     )
 
 
-def _sql_prompts(names: tuple[str, ...], source: str, **fields: str) -> str:
+def _sql_prompts(
+    names: tuple[str, ...], source: str, context: dict[str, str], first: int = 0, **fields: str
+) -> str:
     return " UNION ALL ".join(
         f"""SELECT subject, cast({i} AS integer) AS task_pos, '{t}' AS task,
                    '{pr.LARGE_MODEL if t in pr.LARGE_MODEL_TASKS else pr.SMALL_MODEL}' AS model,
-                   {_sql_prompt(t, **fields)} AS prompt FROM {source}"""
-        for i, t in enumerate(names)
+                   {_sql_prompt(t, context=context.get(t, 'NULL'), **fields)} AS prompt FROM {source}"""
+        for i, t in enumerate(names, first)
     )
 
 
@@ -1061,7 +1064,7 @@ def _sql_prompts(names: tuple[str, ...], source: str, **fields: str) -> str:
     with_views(
         _sql_prompts(
             pr.PRODUCT_TASKS, "fx_found", title="title", features="features", reviews="reviews",
-            context="context",
+            context={"improvement": "context"},
         ),
         "fx_subjects",
         "fx_capped",
@@ -1086,7 +1089,8 @@ def x12(spark, sf):
     "x12_company_prompts",
     with_views(
         _sql_prompts(
-            pr.COMPANY_TASKS, "fx_found", company="name", reviews="reviews", context="context"
+            pr.COMPANY_TASKS, "fx_found", company="name", reviews="reviews",
+            context={"strategy": "context", "strengths": "profile", "challenges": "profile"},
         ),
         "fx_ads",
         "fx_words",
@@ -1101,6 +1105,7 @@ def x12(spark, sf):
             "fx_lines": """SELECT company AS subject, string_agg('Review: ' || "text", chr(10)
                 ORDER BY page_no, pos) AS reviews FROM fx_ads GROUP BY company""",
             "fx_found": f"""SELECT h.subject, {dv.sql_company_name('h.subject')} AS name, reviews,
+                    {_PROFILE_LINES} AS profile,
                     concat_ws(chr(10), {_PROFILE_LINES}, praise, pain) AS context
                 FROM fx_host_profiles h LEFT JOIN fx_lines l ON h.subject = l.subject
                 LEFT JOIN fx_praise a ON h.subject = a.subject
@@ -1353,6 +1358,96 @@ def p1(spark, sf):
     return insights.map_prompts(asked, _length_model).select("doc_id", "output", "error")
 
 
+def _digest_model():
+    """A repeatable stand-in whose answer depends on all of the prompt; it fails on some."""
+    from hashlib import md5
+
+    def answer(prompt: str, model: str | None) -> str:
+        digest = md5(prompt.encode()).hexdigest()
+        if digest[0] == "0":
+            raise ValueError(MODEL_FAILURE)
+        return digest
+
+    return answer
+
+
+def _sql_stages(stages, source: str, **fields: str) -> dict[str, str]:
+    """CTEs that run the stages with the digest model: fx_answers holds all answers."""
+    ctes: dict[str, str] = {}
+    seen: list[str] = []
+    for n, stage in enumerate(stages):
+        context = {t: "concat_ws(chr(10), " + ", ".join(pr.CONTEXT_TASKS[t]) + ")" for t in stage} if n else {}
+        wide = ", ".join(f"max(output) FILTER (task = '{t}') AS {t}" for t in seen)
+        ctes[f"fx_wait{n}"] = (
+            f"""SELECT s.*, a.* EXCLUDE (subject) FROM {source} s JOIN (
+                  SELECT subject, {wide} FROM fx_done{n - 1} GROUP BY subject
+                  HAVING count(error) = 0) a ON s.subject = a.subject"""
+            if n
+            else f"SELECT * FROM {source}"
+        )
+        earlier = f"SELECT * FROM fx_done{n - 1} UNION ALL" if n else ""
+        ctes[f"fx_done{n}"] = f"""{earlier}
+            SELECT subject, task_pos, task,
+                   CASE WHEN md5(prompt) NOT LIKE '0%' THEN md5(prompt) END AS output,
+                   CASE WHEN md5(prompt) LIKE '0%' THEN '{MODEL_FAILURE}' END AS error
+            FROM ({_sql_prompts(stage, f'fx_wait{n}', context, len(seen), **fields)})"""
+        seen += stage
+    outputs = ", ".join(f"max(output) FILTER (task_pos = {i}) AS output_{i}" for i in range(len(seen)))
+    ctes["fx_answers"] = f"""SELECT subject, max(error) AS error,
+            CASE WHEN count(error) = 0 THEN 'completed' ELSE 'failed' END AS status, {outputs}
+        FROM fx_done{len(stages) - 1} GROUP BY subject"""
+    return ctes
+
+
+@query(
+    "p1_analyze_products",
+    with_views(
+        "SELECT * FROM fx_answers",
+        "fx_metadata",
+        "fx_reviews",
+        extra={
+            "fx_asked": f"""
+                SELECT b.title AS subject, b.title, b.features, reviews FROM (
+                  SELECT *, row_number() OVER (PARTITION BY title
+                         ORDER BY rating_number DESC NULLS LAST, parent_asin) AS rn
+                  FROM fx_metadata) b
+                LEFT JOIN (SELECT parent_asin, string_agg('Review ' || review_no || ': ' || "text", chr(10)
+                                  ORDER BY review_no) AS reviews
+                           FROM ({_NUMBERED}) WHERE review_no <= 50 GROUP BY parent_asin) t
+                  ON b.parent_asin = t.parent_asin WHERE rn = 1"""
+        }
+        | _sql_stages(
+            pr.PRODUCT_STAGES, "fx_asked", title="title", features="features", reviews="reviews"
+        ),
+    ),
+)
+def p1_products(spark, sf):
+    return analysis.analyze_products(
+        dv.reviews(spark, sf), dv.metadata(spark, sf), _digest_model
+    )
+
+
+@query(
+    "p1_analyze_companies",
+    with_views(
+        """SELECT * FROM fx_answers UNION ALL BY NAME
+           SELECT company AS subject, 'failed' AS status, message AS error FROM fx_gate
+           WHERE message IS NOT NULL""",
+        "fx_passed",
+        extra={
+            "fx_asked": f"""SELECT company AS subject, {dv.sql_company_name('company')} AS name,
+                    string_agg('Review: ' || "text", chr(10) ORDER BY page_no, pos) AS reviews
+                FROM fx_passed GROUP BY company"""
+        }
+        | _sql_stages(pr.COMPANY_STAGES, "fx_asked", company="name", reviews="reviews"),
+    ),
+)
+def p1_companies(spark, sf):
+    return analysis.analyze_companies(
+        dv.pages(spark, sf, "html", upto=4), _digest_model, **AD, n=2
+    )
+
+
 @query(
     "p2_route_model",
     f"""SELECT o_orderkey, task, CASE WHEN task IN ('improvement', 'strategy')

@@ -72,10 +72,7 @@ def product_prompt_table(
     lists = point_lists(mine_points(most_helpful(reviews, k)))
     findings = with_context(products, texts, lists)
     context = F.concat_ws("\n", point_text(F.col("pain")), point_text(F.col("praise")))
-    return prompt_table(
-        findings.select("subject", "title", "features", "reviews", context.alias("context")),
-        PRODUCT_TASKS,
-    )
+    return prompt_table(findings, PRODUCT_TASKS, {"improvement": context})
 
 
 def profile_text() -> Column:
@@ -160,9 +157,7 @@ def company_prompt_table(
         "\n", profile_text(), point_text(F.col("praise")), point_text(F.col("pain"))
     )
     return prompt_table(
-        findings.select(
-            "subject", company_name(F.col("subject")).alias("company"), "reviews",
-            context.alias("context"),
-        ),
+        findings.withColumn("company", company_name(F.col("subject"))),
         COMPANY_TASKS,
+        {"strengths": profile_text(), "challenges": profile_text(), "strategy": context},
     )
