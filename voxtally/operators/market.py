@@ -33,8 +33,8 @@ def review_keywords(reviews: DataFrame, k: int = 10) -> DataFrame:
     # exploded and shuffled once.
     df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     total = reviews.agg(F.count_distinct("subject")).scalar()
-    # A common term has a row for nearly every subject.
-    scored = salted_join(tf, df, ["term"], "inner", F.col("subject")).withColumn(
+    # A common term has a row for nearly every subject. Few parts: the vocabulary is large.
+    scored = salted_join(tf, df, ["term"], "inner", F.col("subject"), 4).withColumn(
         "score", F.round(F.col("tf") * F.log(total / F.col("df")), 4)
     )
     w = Window.partitionBy("subject").orderBy(F.desc("score"), F.asc("term"))
