@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxtally.functions.prompts import PRODUCT_TASKS
 from voxtally.operators import insights, mining
-from voxtally.plans import flows
+from voxtally.plans import analysis, flows
 
 WORDS = "battery screen sound price colour strap cover hinge motor smell cable".split()
 
@@ -186,3 +186,30 @@ def test_one_failing_prompt_leaves_the_rest(spark):
     got = insights.map_prompts(df, make, model_col=None, concurrency=2).orderBy("id").collect()
     assert [(r.output, r.error) for r in got if r.error] == [(None, "no answer"), (None, "KeyError")]
     assert [r.output for r in got if not r.error] == ["00", "11", "22", "44", "66", "77"]
+
+
+def test_analysis_of_chosen_titles(spark):
+    """A failed task fails its title; the others still run, each stage on the answers before."""
+
+    def make():
+        def answer(prompt, model):
+            if "Lamp" in prompt or "dim" in prompt:
+                raise RuntimeError("refused")
+            return f"{model}<{prompt.splitlines()[0][:18]}|{'gpt' in prompt}>"
+
+        return answer
+
+    reviews = spark.createDataFrame(
+        [(1, "P1", 5.0, 1, "bright"), (2, "P2", 1.0, 1, "dim"), (3, "P3", 1.0, 1, "big")],
+        "id long, parent_asin string, rating double, helpful_vote long, text string",
+    )
+    meta = spark.createDataFrame(
+        [("P1", "Watch", 9, "[]"), ("P2", "Lamp", 9, "[]"), ("P3", "Desk", 9, None)],
+        "parent_asin string, title string, rating_number long, features string",
+    )
+    titles = spark.createDataFrame([("Watch",), ("Lamp",), ("no such",)], "title string")
+    got = {r.subject: r for r in analysis.analyze_products(reviews, meta, make, titles).collect()}
+    assert set(got) == {"Watch", "Lamp"}
+    assert (got["Lamp"].status, got["Lamp"].error, got["Lamp"].output_2) == ("failed", "refused", None)
+    assert got["Watch"].status == "completed"
+    assert got["Watch"].output_2 == "gpt-4o<Propose the one ch|True>"

@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Years and epochs are read in UTC. Adaptive execution splits a shuffle
 # partition that one hot key has blown up, also where that costs one more
-# shuffle further down. Pages are large, so Arrow batches are bounded by bytes.
+# shuffle further down. Arrow batches need no setting: Spark bounds them by bytes.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 
