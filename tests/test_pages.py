@@ -127,6 +127,25 @@ def test_gate_outcomes(pages, spark):
     assert {r.company for r in passed.collect()} == {"full.com", "stop.com"}
 
 
+def test_copies_of_a_page_count_once(spark, rows):
+    """A third of all rows are copies of one page; a failed copy fails its page."""
+    page = box("a") + box("b")
+    data = [("hot.com", 1, 200, page)] * 300 + [("hot.com", 2, 200, box("c"))] * 2
+    data += [(f"c{i}.com", 1, 200, page) for i in range(600)]
+    data += [("bad.com", 1, 200, page), ("bad.com", 2, 200, page), ("bad.com", 2, 503, page)]
+    pages = spark.createDataFrame(
+        data, "company string, page_no int, status_code int, html string"
+    )
+    got = pg.company_reviews(pages)
+    assert rows(got.where("company = 'hot.com'"), "page_no", "pos", "text") == [
+        (1, 0, "a"), (1, 1, "b"), (2, 0, "c"),
+    ]
+    assert got.where("company = 'bad.com'").count() == 2
+    assert got.count() == 3 + 2 + 1200
+    gate = pg.min_review_gate(pages, got, pg.page_limits(pages), 3)
+    assert gate.where("outcome = 'ok'").count() == 1
+
+
 def test_company_check(spark):
     urls = [("https://www.a.com/x",), ("apple",), ("",), (None,), ("http://",)]
     df = pg.validate_companies(spark.createDataFrame(urls, "company_url string"))

@@ -193,8 +193,29 @@ def page_limits(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     )
 
 
+def fold_copies(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """One row per company and page, 1 to ``max_pages``, however often a page was saved.
+
+    A page with a failed copy is a failed page; otherwise the smallest text counts.
+    The aggregate folds copies inside each task, so a page saved very many times
+    reaches the shuffle as a few rows, and a company has at most ``max_pages`` after it.
+    """
+    status = F.col("status_code")
+    failed = F.when(status.isNull() | (status != 200), F.coalesce(status, F.lit(0)))
+    return (
+        pages.where(F.col("page_no").between(1, max_pages))
+        .groupBy("company", "page_no")
+        .agg(
+            F.coalesce(F.min(failed), F.lit(200)).alias("status_code"), F.min("html").alias("html")
+        )
+    )
+
+
 def keep_page_prefix(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Pages 1 to ``max_pages`` that come before the first failed or missing page."""
+    """Pages 1 to ``max_pages`` that come before the first failed or missing page.
+
+    Expects one row per page; ``fold_copies`` makes it so.
+    """
     limits = page_limits(pages, max_pages).select("company", "pages_read")
     first = pages.where(F.col("page_no").between(1, max_pages))
     return (
@@ -251,12 +272,15 @@ def company_reviews(
     tag: str = "div",
     css_class: str | None = REVIEW_CLASS,
     max_pages: int = MAX_PAGES,
+    unique_pages: bool = False,
 ) -> DataFrame:
     """Reviews of every company: ``company, page_no, pos, text``.
 
-    Only pages that survive the page rule are parsed.
+    Only pages that survive the page rule are parsed. Pages saved more than once
+    count once; ``unique_pages=True`` skips that step where it cannot happen.
     """
-    kept = keep_page_prefix(pages, max_pages)
+    once = pages if unique_pages else fold_copies(pages, max_pages)
+    kept = keep_page_prefix(once, max_pages)
     return extract_blocks(kept, tag, css_class, keys=("company", "page_no"))
 
 
