@@ -59,6 +59,11 @@ def us(c: str) -> Column:
     return tm.epoch_micros(F.col(c)).alias(f"{c}_us")
 
 
+def text(c: str) -> Column:
+    """A number that may be missing, as text: no reader then turns it into a fraction."""
+    return F.col(c).cast("string")
+
+
 # ---- sources and sinks ------------------------------------------------------
 
 
@@ -146,7 +151,7 @@ def s6(spark, sf):
 @query(
     "s7_user_reviews",
     with_views(
-        'SELECT rating, title, "text", parent_asin, epoch_s AS "timestamp", helpful_vote FROM fx_raw',
+        'SELECT rating, title, "text", parent_asin, cast(epoch_s AS varchar) AS "timestamp", helpful_vote FROM fx_raw',
         "fx_raw",
     ),
 )
@@ -158,7 +163,8 @@ def s7(spark, sf):
     }
     given = dv.raw_reviews(spark, sf).select(*(F.col(a).alias(b) for a, b in names.items()))
     given.write.option("header", "true").option("escape", '"').csv(out)
-    return readers.read_user_reviews(spark, out, names).select(*names)
+    read = readers.read_user_reviews(spark, out, names).select(*names)
+    return read.withColumn("timestamp", text("timestamp"))
 
 
 @query(
@@ -194,25 +200,27 @@ def s9(spark, sf):
 @query(
     "f1_valid_epoch",
     with_views(
-        """SELECT helpful_vote, epoch_s, cast(epoch_s BETWEEN 0 AND 2147483647 AS integer) AS valid FROM fx_raw""",
+        """SELECT helpful_vote, cast(epoch_s AS varchar) AS epoch_s,
+                  cast(epoch_s BETWEEN 0 AND 2147483647 AS varchar) AS valid FROM fx_raw""",
         "fx_raw",
     ),
 )
 def f1(spark, sf):
     return dv.raw_reviews(spark, sf).select(
         "helpful_vote",
-        F.col("timestamp").alias("epoch_s"),
-        tm.valid_epoch(F.col("timestamp")).cast("int").alias("valid"),
+        text("timestamp").alias("epoch_s"),
+        tm.valid_epoch(F.col("timestamp")).cast("string").alias("valid"),
     )
 
 
 @query(
     "f2_epoch_to_ts",
-    with_views("SELECT helpful_vote, epoch_s * 1000000 AS ts_us FROM fx_raw", "fx_raw"),
+    with_views("SELECT helpful_vote, cast(epoch_s * 1000000 AS varchar) AS ts_us FROM fx_raw", "fx_raw"),
 )
 def f2(spark, sf):
     ts = tm.epoch_to_ts(F.col("timestamp"))
-    return dv.raw_reviews(spark, sf).select("helpful_vote", F.unix_micros(ts).alias("ts_us"))
+    micros = F.unix_micros(ts).cast("string")
+    return dv.raw_reviews(spark, sf).select("helpful_vote", micros.alias("ts_us"))
 
 
 @query(
@@ -283,14 +291,14 @@ _BAD = """CASE WHEN epoch_s IS NULL THEN 'null_timestamp'
 @query(
     "f8_bad_rows",
     with_views(
-        f"SELECT helpful_vote, epoch_s, {_BAD} AS bad_reason FROM fx_raw WHERE {_BAD} IS NOT NULL",
+        f"SELECT helpful_vote, cast(epoch_s AS varchar) AS epoch_s, {_BAD} AS bad_reason FROM fx_raw WHERE {_BAD} IS NOT NULL",
         "fx_raw",
     ),
 )
 def f8(spark, sf):
     raw = dv.raw_reviews(spark, sf)
     _, bad = clean.split_bad_rows(raw, clean.review_problem(raw))
-    return bad.select("helpful_vote", F.col("timestamp").alias("epoch_s"), "bad_reason")
+    return bad.select("helpful_vote", text("timestamp").alias("epoch_s"), "bad_reason")
 
 
 @query(
@@ -520,7 +528,8 @@ def j2_all(spark, sf):
 @query(
     "j4_task_status",
     with_views(
-        """SELECT i.task_id, coalesce(status, 'not_found') AS status, error, epoch_us(ts) AS ts_us
+        """SELECT i.task_id, coalesce(status, 'not_found') AS status, error,
+                  cast(epoch_us(ts) AS varchar) AS ts_us
            FROM (SELECT cast(o_custkey AS varchar) AS task_id FROM orders GROUP BY o_custkey) i
            LEFT JOIN fx_latest l ON i.task_id = l.task_id""",
         "fx_latest",
@@ -529,7 +538,8 @@ def j2_all(spark, sf):
 def j4(spark, sf):
     ids = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("task_id"))
     state = tasks.latest_per_key(dv.task_log(spark, sf))
-    return tasks.task_status(ids.distinct(), state).select("task_id", "status", "error", us("ts"))
+    found = tasks.task_status(ids.distinct(), state).select("task_id", "status", "error", us("ts"))
+    return found.withColumn("ts_us", text("ts_us"))
 
 
 @query(
@@ -708,7 +718,7 @@ _BEST_CHANGE = {
 @query(
     "a10_improvement_candidate",
     with_views(
-        """SELECT s.subject, s.title, c.term AS improve_term, c.own_df AS evidence, c.quote,
+        """SELECT s.subject, s.title, c.term AS improve_term, cast(c.own_df AS varchar) AS evidence, c.quote,
                   pain, praise
            FROM fx_subjects s LEFT JOIN fx_change c ON s.subject = c.subject
            LEFT JOIN fx_praise a ON s.subject = a.subject LEFT JOIN fx_pain b ON s.subject = b.subject""",
@@ -721,7 +731,7 @@ def a10(spark, sf):
     lists = mining.point_lists(mining.mine_points(_capped(spark, sf)))
     found = mining.improvement_candidate(lists, dv.subjects(spark, sf))
     return found.select(
-        "subject", "title", "improve_term", "evidence", "quote",
+        "subject", "title", "improve_term", text("evidence").alias("evidence"), "quote",
         insights.point_text(F.col("pain")).alias("pain"),
         insights.point_text(F.col("praise")).alias("praise"),
     )
