@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voxtally.llm.mixing import mix_sources
+from voxtally.llm.sharding import shard_by_splitters
 from voxtally.llm.substrings import remove_repeated_windows
 from voxtally.llm.suffixes import repeated_passages
 
@@ -68,3 +70,67 @@ FROM d LEFT JOIN k USING (row) LEFT JOIN n USING (row)""",
 def op4(spark, sf_dir):
     out = remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+# CRC-32 byte by byte: the table of the reflected polynomial, then one step per byte.
+CRC_SQL = """
+WITH tbl AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c
+    FROM range(256) AS r(b))),
+x AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (
+  SELECT doc_id, n + 16 AS size,
+    xor(list_reduce(
+      list_transform(range(n), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM x, tbl)"""
+
+
+@query(
+    "op5_sampled_splitters",
+    CRC_SQL
+    + """
+, o AS (
+  SELECT *, sum(size) OVER (ORDER BY text_crc32, doc_id ROWS UNBOUNDED PRECEDING) - size AS pos, sum(size) OVER () AS total
+  FROM c),
+s AS (SELECT *, (pos::HUGEINT * 40 // total::HUGEINT)::INT AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, NULL::INT AS grown_shard
+FROM s""",
+)
+def op5(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    out = shard_by_splitters(docs, ["text_crc32", "doc_id"], "size", 40)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+SEED = 17
+HASH_SQL = "('0x' || substr(md5(concat('{seed}', ':', {key})), 1, 13))::BIGINT"
+
+
+@query(
+    "op10_poisson_mixing",
+    f"""
+WITH n AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
+r AS (SELECT s, (SELECT sum(n) FROM n)::DOUBLE / (SELECT count(*) FROM n) / n AS rate FROM n),
+e AS (
+  SELECT s, list_transform(range(0, (ceil(rate + 12 * sqrt(rate)) + 30)::BIGINT), lambda k: exp(k * ln(rate) - rate - lgamma(k + 1))) AS p
+  FROM r),
+cdf AS (SELECT s, list_transform(range(1, len(p) + 1), lambda k: list_sum(p[1:k])) AS c FROM e),
+d AS (
+  SELECT doc_id, source, {HASH_SQL.format(seed=SEED, key="coalesce(doc_id::VARCHAR, '')")} / 4503599627370496.0 AS u
+  FROM documents),
+m AS (SELECT doc_id, source, len(list_filter(c, lambda x: x <= u)) AS copies FROM d JOIN cdf ON s = coalesce(source, ''))
+SELECT doc_id, source, copies, copy,
+       {HASH_SQL.format(seed=f"{SEED}:", key="coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR")} AS shuffle_key
+FROM m, unnest(range(0, copies)) AS x(copy)""",
+)
+def op10(spark, sf_dir):
+    out = mix_sources(table(spark, sf_dir, "documents"), seed=SEED)
+    return out.select("doc_id", "source", "copies", "copy", "shuffle_key")
