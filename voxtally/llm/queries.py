@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voxtally.llm.language import crc_part, learn_dictionaries, predict_language
 from voxtally.llm.mixing import mix_sources
 from voxtally.llm.sharding import shard_by_splitters
 from voxtally.llm.substrings import remove_repeated_windows
 from voxtally.llm.suffixes import repeated_passages
+from voxtally.llm.topk import exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,6 +112,31 @@ def op5(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+@query(
+    "op8_exact_top_k",
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.e, d.e)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY rank <= 5""",
+)
+def op8(spark, sf_dir):
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op9_compression_language")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = learn_dictionaries(docs.filter(crc_part("doc_id", 4) != 2))
+    out = predict_language(docs.select("doc_id", "text"), dictionaries)
+    return out.select("doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 SEED = 17
 HASH_SQL = "('0x' || substr(md5(concat('{seed}', ':', {key})), 1, 13))::BIGINT"
 
