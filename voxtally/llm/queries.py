@@ -12,6 +12,7 @@ from voxtally.llm.sharding import shard_by_splitters
 from voxtally.llm.substrings import remove_repeated_windows
 from voxtally.llm.suffixes import repeated_passages
 from voxtally.llm.topk import exact_top_k
+from voxtally.llm.toxicity import fit_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,6 +58,15 @@ def op2(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query("op3_toxicity_trees")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_part("doc_id", 3) == 1
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    out = fit_toxicity(docs, labels).score(docs)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query(
     "op4_substring_dedup",
     covered_words_sql(35)
