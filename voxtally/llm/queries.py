@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voxtally.llm.contamination import find_leaks
 from voxtally.llm.language import crc_part, learn_dictionaries, predict_language
 from voxtally.llm.mixing import mix_sources
 from voxtally.llm.sharding import shard_by_splitters
@@ -122,6 +123,11 @@ def op5(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+@query("op7_benchmark_leaks")
+def op7(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(
     "op8_exact_top_k",
     """

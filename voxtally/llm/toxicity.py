@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -38,7 +39,7 @@ FEATURES = (
 def text_features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text") -> DataFrame:
     """Adds ``features``, the array of ``FEATURES`` of the whole text.
 
-    Words are runs of letters with ASCII capitals folded. Texts without words have zeros.
+    Words are runs of letters in lower case. Texts without words have zeros.
     """
     # Whole words at length 0; stems by their length in bytes, each compared with that much of a word.
     tables = {}
@@ -65,14 +66,15 @@ def text_features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "t
 
     def measure(texts: pa.Array) -> np.ndarray:
         raw, bounds = text_buffers(texts)
-        words = find_words(texts, letters)
-        hashes = word_hashes(words, lower=True)
+        written = find_words(texts, letters)
+        words = find_words(pc.utf8_lower(texts), letters)
+        hashes = word_hashes(words)
         n, size = np.maximum(words.counts(), 1), np.maximum(np.diff(bounds), 1)
         you = place(hashes, second) >= 0
         weight = np.zeros(len(hashes))
         for length, (known, weights) in tables.items():
             stems = Words(words.data, words.start, np.minimum(words.start + length, words.end), words.first)
-            hit = place(word_hashes(stems, lower=True) if length else hashes, known)
+            hit = place(word_hashes(stems) if length else hashes, known)
             found = hit >= 0
             weight[found] = np.maximum(weight[found], weights[hit[found]])
         bad = weight > 0
@@ -98,13 +100,13 @@ def text_features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "t
         lengths = words.end - words.start
         shout = upper[raw]
         caps = np.concatenate(([0], np.cumsum(shout)))
-        capital_words = (caps[words.end] - caps[words.start] == lengths) & (lengths > 1)
+        shouted = (caps[written.end] - caps[written.start] == written.end - written.start) & (written.end - written.start > 1)
         bad_count = per_text(bad, words.first)
         return np.stack(
             [
                 bad_count / n, bad_count, np.bincount(kinds, minlength=len(n)), per_text(weight, words.first) / n,
                 per_text(you, words.first) / n, per_text(near, words.first) / n,
-                per_text(shout, bounds) / size, per_text(capital_words, words.first) / n,
+                per_text(shout, bounds) / size, per_text(shouted, written.first) / n,
                 per_text(sign[raw], bounds) / size, per_text(exclaim[raw], bounds) / size,
                 per_text(digit[raw], bounds) / size, per_text(odd, bounds) / n,
                 np.log1p(words.counts()), per_text(lengths, words.first) / n,
@@ -159,7 +161,7 @@ def learn_lexicon(
         .limit(words)
         .collect()
     )
-    return {fold(r["word"]): float(r["odds"]) for r in best}
+    return {r["word"]: float(r["odds"]) for r in best}
 
 
 def longer(n: int):
@@ -170,11 +172,6 @@ def cut(n: int):
     return lambda w: F.concat(F.substring(w, 1, n), F.lit(STEM))
 
 
-def fold(word: str) -> str:
-    """Lower case of ASCII letters only, as the features compare."""
-    return "".join(c.lower() if c < "\x80" else c for c in word)
-
-
 def isotonic(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[list[float], list[float]]:
     """Non-decreasing fit by pooling adjacent violators: corner points (score, value).
 

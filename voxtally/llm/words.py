@@ -127,11 +127,9 @@ def run_sums(values, n: int, base: int, low: np.ndarray, high: np.ndarray) -> np
     return (at_high - at_low) * shift
 
 
-def word_hashes(words: Words, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of the words' bytes; ``lower`` folds ASCII capitals."""
+def word_hashes(words: Words) -> np.ndarray:
+    """64-bit hashes of the words' bytes."""
     table = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-    if lower:
-        table[65:91] = table[97:123]
     data = words.data
     sums = run_sums(lambda a, b: table[data[a:b]], len(data), 0xD6E8FEB86659FD95, words.start, words.end)
     return mixed(sums + (words.end - words.start).astype(U) * U(0x9E3779B97F4A7C15))
