@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voxtally.llm.contamination import find_leaks
 from voxtally.llm.language import crc_part, learn_dictionaries, predict_language
 from voxtally.llm.mixing import mix_sources
+from voxtally.llm.near import near_duplicates
 from voxtally.llm.sharding import shard_by_splitters
 from voxtally.llm.substrings import remove_repeated_windows
 from voxtally.llm.suffixes import repeated_passages
@@ -123,6 +124,12 @@ def op5(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+@query("op6_ngram_jaccard_join")
+def op6(spark, sf_dir):
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "n_links", "keep")
+
+
 @query("op7_benchmark_leaks")
 def op7(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -18,7 +18,7 @@ from voxtally.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 16_000
 LEXICON_WORDS = 200
 NEAR = 8
 STEM = "*"
@@ -173,11 +173,7 @@ def cut(n: int):
 
 
 def isotonic(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[list[float], list[float]]:
-    """Non-decreasing fit by pooling adjacent violators: corner points (score, value).
-
-    The values are those of equal counts with one positive and one negative added at the
-    ends' ranks, so they stay within 0 and 1.
-    """
+    """Non-decreasing fit by pooling adjacent violators: corner points (score, value)."""
     blocks: list[list[float]] = []
     order = np.lexsort((labels, scores))
     for s, y, w in zip(scores[order], labels[order], weights[order], strict=True):
@@ -244,7 +240,7 @@ def fit_toxicity(
     """Learns from at most ``sample_rows`` rows of ``labels``, those with the lowest hash of their id.
 
     Rows without label, and ids not in ``docs``, do not count; an id labelled twice and
-    equal texts count once, as toxic if any is. A fifth of the sample, by hash of the
+    equal texts count once, as toxic if any is. A third of the sample, by hash of the
     text, calibrates the scores and is not seen by the trees. Without both labels in the
     sample, every text scores the share of positive rows.
     """
@@ -262,7 +258,7 @@ def fit_toxicity(
     base = positive / total if total else 0.0
     if not positive or positive == total:
         return ToxicityModel({}, None, ([], []), base)
-    held = F.pmod(F.col("mark"), F.lit(5)) == 0
+    held = F.pmod(F.col("mark"), F.lit(3)) == 0
     lexicon = learn_lexicon(sample.filter(~held))
     ready = materialize(text_features(sample, lexicon).withColumn("held", held).drop("mark"), "toxicity-features")
     ready = ready.withColumn("_vector", array_to_vector("features"))
