@@ -15,6 +15,7 @@ from voxtally.llm.substrings import remove_repeated_windows
 from voxtally.llm.suffixes import repeated_passages
 from voxtally.llm.topk import exact_top_k
 from voxtally.llm.toxicity import fit_toxicity
+from voxtally.llm.warc import derive_records, responses_of_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,6 +49,12 @@ r AS (SELECT row, i FROM s WHERE words IN (SELECT words FROM s GROUP BY words HA
 gone AS (SELECT DISTINCT row, p FROM r, unnest(range(i, i + {size})) AS u(p))"""
 
 
+@query("op1_warc_derivatives")
+def op1(spark, sf_dir):
+    responses = responses_of_pages(table(spark, sf_dir, "pages"))
+    return derive_records(responses, keep=["page_id"], with_record=False).drop("record")
+
+
 @query(
     "op2_suffix_array_dedup",
     covered_words_sql(50)
