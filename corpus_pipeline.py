@@ -1,14 +1,79 @@
-"""The corpus pipeline, stage by stage."""
+"""The corpus pipeline: language, near duplicates, benchmark leaks, source weights, shards."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voxtally.llm.contamination import find_leaks
+from voxtally.llm.language import learn_dictionaries, predict_language
+from voxtally.llm.mixing import mix_sources
+from voxtally.llm.near import near_duplicates
+from voxtally.llm.sharding import shard_by_splitters
 from voxtally.session import materialize
 
-STAGES: list = []
+N_SHARDS = 40
+SEED = 17
 
-# Language prediction, signatures and search are not SQL.
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language compression tells: texts without letters and narrow decisions go.
+
+    The dictionaries are learned from the labelled documents at hand; a table without
+    labels tells no language, so that all its documents go.
+    """
+    return predict_language(docs, learn_dictionaries(docs)).filter("accepted").select(*docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the smallest id.
+
+    Rows that repeat both id and text are one document. Texts without words are no copies.
+    """
+    kept = near_duplicates(docs).filter("keep").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # Null ids match each other; the pair of columns stands for <=>, which no hash join would split by.
+    keyed = keyed.withColumn("_known", F.coalesce("doc_id", F.lit(0))).withColumn("_null", F.col("doc_id").isNull())
+    kept = kept.select("_key", F.coalesce("_id", F.lit(0)).alias("_known"), F.col("_id").isNull().alias("_null"))
+    names = ["_key", "_known", "_null"]
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; one with a null id goes only with its own text."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    marked = docs.withColumn("_row", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")))
+    # Written, so that Catalyst knows the few leaks by size and need not move the texts.
+    found = find_leaks(marked, items, id_col="_row").select(
+        F.col("_row.key").alias("_key"), F.coalesce("_row.doc_id", F.lit(0)).alias("_known"), F.col("_row.doc_id").isNull().alias("_null")
+    )
+    leaks = materialize(found.distinct(), "leaks")
+    keyed = marked.select(
+        *docs.columns, F.col("_row.key").alias("_key"), F.coalesce("doc_id", F.lit(0)).alias("_known"), F.col("doc_id").isNull().alias("_null")
+    )
+    return keyed.join(leaks, ["_key", "_known", "_null"], "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or dropped by Poisson draws so that all sources weigh the same, in random order."""
+    return mix_sources(docs, seed=SEED).select(*docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the shard they go to and their slot in it; shards have near equal sizes in bytes."""
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select("*", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return shard_by_splitters(sized, ["text_crc32", "doc_id"], "size", N_SHARDS)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicate),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("shards", shards),
+]
+
+# Compression, signatures and search are not SQL; the tests hold stages against brute force.
 ORACLE_SQL = None
 
 
