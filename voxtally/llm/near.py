@@ -50,22 +50,6 @@ def lowest_hashes(shingles: np.ndarray, bounds: np.ndarray, count: int) -> np.nd
     return out
 
 
-def joined(edges: list[tuple[int, int]], n: int) -> np.ndarray:
-    """Root of each of ``n`` nodes."""
-    root = np.arange(n)
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        a, b = top(a), top(b)
-        root[max(a, b)] = min(a, b)
-    return np.array([top(x) for x in range(n)], np.int64)
-
-
 def walk_trie(rows: np.ndarray, tree: int, depth: int, deepest: int, least_equal: float) -> np.ndarray:
     """Roots of the texts of one subtree of a sorted prefix trie.
 
@@ -95,8 +79,11 @@ def walk_trie(rows: np.ndarray, tree: int, depth: int, deepest: int, least_equal
     return root
 
 
-def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], same: bool, similarity: float):
-    """Pairs (i, j) of exact Jaccard similarity of at least ``similarity``; i < j if both sides are the same."""
+def linked(left: list[np.ndarray], right: list[np.ndarray], same: bool, similarity: float):
+    """For each i on the left, the j on the right of exact Jaccard similarity of at least ``similarity``.
+
+    Only j > i if both sides are the same.
+    """
     sizes = np.array([len(x) for x in right])
     ids, inverse = np.unique(np.concatenate(right), return_inverse=True)
     bounds = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -106,10 +93,10 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], same: bool, si
         marked = np.zeros(len(ids), np.int32)
         marked[at[ids[at] == own]] = 1
         common = np.add.reduceat(marked[inverse], bounds)
-        close = common >= similarity * (len(own) + sizes - common) - 1e-9
-        for j in np.flatnonzero(close):
-            if not same or j > i:
-                yield i, int(j)
+        close = np.flatnonzero(common >= similarity * (len(own) + sizes - common) - 1e-9)
+        close = close[close > i] if same else close
+        if len(close):
+            yield i, close
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -276,13 +263,16 @@ def exact_links(near: DataFrame, rows: DataFrame, size: int, similarity: float)
             left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
             if not len(left) or not len(right):
                 continue
-            links, edges = np.zeros(len(names), np.int64), []
-            for i, j in linked_pairs([sets[x] for x in left], [sets[x] for x in right], one == two, similarity):
-                x, y = int(left[i]), int(right[j])
-                links[x] += copies[y]
-                links[y] += copies[x]
-                edges.append((x, y))
-            root = joined(edges, len(names))
+            links, root = np.zeros(len(names), np.int64), np.arange(len(names))
+            for i, close in linked([sets[x] for x in left], [sets[x] for x in right], one == two, similarity):
+                x, ys = left[i], right[close]
+                links[x] += copies[ys].sum()
+                links[ys] += copies[x]
+                apart = np.unique(root[ys])
+                apart = apart[apart != root[x]]
+                if len(apart):
+                    apart = np.append(apart, root[x])
+                    root[np.isin(root, apart)] = apart.min()
             told = np.flatnonzero(links)
             if len(told):
                 yield pa.RecordBatch.from_pydict({"node": names[told], "other": names[root[told]], "links": links[told]})
