@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtally.llm.contamination import find_leaks
 from voxtally.llm.language import learn_dictionaries, predict_language
@@ -15,6 +15,24 @@ N_SHARDS = 40
 SEED = 17
 
 
+# A row by id and text. Null ids match each other; two columns stand for the null-safe comparison.
+KEY = ["key_text", "key_id", "key_null"]
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def row_key(doc_id: str, text: Column) -> list[Column]:
+    known = F.coalesce(F.col(doc_id), F.lit(0)).alias("key_id")
+    return [text.alias("key_text"), known, F.col(doc_id).isNull().alias("key_null")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The row as one value beside its key, so that names of columns cannot clash."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), *row_key("doc_id", text_key()))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells: texts without letters and narrow decisions go.
 
@@ -29,28 +47,17 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows that repeat both id and text are one document. Texts without words are no copies.
     """
-    kept = near_duplicates(docs).filter("keep").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    # Null ids match each other; the pair of columns stands for <=>, which no hash join would split by.
-    keyed = keyed.withColumn("_known", F.coalesce("doc_id", F.lit(0))).withColumn("_null", F.col("doc_id").isNull())
-    kept = kept.select("_key", F.coalesce("_id", F.lit(0)).alias("_known"), F.col("_id").isNull().alias("_null"))
-    names = ["_key", "_known", "_null"]
-    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    kept = near_duplicates(docs).filter("keep").select(*row_key("doc_id", F.col("text_key")))
+    return keyed(docs).join(kept, KEY, "left_semi").dropDuplicates(KEY).select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; one with a null id goes only with its own text."""
+    """Documents that hold no benchmark item; rows are told apart by id and text, also where ids are null."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    marked = docs.withColumn("_row", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")))
+    named = docs.select(F.struct(*row_key("doc_id", text_key())).alias("row"), "text")
     # Written, so that Catalyst knows the few leaks by size and need not move the texts.
-    found = find_leaks(marked, items, id_col="_row").select(
-        F.col("_row.key").alias("_key"), F.coalesce("_row.doc_id", F.lit(0)).alias("_known"), F.col("_row.doc_id").isNull().alias("_null")
-    )
-    leaks = materialize(found.distinct(), "leaks")
-    keyed = marked.select(
-        *docs.columns, F.col("_row.key").alias("_key"), F.coalesce("doc_id", F.lit(0)).alias("_known"), F.col("doc_id").isNull().alias("_null")
-    )
-    return keyed.join(leaks, ["_key", "_known", "_null"], "left_anti").select(*docs.columns)
+    leaks = materialize(find_leaks(named, items, id_col="row").select("row.*").distinct(), "leaks")
+    return keyed(docs).join(leaks, KEY, "left_anti").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,15 +78,19 @@ def mix_sources(
     An empty table gives no rows. Columns of ``docs`` named as an added one are replaced.
     """
     docs = docs.drop("copies", "copy", "shuffle_key")
-    named = docs.withColumn("_source", F.coalesce(F.col(source_col), F.lit("")))
+    # The row travels as one value, so that no name of its columns can clash with those made here.
+    named = docs.select(
+        F.struct(*docs.columns).alias("doc"), docs[id_col].alias("_id"), F.coalesce(docs[source_col], F.lit("")).alias("_source")
+    )
     sizes = materialize(named.groupBy("_source").agg(F.count("*").alias("_n")), "sources")
     rates = repetition_rates(sizes, weights, total)
     steps = materialize(rates.select("_source", poisson_steps(F.col("_rate")).alias("_steps")), "rates")
-    u = unit(str(seed), F.col(id_col)) / F.lit(float(1 << BITS))
+    u = unit(str(seed), F.col("_id")) / F.lit(float(1 << BITS))
     # The table of rates has a row per source; Catalyst broadcasts it by its size as written, and
     # beyond that adaptive execution splits a frequent source, as neither side is an aggregate.
     drawn = named.join(steps, "_source").withColumn("copies", F.size(F.filter("_steps", lambda c: c <= u)).cast("long"))
     kept = drawn.filter("copies > 0")
     copies = kept.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    keyed = copies.select(*docs.columns, "copies", "copy", unit(f"{seed}:", F.col(id_col), F.col("copy")).alias("shuffle_key"))
-    return keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    keyed = copies.select("doc", "copies", "copy", unit(f"{seed}:", F.col("_id"), F.col("copy")).alias("shuffle_key"))
+    dealt = keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select("doc.*", "copies", "copy", "shuffle_key")

@@ -70,11 +70,16 @@ def shard_by_splitters(
     ``docs`` are replaced, others are kept.
     """
     docs = docs.drop("shard", "slot")
-    size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
+    spread = F.xxhash64(*[docs[c] for c, t in docs.dtypes if "map<" not in t and t != "variant"])
+    # The row travels as one value, so that no name of its columns can clash with those made here.
+    docs = docs.select(
+        F.struct(*docs.columns).alias("doc"), F.coalesce(docs[size_col], F.lit(0)).cast("long").alias("_size"),
+        spread.alias("_spread"), *[docs[k].alias(f"_key{i}") for i, k in enumerate(keys)],
+    )
+    keys, size = [f"_key{i}" for i in range(len(keys))], F.col("_size")
     n_ranges = min(n_shards * 32, samples // 2)
     splitters, kind = sampled_splitters(docs, keys, size, n_ranges, samples)
-    spread = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t and t != "variant"])
-    ranged = docs.select("*", size.alias("_size"), range_of(keys, splitters, kind).alias("_range"), spread.alias("_spread"))
+    ranged = docs.select("*", range_of(keys, splitters, kind).alias("_range"))
     sums = materialize(ranged.groupBy("_range").agg(F.sum("_size").alias("_sum"), F.count("*").alias("_n")), "ranges")
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     begins = materialize(
@@ -89,14 +94,14 @@ def shard_by_splitters(
     within = W.partitionBy("_range").orderBy(*[F.col(k).asc_nulls_first() for k in keys], "_spread")
     ahead = F.sum("_size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("_size")
     placed = ranged.join(begins, "_range").select(
-        *docs.columns,
+        "doc",
         (F.col("_row_from") + F.row_number().over(within) - 1).alias("_row"),
         (F.col("_from") + ahead).cast("decimal(28,0)").alias("_at"),
         F.greatest("_total", F.lit(1)).alias("_total"),
     )
     # A row of size 0 at the very end would begin beyond the last shard.
     shard = F.least(F.expr(f"(_at * {n_shards}) div _total"), F.lit(n_shards - 1)).cast("int")
-    placed = placed.select(*docs.columns, "_row", shard.alias("shard"))
+    placed = placed.select("doc", "_row", shard.alias("shard"))
     firsts = materialize(placed.groupBy("shard").agg(F.min("_row").alias("_first")), "shards")
     slot = (F.col("_row") - F.col("_first")).cast("long")
-    return placed.join(firsts, "shard").select(*docs.columns, "shard", slot.alias("slot"))
+    return placed.join(firsts, "shard").select("doc.*", "shard", slot.alias("slot"))

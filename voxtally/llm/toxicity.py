@@ -221,15 +221,16 @@ class ToxicityModel:
         Every whole text is scored, null and empty ones as texts without words; repeated
         rows score alike. Columns of ``docs`` of the added names are replaced, others kept.
         """
-        kept = [c for c in docs.columns if c not in ("score", "predicted", "features", text_col)]
-        rows = docs.select(*kept, text_col)
+        kept = [c for c in docs.columns if c not in ("score", "predicted", text_col)]
+        # The row travels as one value, so that no name of its columns can clash with those made here.
+        rows = docs.select(F.struct(*kept).alias("doc"), docs[text_col].cast("string").alias("text"))
         if self.forest is None:
-            scored = rows.select(*kept, F.lit(self.base).alias("score"))
+            scored = rows.select("doc", F.lit(self.base).alias("score"))
         else:
-            found = text_features(rows, self.lexicon, text_col)
-            ready = found.withColumn("_vector", array_to_vector("features")).drop("features")
-            scored = self.forest.transform(ready).select(*kept, vector_to_array("_raw")[1].alias("_margin"))
-            scored = scored.select(*kept, interpolated(F.col("_margin"), *self.corners).alias("score"))
+            ready = text_features(rows, self.lexicon).select("doc", array_to_vector("features").alias("_vector"))
+            scored = self.forest.transform(ready).select("doc", vector_to_array("_raw")[1].alias("_margin"))
+            scored = scored.select("doc", interpolated(F.col("_margin"), *self.corners).alias("score"))
+        scored = scored.select("doc.*", "score")
         return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
