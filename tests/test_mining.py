@@ -33,7 +33,7 @@ def plain_points(data):
         if rating is None or 2 < rating < 4:
             continue
         side = good if rating >= 4 else bad
-        for term in set(re.findall(r"[^\W\d_]{4,}", text.lower())):
+        for term in set(re.findall(r"[^\W\d_]{3,}", text.lower())):
             side[s, term] += 1
             key = (s, term, rating >= 4)
             first[key] = min(first.get(key, o), o)
@@ -79,12 +79,12 @@ def test_product_points_use_the_most_helpful_only(reviews, data, rows):
         for s, items in by_subject.items()
         for n, (_, _, r, t) in enumerate(sorted(items, key=lambda x: x[:2])[:50])
     ]
-    assert rows(mining.mine_points(mining.most_helpful(reviews)), *COLUMNS) == plain_points(capped)
+    assert rows(mining.mine_points(mining.most_helpful(reviews, 50)), *COLUMNS) == plain_points(capped)
 
 
 def test_shared_ids_give_one_quote(spark, reviews, data):
     copies = reviews.union(reviews)
-    points = mining.mine_points(mining.all_reviews(copies), ids_may_repeat=True)
+    points = mining.mine_points(mining.all_reviews(copies))
     assert points.count() == len(plain_points([(s, i, r, t) for i, s, r, _, t in data]))
 
 
@@ -115,10 +115,39 @@ POINT_SCHEMA = (
 )
 
 
+def test_product_points_use_all_reviews(reviews, data, rows):
+    want = plain_points([(s, i, r, t) for i, s, r, _, t in data])
+    assert rows(mining.mine_points(mining.most_helpful(reviews)), *COLUMNS) == want
+
+
+def test_short_words_count(spark):
+    df = mining.all_reviews(spark.createDataFrame([(1, "s", 1.0, 1, "bad fan, no fit")], SCHEMA))
+    assert sorted(r.term for r in mining.pain_points(df).collect()) == ["bad", "fan", "fit"]
+    assert {r.term for r in mining.pain_points(df, k=9, min_length=2).collect()} == {"bad", "fan", "fit", "no"}
+
+
+def test_copies_recommend_once(spark):
+    twice = spark.createDataFrame([(1, "s", 1.0, 1, "broken hinge")] * 2, SCHEMA)
+    lists = mining.point_lists(mining.mine_points(mining.all_reviews(twice)))
+    assert [p.term for p in lists.first().pain] == ["broken", "hinge"]
+
+
+BEST_SCHEMA = "subject string, best struct<term:string,own_df:long,quote:string>"
+BEST = [("s", ("strap", 8, "q2")), ("t", ("battery", 2, "q4"))]
+
+
+def test_unlisted_pain_lies_beyond_the_top_three(spark):
+    texts = ["aaa bbb ccc ddd"] * 3 + ["aaa bbb ccc"] * 2
+    df = mining.all_reviews(spark.createDataFrame([(i, "s", 1.0, 1, t) for i, t in enumerate(texts)], SCHEMA))
+    products = spark.createDataFrame([("s", "Watch", "aaa bbb ccc"), ("x", "y", None)], "subject string, title string, features string")
+    assert [tuple(r.best) for r in mining.unlisted_pain(df, products).collect()] == [("ddd", 3, texts[0])]
+
+
 def test_improvement_skips_listed_features(spark):
     lists = mining.point_lists(spark.createDataFrame(POINTS, POINT_SCHEMA))
     products = spark.createDataFrame(PRODUCTS, "subject string, title string, features string")
-    got = {r.subject: r for r in mining.improvement_candidate(lists, products).collect()}
+    best = spark.createDataFrame(BEST, BEST_SCHEMA)
+    got = {r.subject: r for r in mining.improvement_candidate(lists, best, products).collect()}
     assert [got[s].improve_term for s in "stu"] == ["strap", "battery", None]
     assert (got["s"].evidence, got["s"].quote, len(got["s"].pain)) == (8, "q2", 2)
 
@@ -137,7 +166,7 @@ def test_strategy_has_context(spark):
 def test_bundle_by_position(spark):
     lists = mining.point_lists(spark.createDataFrame(POINTS, POINT_SCHEMA))
     products = spark.createDataFrame(PRODUCTS, "subject string, title string, features string")
-    wide = insights.insight_bundle(flows.product_outputs(lists, products), PRODUCT_TASKS)
+    wide = insights.insight_bundle(flows.product_outputs(lists, spark.createDataFrame(BEST, BEST_SCHEMA), products), PRODUCT_TASKS)
     got = {r.subject: tuple(r)[1:] for r in wide.collect()}
     assert got["s"] == ("1. screen (5)", "1. battery (9)\n2. strap (8)", "Improve strap")
     assert got["u"] == (None, None, None)

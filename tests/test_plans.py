@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from voxtally.operators import market, skew
 from voxtally.operators import reviews as rv
+from voxtally.plans.driver_queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,7 +44,7 @@ def test_scan_reads_only_needed_columns(spark):
 
 def test_no_query_needs_a_cross_join(spark):
     streams = ("t1", "t2", "t3", "t4", "s4", "s7", "h3", "a12_c", "x12_c")
-    for name, fn in queries().items():
+    for name, fn in QUERIES.items():
         if not name.startswith(streams):
             text = plan(fn(spark, SF))
             assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name

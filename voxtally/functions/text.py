@@ -56,7 +56,10 @@ def contains_text(c: Column, query: str, wildcards: bool = False) -> Column:
     return F.like(F.lower(c), F.lower(F.lit(f"%{query}%")), F.lit(escape))
 
 
-def terms(c: Column, min_length: int = 4) -> Column:
+MIN_LETTERS = 3
+
+
+def terms(c: Column, min_length: int = MIN_LETTERS) -> Column:
     """Distinct lower-case words of at least ``min_length`` letters."""
     pattern = rf"(\p{{L}}{{{min_length},}})"
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(1)))

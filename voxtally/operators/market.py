@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from voxtally.functions.text import terms
+from voxtally.functions.text import MIN_LETTERS, terms
 from voxtally.operators.skew import salted_join
 
 
@@ -22,10 +22,12 @@ def rating_trend(reviews: DataFrame) -> DataFrame:
     return monthly.withColumn("change", F.col("avg_rating") - before)
 
 
-def review_keywords(reviews: DataFrame, k: int = 10) -> DataFrame:
+def review_keywords(
+    reviews: DataFrame, k: int = 10, min_length: int = MIN_LETTERS
+) -> DataFrame:
     """Terms that mark a subject: reviews with the term times log(subjects / subjects with it)."""
     tf = (
-        reviews.select("subject", F.explode(terms(F.col("text"))).alias("term"))
+        reviews.select("subject", F.explode(terms(F.col("text"), min_length)).alias("term"))
         .groupBy("subject", "term")
         .agg(F.count("*").alias("tf"))
     )

@@ -10,16 +10,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxtally.functions.text import terms
-from voxtally.operators.reviews import TOP_REVIEWS, number_reviews
+from voxtally.functions.text import MIN_LETTERS, terms
+from voxtally.operators.reviews import number_reviews
 from voxtally.operators.skew import salted_join
 
 PRAISE, PAIN = "praise", "pain"
 PRAISED_K, PAIN_K, STRATEGY_K = 4, 3, 2
 
 
-def most_helpful(reviews: DataFrame, k: int = TOP_REVIEWS, subject: str = "subject") -> DataFrame:
-    """Mining input for products: the ``k`` most helpful reviews of each."""
+def most_helpful(reviews: DataFrame, k: int | None = None, subject: str = "subject") -> DataFrame:
+    """Mining input for products: every review, or only the ``k`` most helpful of each.
+
+    Without ``k`` the review with the smallest id is quoted first, with it the most helpful.
+    """
+    if k is None:
+        return all_reviews(reviews, subject)
     return _shape(number_reviews(reviews, subject, k, "ord"), subject, F.col("ord"))
 
 
@@ -42,14 +47,16 @@ def page_position(page_no: Column, pos: Column) -> Column:
     return F.shiftleft(page_no.cast("bigint"), 32) + pos
 
 
-def rate_by_words(reviews: DataFrame, words: DataFrame, subject: str = "subject") -> DataFrame:
+def rate_by_words(
+    reviews: DataFrame, words: DataFrame, subject: str = "subject", min_length: int = MIN_LETTERS
+) -> DataFrame:
     """Ratings for reviews that carry none, from a table ``(word, weight)`` of +1 and -1.
 
     The sign of the summed weights gives 5, 1 or 3. Term rows carry no text; the
     sums go back to the reviews by key.
     """
     hits = (
-        reviews.select(subject, "ord", F.explode(terms(F.col("text"))).alias("word"))
+        reviews.select(subject, "ord", F.explode(terms(F.col("text"), min_length)).alias("word"))
         .join(words, "word")
         .groupBy(subject, "ord")
         .agg(F.sum("weight").alias("weight"))
@@ -68,7 +75,7 @@ def _polar(reviews: DataFrame) -> DataFrame:
     return reviews.where((rating >= 4) | (rating <= 2))
 
 
-def term_stats(reviews: DataFrame) -> DataFrame:
+def term_stats(reviews: DataFrame, min_length: int = MIN_LETTERS) -> DataFrame:
     """Reviews for and against, per subject and term, with the first of each to quote.
 
     Buffers are whole numbers only, so this is a hash aggregate with map-side
@@ -76,7 +83,7 @@ def term_stats(reviews: DataFrame) -> DataFrame:
     """
     rows = _polar(reviews).select(
         "subject", "ord", (F.col("rating") >= 4).alias("good"),
-        F.explode(terms(F.col("text"))).alias("term"),
+        F.explode(terms(F.col("text"), min_length)).alias("term"),
     )
     good, order = F.col("good"), F.col("ord")
     return rows.groupBy("subject", "term").agg(
@@ -87,11 +94,11 @@ def term_stats(reviews: DataFrame) -> DataFrame:
     )
 
 
-def common_terms(reviews: DataFrame, max_share: float) -> DataFrame:
+def common_terms(reviews: DataFrame, max_share: float, min_length: int = MIN_LETTERS) -> DataFrame:
     """Terms in more than ``max_share`` of all reviews."""
     total = reviews.agg(F.count("*")).scalar()
     counts = (
-        reviews.select(F.explode(terms(F.col("text"))).alias("term"))
+        reviews.select(F.explode(terms(F.col("text"), min_length)).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
@@ -127,16 +134,16 @@ def rank_points(
     )
 
 
-def with_quotes(points: DataFrame, reviews: DataFrame, ids_may_repeat: bool = False) -> DataFrame:
+def with_quotes(points: DataFrame, reviews: DataFrame) -> DataFrame:
     """Adds the quoted review's text to the few chosen points.
 
     An inner join, which lets Catalyst send the points to the texts when they are
-    few: every point has its review. ``ids_may_repeat`` is for exact copies that
-    share an id; their equal quotes are folded to one.
+    few: every point has its review. Exact copies of a review share an id; their
+    equal quotes are folded to one.
     """
     texts = _polar(reviews).select("subject", "ord", F.col("text").alias("quote"))
     quoted = points.join(texts, ["subject", "ord"]).drop("ord")
-    return quoted.dropDuplicates(["subject", "kind", "rank"]) if ids_may_repeat else quoted
+    return quoted.dropDuplicates(["subject", "kind", "rank"])
 
 
 def mine_points(
@@ -144,14 +151,14 @@ def mine_points(
     praised_k: int = PRAISED_K,
     pain_k: int = PAIN_K,
     max_share: float | None = None,
-    ids_may_repeat: bool = False,
+    min_length: int = MIN_LETTERS,
 ) -> DataFrame:
     """``subject, kind, rank, term, own_df, diff, quote`` for both kinds in one pass."""
-    stats = term_stats(reviews)
+    stats = term_stats(reviews, min_length)
     if max_share is not None:
-        common = common_terms(reviews, max_share)
+        common = common_terms(reviews, max_share, min_length)
         stats = salted_join(stats, common, ["term"], "left_anti", F.col("subject"))
-    return with_quotes(rank_points(stats, praised_k, pain_k), reviews, ids_may_repeat)
+    return with_quotes(rank_points(stats, praised_k, pain_k), reviews)
 
 
 def praised_features(reviews: DataFrame, k: int = PRAISED_K, **kw) -> DataFrame:
@@ -182,19 +189,29 @@ def with_context(task: DataFrame, *contexts: DataFrame, key: str = "subject") ->
     return task
 
 
-def improvement_candidate(lists: DataFrame, products: DataFrame) -> DataFrame:
+def unlisted_pain(
+    reviews: DataFrame, products: DataFrame, min_length: int = MIN_LETTERS
+) -> DataFrame:
+    """The top pain point of each subject among the terms its listed features do not name.
+
+    Listed terms are taken out before ranking, so it may lie beyond the top pain points.
+    """
+    named = terms(F.col("features"), min_length)
+    listed = products.select("subject", F.explode(named).alias("term")).distinct()
+    stats = term_stats(reviews, min_length).join(listed, ["subject", "term"], "left_anti")
+    best = with_quotes(rank_points(stats, 0, 1), reviews)
+    return best.select("subject", F.struct("term", "own_df", "quote").alias("best"))
+
+
+def improvement_candidate(lists: DataFrame, best: DataFrame, products: DataFrame) -> DataFrame:
     """The first pain point per product that its listed features do not name already.
 
-    ``lists`` comes from ``point_lists``; ``products`` holds ``subject, title,
-    features`` (text). Every product gets a row, with nulls when nothing is left
-    to propose; praised features and pain points come along as context.
+    ``lists`` comes from ``point_lists``, ``best`` from ``unlisted_pain``; ``products`` holds
+    ``subject, title, features`` (text). Every product gets a row, with nulls when nothing is
+    left to propose; praised features and pain points come along as context.
     """
-    listed = F.coalesce(terms(F.col("features")), F.array().cast("array<string>"))
-    named = with_context(products.select("subject", "title", "features"), lists)
-    first = F.get(
-        F.filter("pain", lambda p: ~F.array_contains(F.col("listed"), p["term"])), F.lit(0)
-    )
-    return named.withColumn("listed", listed).withColumn("best", first).select(
+    named = with_context(products.select("subject", "title", "features"), lists, best)
+    return named.select(
         "subject", "title", "features",
         F.col("best.term").alias("improve_term"),
         F.col("best.own_df").alias("evidence"),

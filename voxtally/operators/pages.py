@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtally.functions.status import (
     FETCH_FAILED, INSUFFICIENT, NO_REVIEWS, OK, outcome_message, url_reject_reason,
 )
 from voxtally.functions.text import clean_company_url
-from voxtally.sources.readers import MAX_PAGES
 
 # Ship this module's functions by value: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -98,11 +98,9 @@ class _Blocks(HTMLParser):
 def page_blocks(html: str, tag: str, css_class: str | None, attr: str | None) -> list[str | None]:
     """Stripped text, or one attribute, of every wanted element in document order."""
     parser = _Blocks(tag, css_class)
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # a declaration the parser gives up on: keep what came before
-        pass
+    # Declarations the parser gives up on are taken out; the rest of the page is read.
+    parser.feed(re.sub(r"<!\[(?!CDATA\[)[^>]*>?", "", html, flags=re.I))
+    parser.close()
     if attr:
         return [attrs.get(attr) for _, attrs in parser.found]
     return ["".join(parts).strip() for parts, _ in parser.found]
@@ -160,66 +158,42 @@ def extract_attr(
     return _extract(pages, tag.lower(), css_class, attr.lower(), keys, "value")
 
 
-def page_limits(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def _numbered(pages: DataFrame, max_pages: int | None) -> DataFrame:
+    no = F.col("page_no")
+    return pages.where(no >= 1 if max_pages is None else no.between(1, max_pages))
+
+
+def page_limits(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Number of pages read per company before the first failed or missing one.
 
-    An aggregate over at most ``max_pages`` numbers a company, so partial
-    aggregation folds a company of any size before the shuffle. Also keeps the
-    status code of page 1, which the outcome message shows.
+    A page saved more than once is good when any copy is. All pages count, or the first
+    ``max_pages``. Copies fold in each task before the shuffle, and only page numbers travel.
+    Also keeps the status code of page 1, which the outcome message shows.
     """
     no, status = F.col("page_no"), F.col("status_code")
-    numbers = lambda wanted: F.collect_set(F.when(wanted, no.cast("int")))
-    return (
-        pages.where(no.between(1, max_pages))
-        .groupBy("company")
-        .agg(
-            numbers(status == 200).alias("good"),
-            numbers((status != 200) | status.isNull()).alias("failed"),
-            F.max(F.when(no == 1, status)).alias("first_status"),
-        )
-        .select(
-            "company",
-            "first_status",
-            (
-                F.array_min(
-                    F.array_except(
-                        F.sequence(F.lit(1), F.lit(max_pages + 1)),
-                        F.array_except("good", "failed"),
-                    )
-                )
-                - 1
-            ).alias("pages_read"),
-        )
+    good = F.coalesce(F.max(status == 200), F.lit(False))
+    once = _numbered(pages, max_pages).groupBy("company", no.cast("bigint").alias("page_no")).agg(
+        good.alias("good"), F.max(F.when(status != 200, status)).alias("failed")
     )
-
-
-def fold_copies(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """One row per company and page, 1 to ``max_pages``, however often a page was saved.
-
-    A page with a failed copy is a failed page; otherwise the smallest text counts.
-    The aggregate folds copies inside each task, so a page saved very many times
-    reaches the shuffle as a few rows, and a company has at most ``max_pages`` after it.
-    """
-    status = F.col("status_code")
-    failed = F.when(status.isNull() | (status != 200), F.coalesce(status, F.lit(0)))
+    # The nth good page bears the number n just as long as none before it failed or is missing.
+    place = F.row_number().over(Window.partitionBy("company").orderBy(~F.col("good"), "page_no"))
+    code = F.when(F.col("good"), F.lit(200)).otherwise(F.col("failed"))
     return (
-        pages.where(F.col("page_no").between(1, max_pages))
-        .groupBy("company", "page_no")
+        once.withColumn("place", place)
+        .groupBy("company")
         .agg(
-            F.coalesce(F.min(failed), F.lit(200)).alias("status_code"), F.min("html").alias("html")
+            F.max(F.when(F.col("page_no") == 1, code)).alias("first_status"),
+            F.count_if(F.col("good") & (F.col("place") == F.col("page_no"))).cast("int").alias("pages_read"),
         )
     )
 
 
-def keep_page_prefix(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Pages 1 to ``max_pages`` that come before the first failed or missing page.
-
-    Expects one row per page; ``fold_copies`` makes it so.
-    """
+def keep_page_prefix(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Good pages that come before the first failed or missing page of their company."""
     limits = page_limits(pages, max_pages).select("company", "pages_read")
-    first = pages.where(F.col("page_no").between(1, max_pages))
     return (
-        first.join(limits, "company")
+        _numbered(pages, max_pages).where(F.col("status_code") == 200)
+        .join(limits, "company")
         .where(F.col("page_no") <= F.col("pages_read"))
         .drop("pages_read")
     )
@@ -271,17 +245,20 @@ def company_reviews(
     pages: DataFrame,
     tag: str = "div",
     css_class: str | None = REVIEW_CLASS,
-    max_pages: int = MAX_PAGES,
-    unique_pages: bool = False,
+    max_pages: int | None = None,
 ) -> DataFrame:
     """Reviews of every company: ``company, page_no, pos, text``.
 
-    Only pages that survive the page rule are parsed. Pages saved more than once
-    count once; ``unique_pages=True`` skips that step where it cannot happen.
+    Pages are parsed where they lie, and only the extracted reviews move: those of pages that the
+    page rule keeps stay. Of different texts saved for one page the one with the smallest
+    hash counts; equal copies fold to one.
     """
-    once = pages if unique_pages else fold_copies(pages, max_pages)
-    kept = keep_page_prefix(once, max_pages)
-    return extract_blocks(kept, tag, css_class, keys=("company", "page_no"))
+    marked = _numbered(pages, max_pages).where(F.col("status_code") == 200).withColumn("copy", F.xxhash64("html"))
+    chosen = keep_page_prefix(pages.withColumn("copy", F.xxhash64("html")).drop("html"), max_pages)
+    chosen = chosen.groupBy("company", "page_no").agg(F.min("copy").alias("copy"))
+    found = extract_blocks(marked, tag, css_class, keys=("company", "page_no", "copy"))
+    kept = found.join(chosen, ["company", "page_no", "copy"], "left_semi")
+    return kept.groupBy("company", "page_no", "pos").agg(F.first("text").alias("text"))
 
 
 def passing_reviews(reviews: DataFrame, outcomes: DataFrame) -> DataFrame:

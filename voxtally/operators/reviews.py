@@ -8,6 +8,7 @@ from voxtally.operators.catalog import title_to_parent
 from voxtally.operators.skew import salted_join
 
 TOP_REVIEWS = 50
+PROMPT_PAGES = 4
 PRODUCT_COLUMNS = ("main_category", "average_rating", "rating_number", "price")
 
 
@@ -97,24 +98,27 @@ def reviews_text_numbered(
     return ranked.groupBy(key).agg(_join_lines(no, line).alias("reviews_text"))
 
 
-def reviews_text_plain(reviews: DataFrame, key: str = "company") -> DataFrame:
-    """``Review: text`` lines per company, in page order.
+def reviews_text_plain(
+    reviews: DataFrame, key: str = "company", max_pages: int = PROMPT_PAGES
+) -> DataFrame:
+    """``Review: text`` lines per company, in page order, from its first ``max_pages`` pages.
 
-    Meant for the reviews of saved pages, where a company has at most
-    ``max_pages`` pages (see ``pages.keep_page_prefix``).
+    The bound is that of a prompt; mining and the gate read all pages.
     """
     line = F.concat(F.lit("Review: "), F.col("text"))
     return (
-        reviews.where(F.col("text").isNotNull())
+        reviews.where(F.col("text").isNotNull() & (F.col("page_no") <= max_pages))
         .groupBy(key)
         .agg(_join_lines(F.struct("page_no", "pos"), line).alias("reviews_text"))
     )
 
 
-def company_review_bundle(reviews: DataFrame, key: str = "company") -> DataFrame:
+def company_review_bundle(
+    reviews: DataFrame, key: str = "company", max_pages: int = PROMPT_PAGES
+) -> DataFrame:
     """List of reviews and their count per company; same bound as above."""
     rows = F.array_sort(F.collect_list(F.struct("page_no", "pos", "text")))
-    return reviews.groupBy(key).agg(
+    return reviews.where(F.col("page_no") <= max_pages).groupBy(key).agg(
         F.transform(rows, lambda r: r["text"]).alias("reviews"),
         F.count("*").alias("reviews_count"),
     )

@@ -24,7 +24,6 @@ from voxtally.operators.reviews import TOP_REVIEWS, reviews_text_numbered, revie
 from voxtally.operators.skew import salted_join
 from voxtally.plans.flows import parsed_company_reviews
 from voxtally.session import materialize
-from voxtally.sources.readers import MAX_PAGES
 
 MakeModel = Callable[[], Callable[[str, str | None], str]]
 
@@ -102,7 +101,7 @@ def analyze_companies(
     make_model: MakeModel,
     tag: str = "div",
     css_class: str | None = REVIEW_CLASS,
-    max_pages: int = MAX_PAGES,
+    max_pages: int | None = None,
     n: int = MIN_REVIEWS,
     concurrency: int | None = None,
 ) -> DataFrame:

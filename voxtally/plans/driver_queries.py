@@ -376,7 +376,7 @@ _KEPT = with_views("SELECT page_id, company, page_no FROM fx_kept", "fx_kept")
 
 @query("f13_page_prefix", _KEPT)
 def f13(spark, sf):
-    kept = pg.keep_page_prefix(dv.pages(spark, sf, upto=4))
+    kept = pg.keep_page_prefix(dv.pages(spark, sf))
     return kept.select("page_id", "company", "page_no")
 
 
@@ -385,7 +385,7 @@ def f13(spark, sf):
     with_views("SELECT company, reviews_count, outcome, message FROM fx_gate", "fx_gate"),
 )
 def f14(spark, sf):
-    saved = dv.pages(spark, sf, "html", upto=4)
+    saved = dv.pages(spark, sf, "html")
     return pg.min_review_gate(saved, pg.company_reviews(saved, **AD), pg.page_limits(saved), 2)
 
 
@@ -593,24 +593,24 @@ def a3(spark, sf):
     "a4_reviews_text_plain",
     with_views(
         """SELECT company, string_agg('Review: ' || "text", chr(10) ORDER BY page_no, pos)
-                  AS reviews_text FROM fx_ads GROUP BY company""",
+                  AS reviews_text FROM fx_ads WHERE page_no <= 4 GROUP BY company""",
         "fx_ads",
     ),
 )
 def a4(spark, sf):
-    return rv.reviews_text_plain(pg.company_reviews(dv.pages(spark, sf, "html", upto=4), **AD))
+    return rv.reviews_text_plain(pg.company_reviews(dv.pages(spark, sf, "html"), **AD))
 
 
 @query(
     "a5_company_review_bundle",
     with_views(
         """SELECT company, string_agg("text", chr(10) ORDER BY page_no, pos) AS reviews,
-                  count(*) AS reviews_count FROM fx_ads GROUP BY company""",
+                  count(*) AS reviews_count FROM fx_ads WHERE page_no <= 4 GROUP BY company""",
         "fx_ads",
     ),
 )
 def a5(spark, sf):
-    found = pg.company_reviews(dv.pages(spark, sf, "html", upto=4), **AD)
+    found = pg.company_reviews(dv.pages(spark, sf, "html"), **AD)
     return rv.company_review_bundle(found).withColumn("reviews", F.array_join("reviews", "\n"))
 
 
@@ -643,7 +643,7 @@ def _points_sql(kind: str, source: str, exclude: str = "", extra: dict | None =
     )
 
 
-def _capped(spark, sf):
+def _mined(spark, sf):
     return mining.most_helpful(dv.text_reviews(spark, sf))
 
 
@@ -651,9 +651,9 @@ def _all(spark, sf):
     return mining.all_reviews(dv.text_reviews(spark, sf))
 
 
-@query("a8_praised_features", _points_sql("praise", "fx_capped"))
+@query("a8_praised_features", _points_sql("praise", "fx_all"))
 def a8(spark, sf):
-    return mining.praised_features(_capped(spark, sf))
+    return mining.praised_features(_mined(spark, sf))
 
 
 @query("a8_company_strengths", _points_sql("praise", "fx_all"))
@@ -680,9 +680,9 @@ def a8_words(spark, sf):
     return mining.praised_features(rated)
 
 
-@query("a9_pain_points", _points_sql("pain", "fx_capped"))
+@query("a9_pain_points", _points_sql("pain", "fx_all"))
 def a9(spark, sf):
-    return mining.pain_points(_capped(spark, sf))
+    return mining.pain_points(_mined(spark, sf))
 
 
 @query("a9_company_challenges", _points_sql("pain", "fx_all"))
@@ -707,11 +707,13 @@ _LISTS = {
 }
 _BEST_CHANGE = {
     "fx_change": f"""
-        SELECT * FROM (
-          SELECT p.*, row_number() OVER (PARTITION BY p.subject ORDER BY p.rnk) AS rn FROM fx_points p
-          WHERE kind = 'pain' AND NOT EXISTS (
+        SELECT p.subject, p.term, p.own_df, q."text" AS quote FROM (
+          SELECT subject, term, neg_df AS own_df, neg_ord AS ord,
+                 row_number() OVER (PARTITION BY subject ORDER BY neg_df - pos_df DESC, neg_df DESC, term) AS rn
+          FROM fx_stats p WHERE neg_df > pos_df AND NOT EXISTS (
             SELECT 1 FROM (SELECT subject, unnest({dv.sql_terms('features')}) AS term FROM fx_subjects) f
-            WHERE f.subject = p.subject AND f.term = p.term)) WHERE rn = 1"""
+            WHERE f.subject = p.subject AND f.term = p.term)) p
+        LEFT JOIN fx_all q ON p.subject = q.subject AND p.ord = q.ord WHERE rn = 1"""
 }
 
 
@@ -723,13 +725,14 @@ _BEST_CHANGE = {
            FROM fx_subjects s LEFT JOIN fx_change c ON s.subject = c.subject
            LEFT JOIN fx_praise a ON s.subject = a.subject LEFT JOIN fx_pain b ON s.subject = b.subject""",
         "fx_subjects",
-        "fx_capped",
-        extra=dv.sql_points("fx_capped") | _LISTS | _BEST_CHANGE,
+        "fx_all",
+        extra=dv.sql_points("fx_all") | _LISTS | _BEST_CHANGE,
     ),
 )
 def a10(spark, sf):
-    lists = mining.point_lists(mining.mine_points(_capped(spark, sf)))
-    found = mining.improvement_candidate(lists, dv.subjects(spark, sf))
+    lists = mining.point_lists(mining.mine_points(_mined(spark, sf)))
+    best = mining.unlisted_pain(_mined(spark, sf), dv.subjects(spark, sf))
+    found = mining.improvement_candidate(lists, best, dv.subjects(spark, sf))
     return found.select(
         "subject", "title", "improve_term", text("evidence").alias("evidence"), "quote",
         insights.point_text(F.col("pain")).alias("pain"),
@@ -778,12 +781,12 @@ def a11(spark, sf):
         """SELECT s.subject, s.title, praise FROM fx_subjects s
            LEFT JOIN fx_praise a ON s.subject = a.subject""",
         "fx_subjects",
-        "fx_capped",
-        extra=dv.sql_points("fx_capped") | _LISTS,
+        "fx_all",
+        extra=dv.sql_points("fx_all") | _LISTS,
     ),
 )
 def j3(spark, sf):
-    lists = mining.point_lists(mining.mine_points(_capped(spark, sf)))
+    lists = mining.point_lists(mining.mine_points(_mined(spark, sf)))
     products = dv.subjects(spark, sf).select("subject", "title")
     joined = mining.with_context(products, lists.select("subject", "praise"))
     return joined.withColumn("praise", insights.point_text(F.col("praise")))
@@ -796,8 +799,8 @@ def j3(spark, sf):
            FROM fx_subjects s LEFT JOIN fx_change c ON s.subject = c.subject
            LEFT JOIN fx_praise a ON s.subject = a.subject LEFT JOIN fx_pain b ON s.subject = b.subject""",
         "fx_subjects",
-        "fx_capped",
-        extra=dv.sql_points("fx_capped") | _LISTS | _BEST_CHANGE,
+        "fx_all",
+        extra=dv.sql_points("fx_all") | _LISTS | _BEST_CHANGE,
     ),
 )
 def a12(spark, sf):
@@ -838,7 +841,7 @@ _STRATEGY = {
 )
 def a12_company(spark, sf):
     return flows.company_insights(
-        dv.pages(spark, sf, "html", upto=4), dv.words(spark, sf), dv.host_profiles(spark, sf),
+        dv.pages(spark, sf, "html"), dv.words(spark, sf), dv.host_profiles(spark, sf),
         **AD, n=2,
     )
 
@@ -870,7 +873,7 @@ def w1(spark, sf):
     ),
 )
 def w2(spark, sf):
-    return pg.page_limits(dv.pages(spark, sf, upto=4)).select("company", "pages_read")
+    return pg.page_limits(dv.pages(spark, sf)).select("company", "pages_read")
 
 
 @query(
@@ -1078,7 +1081,8 @@ def _sql_prompts(
         ),
         "fx_subjects",
         "fx_capped",
-        extra=dv.sql_points("fx_capped")
+        "fx_all",
+        extra=dv.sql_points("fx_all")
         | _LISTS
         | {
             "fx_lines": """SELECT subject, string_agg('Review ' || ord || ': ' || "text", chr(10)
@@ -1113,7 +1117,7 @@ def x12(spark, sf):
         | _LISTS
         | {
             "fx_lines": """SELECT company AS subject, string_agg('Review: ' || "text", chr(10)
-                ORDER BY page_no, pos) AS reviews FROM fx_ads GROUP BY company""",
+                ORDER BY page_no, pos) AS reviews FROM fx_ads WHERE page_no <= 4 GROUP BY company""",
             "fx_found": f"""SELECT h.subject, {dv.sql_company_name('h.subject')} AS name, reviews,
                     {_PROFILE_LINES} AS profile,
                     concat_ws(chr(10), {_PROFILE_LINES}, praise, pain) AS context
@@ -1124,7 +1128,7 @@ def x12(spark, sf):
     ),
 )
 def x12_company(spark, sf):
-    found = flows.parsed_company_reviews(dv.pages(spark, sf, "html", upto=4), **AD)
+    found = flows.parsed_company_reviews(dv.pages(spark, sf, "html"), **AD)
     points = mining.mine_points(flows.rated_company_reviews(found, dv.words(spark, sf)))
     return flows.company_prompt_table(
         found, mining.point_lists(points), dv.host_profiles(spark, sf)
@@ -1239,7 +1243,7 @@ def h2(spark, sf):
     with_views('SELECT company, page_no, pos, "text" FROM fx_passed', "fx_passed"),
 )
 def h3(spark, sf):
-    saved = dv.pages(spark, sf, "html", upto=4)
+    saved = dv.pages(spark, sf, "html")
     found = flows.parsed_company_reviews(saved, **AD)
     return pg.passing_reviews(found, pg.min_review_gate(saved, found, pg.page_limits(saved), 2))
 
@@ -1248,9 +1252,12 @@ def h3(spark, sf):
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream, whether it is one file or a folder of files."""
-    schema = table(spark, sf, "events").schema
-    return ingest.scan_stream(spark, f"{sf}/events.parque[t]", schema)
+    """The events table as a stream of four files in shuffled time order, one a batch."""
+    events = table(spark, sf, "events")
+    folder = shared_folder(spark, "events")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    events.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(folder)
+    return ingest.scan_stream(spark, f"{folder}/part=*", events.schema, files_per_trigger=1)
 
 
 def _folders(spark: SparkSession, purpose: str) -> tuple[str, str]:
@@ -1299,13 +1306,13 @@ def t4(spark, sf):
     return tasks.expire_tasks(state, as_of()).select("task_id", "status", us("ts"))
 
 
-# The stream's clock is the newest time it has seen, in whole milliseconds.
+# The stream's clock is the newest time it has seen.
 @query(
     "t4_expiring_task_stream",
     with_views(
         """SELECT task_id, status, epoch_us(ts) // 1000 AS ts_ms FROM fx_latest
            WHERE NOT (status IN ('completed', 'failed')
-                      AND (SELECT max(epoch_us(ts) // 1000) FROM fx_tasks) - epoch_us(ts) // 1000 > 3600000)""",
+                      AND (SELECT max(epoch_us(ts)) FROM fx_tasks) - epoch_us(ts) > 3600000000)""",
         "fx_latest",
     ),
 )
@@ -1447,14 +1454,14 @@ def p1_products(spark, sf):
         extra={
             "fx_asked": f"""SELECT company AS subject, {dv.sql_company_name('company')} AS name,
                     string_agg('Review: ' || "text", chr(10) ORDER BY page_no, pos) AS reviews
-                FROM fx_passed GROUP BY company"""
+                FROM fx_passed WHERE page_no <= 4 GROUP BY company"""
         }
         | _sql_stages(pr.COMPANY_STAGES, "fx_asked", company="name", reviews="reviews"),
     ),
 )
 def p1_companies(spark, sf):
     return analysis.analyze_companies(
-        dv.pages(spark, sf, "html", upto=4), _digest_model, **AD, n=2
+        dv.pages(spark, sf, "html"), _digest_model, **AD, n=2
     )
 
 

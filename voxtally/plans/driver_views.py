@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from voxtally.functions.status import COMPLETED, FAILED, INSUFFICIENT_TEXT, NO_REVIEWS_TEXT, RUNNING
-from voxtally.functions.text import clean_company_url, terms
+from voxtally.functions.text import MIN_LETTERS, clean_company_url, terms
 from voxtally.session import configure
 
 AS_OF = "2024-01-30 23:59:59"
@@ -228,7 +228,7 @@ def _q(text: str) -> str:
 
 
 def sql_terms(column: str) -> str:
-    return f"list_distinct(regexp_extract_all(lower({column}), '(\\p{{L}}{{4,}})', 1))"
+    return f"list_distinct(regexp_extract_all(lower({column}), '(\\p{{L}}{{{MIN_LETTERS},}})', 1))"
 
 
 def sql_host(column: str) -> str:
@@ -303,7 +303,7 @@ SQL_VIEWS = {
         SELECT * EXCLUDE (rn, bad) FROM (
           SELECT *, row_number() OVER w AS rn,
                  sum(CASE WHEN status_code <> 200 THEN 1 ELSE 0 END) OVER w AS bad
-          FROM fx_pages WHERE page_no BETWEEN 1 AND 4
+          FROM fx_pages
           WINDOW w AS (PARTITION BY company ORDER BY page_no ROWS UNBOUNDED PRECEDING))
         WHERE rn = page_no AND bad = 0""",
     "fx_ads": """
@@ -354,7 +354,7 @@ SQL_VIEWS = {
                cast(count(*) AS varchar) AS customer_base,
                split_part(subject, '.', -1) AS market_presence
         FROM (SELECT {sql_host('url')} AS subject, html FROM pages) GROUP BY subject""",
-    # Mining inputs: the 50 most helpful reviews of a product, or all of a company.
+    # The text of a product's prompt is its 50 most helpful reviews; mining reads all.
     "fx_capped": """
         SELECT subject, ord, rating, "text" FROM (
           SELECT *, row_number() OVER (PARTITION BY subject

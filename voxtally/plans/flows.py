@@ -10,14 +10,13 @@ from voxtally.operators.clean import load_metadata, load_reviews
 from voxtally.operators.insights import insight_bundle, point_text, prompt_table
 from voxtally.operators.mining import (
     PROFILE_FIELDS, STRATEGY_K, all_reviews, company_profile, improvement_candidate, mine_points,
-    most_helpful, page_position, point_lists, rate_by_words, with_context,
+    most_helpful, page_position, point_lists, rate_by_words, unlisted_pain, with_context,
 )
 from voxtally.operators.pages import (
     MIN_REVIEWS, REVIEW_CLASS, company_reviews, min_review_gate, page_limits, passing_reviews,
 )
 from voxtally.operators.reviews import TOP_REVIEWS, reviews_text_numbered, reviews_text_plain
 from voxtally.session import materialize
-from voxtally.sources.readers import MAX_PAGES
 from voxtally.sources.writers import with_review_id, write_metadata, write_reviews
 
 
@@ -41,9 +40,9 @@ def _outputs(subjects: DataFrame, tasks: tuple[str, ...], *texts) -> DataFrame:
     return subjects.select("subject", F.inline(rows))
 
 
-def product_outputs(lists: DataFrame, products: DataFrame) -> DataFrame:
+def product_outputs(lists: DataFrame, best: DataFrame, products: DataFrame) -> DataFrame:
     """The three findings of every product in long form."""
-    found = improvement_candidate(lists, products)
+    found = improvement_candidate(lists, best, products)
     proposal = F.concat(F.lit("Improve "), F.col("improve_term"))
     return _outputs(
         found, PRODUCT_TASKS, point_text(F.col("praise")), point_text(F.col("pain")), proposal
@@ -51,25 +50,29 @@ def product_outputs(lists: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def product_insights(
-    reviews: DataFrame, products: DataFrame, k: int = TOP_REVIEWS
+    reviews: DataFrame, products: DataFrame, mined_k: int | None = None
 ) -> DataFrame:
     """One row per product: praised features, pain points, improvement.
 
     ``reviews``: subject, id, rating, helpful_vote, text. ``products``: subject,
-    title, features.
+    title, features. All reviews are mined, or the ``mined_k`` most helpful of each.
     """
-    lists = point_lists(mine_points(most_helpful(reviews, k)))
-    return insight_bundle(product_outputs(lists, products), PRODUCT_TASKS)
+    mined = most_helpful(reviews, mined_k)
+    lists = point_lists(mine_points(mined))
+    return insight_bundle(product_outputs(lists, unlisted_pain(mined, products), products), PRODUCT_TASKS)
 
 
 def product_prompt_table(
-    reviews: DataFrame, products: DataFrame, k: int = TOP_REVIEWS
+    reviews: DataFrame, products: DataFrame, k: int = TOP_REVIEWS, mined_k: int | None = None
 ) -> DataFrame:
-    """Prompts of the three product tasks, the third with the findings as context."""
+    """Prompts of the three product tasks, the third with the findings as context.
+
+    A prompt holds the ``k`` most helpful reviews; findings are mined from all of them, or ``mined_k``.
+    """
     texts = reviews_text_numbered(reviews, "subject", k).withColumnRenamed(
         "reviews_text", "reviews"
     )
-    lists = point_lists(mine_points(most_helpful(reviews, k)))
+    lists = point_lists(mine_points(most_helpful(reviews, mined_k)))
     findings = with_context(products, texts, lists)
     context = F.concat_ws("\n", point_text(F.col("pain")), point_text(F.col("praise")))
     return prompt_table(findings, PRODUCT_TASKS, {"improvement": context})
@@ -104,7 +107,7 @@ def parsed_company_reviews(
     pages: DataFrame,
     tag: str = "div",
     css_class: str | None = REVIEW_CLASS,
-    max_pages: int = MAX_PAGES,
+    max_pages: int | None = None,
 ) -> DataFrame:
     """Reviews of every company, written out once: later steps read them several times."""
     return materialize(company_reviews(pages, tag, css_class, max_pages), "company-reviews")
@@ -116,7 +119,7 @@ def company_insights(
     profiles: DataFrame,
     tag: str = "div",
     css_class: str | None = REVIEW_CLASS,
-    max_pages: int = MAX_PAGES,
+    max_pages: int | None = None,
     n: int = MIN_REVIEWS,
 ) -> DataFrame:
     """Saved pages to one row per company that passes the review gate.

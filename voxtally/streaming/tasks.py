@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from voxtally.functions.status import TERMINAL
-from voxtally.operators.tasks import TTL_S, latest_completed, latest_per_key
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from voxtally.operators.tasks import TTL_S, expire_tasks, latest_completed, latest_per_key
 
 
 def task_state_stream(log: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -67,104 +61,18 @@ def compact(folded: DataFrame, out: str) -> None:
     folded.write.mode("errorifexists").parquet(f"{out}/batch_id=-1")
 
 
-class TaskExpiry(StatefulProcessor):
-    """State of one task, removed once it is terminal and older than the time to live.
-
-    The clock is the watermark: a timer at ``ts + ttl`` plus one millisecond fires
-    when the watermark has passed it, so age is taken from the task's own time.
-    """
+def run_expiring_tasks(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the state of all tasks under ``out``; ``read_live_tasks`` leaves out expired ones.
 
-    STATE = "status string, ts_ms bigint"
-
-    def __init__(self, ttl_s: int = TTL_S):
-        self.ttl_ms = ttl_s * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.current = handle.getValueState("current", self.STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = self.current.get() if self.current.exists() else None
-        changed = False
-        for batch in rows:
-            for status, ts_ms in zip(batch["status"], batch["ts_ms"]):
-                rank = (int(ts_ms), status in TERMINAL, status)
-                if newest is None or rank > (newest[1], newest[0] in TERMINAL, newest[0]):
-                    newest, changed = (status, int(ts_ms)), True
-        if changed:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.current.update(newest)
-            if newest[0] in TERMINAL:
-                due = newest[1] + self.ttl_ms + 1
-                # A timer may not lie in the past of the watermark.
-                self.handle.registerTimer(
-                    max(due, timerValues.getCurrentWatermarkInMs() + 1)
-                )
-            yield self._row(key, newest, "update")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.current.get()
-        self.current.clear()
-        yield self._row(key, last, "expire")
-
-    @staticmethod
-    def _row(key, state, action) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"task_id": [key[0]], "status": [state[0]], "ts_ms": [state[1]], "action": [action]}
-        )
-
-    def close(self) -> None:
-        pass
-
-
-EXPIRY_SCHEMA = "task_id string, status string, ts_ms bigint, action string"
-
-
-def expiring_tasks(log: DataFrame, ttl_s: int = TTL_S, delay: str = "0 seconds") -> DataFrame:
-    """Stream of task changes: ``update`` with each newer state, ``expire`` when it ends.
-
-    Needs the RocksDB state store. Rows later than ``delay`` behind the newest are
-    ignored, which is what bounds the state.
+    Nothing is decided while batches arrive, so late rows, rows without a time and any
+    order of batches end in the same result.
     """
-    ts = F.col("ts").cast("timestamp")
-    rows = log.select(
-        "task_id", "status", ts.alias("ts"), F.unix_millis(ts).alias("ts_ms")
-    ).withWatermark("ts", delay)
-    return rows.groupBy("task_id").transformWithStateInPandas(
-        TaskExpiry(ttl_s), EXPIRY_SCHEMA, "update", "eventTime"
-    )
-
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def run_expiring_tasks(
-    log: DataFrame, out: str, checkpoint: str, ttl_s: int = TTL_S, delay: str = "0 seconds"
-) -> StreamingQuery:
-    """Writes the change stream of ``expiring_tasks``; ``read_live_tasks`` folds it."""
-    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return run_task_state(log, out, checkpoint)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("seq", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
-            f"{out}/batch_id={batch_id}"
-        )
 
-    return (
-        expiring_tasks(log, ttl_s, delay)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("update")
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def read_live_tasks(spark: SparkSession, out: str) -> DataFrame:
-    """Tasks whose last change is not an expiry."""
-    changes = spark.read.parquet(out).drop("batch_id")
-    order = F.struct("seq", F.col("action") == "expire", "ts_ms")
-    last = changes.groupBy("task_id").agg(
-        F.max_by(F.struct("status", "ts_ms", "action"), order).alias("s")
-    )
-    return last.where(F.col("s.action") == "update").select("task_id", "s.status", "s.ts_ms")
+def read_live_tasks(spark: SparkSession, out: str, ttl_s: int = TTL_S) -> DataFrame:
+    """Tasks that have not expired when the clock stands at the newest time of the log."""
+    state = read_task_state(spark, out)
+    newest = state.agg(F.max(F.col("ts").cast("timestamp"))).scalar()
+    live = expire_tasks(state, newest, ttl_s)
+    return live.select("task_id", "status", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
