@@ -108,11 +108,11 @@ def responses_of_pages(
 
 
 def sha1_digest(data: Column) -> Column:
-    """``digest`` as a Column: base 32 from the bits of the SHA-1, five at a time."""
-    bits = F.array_join(F.transform(F.split(F.sha1(data), ""), lambda x: F.lpad(F.conv(x, 16, 2), 4, "0")), "")
-    five = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int"))
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    return F.concat(F.lit("sha1:"), F.array_join(F.transform(five, lambda v: F.substring(letters, v + 1, F.lit(1))), ""))
+    """``digest`` as a Column: ten hex digits at a time make eight of base 32, then written in its letters."""
+    hashed = F.sha1(data)
+    digits = [F.lpad(F.conv(F.substring(hashed, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    letters = F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    return F.concat(F.lit("sha1:"), letters)
 
 
 def derive_records(responses: DataFrame, keep: list[str] | None = None, with_record: bool = True) -> DataFrame:
