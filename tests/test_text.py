@@ -88,7 +88,9 @@ def test_search_with_wildcards(spark):
 
 def test_terms(spark):
     got = apply(spark, ["Café good, GOOD bad5word été élève", "", None], tx.terms)
-    assert got == [["café", "good", "word", "élève"], [], None]
+    assert got == [["café", "good", "bad", "word", "été", "élève"], [], None]
+    long = apply(spark, ["Café good, GOOD bad5word été élève"], lambda c: tx.terms(c, 4))
+    assert long == [["café", "good", "word", "élève"]]
 
 
 def test_json_string(spark):
