@@ -105,6 +105,22 @@ def test_language_of_odd_texts(spark):
     assert learn_dictionaries(docs.limit(0)) == {} and predict_language(docs.limit(0), {"x": b"abc"}).count() == 0
 
 
+def test_language_of_clean_texts_of_any_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang in ('de', 'en', 'es', 'fr')")
+    dictionaries = learn_dictionaries(docs.filter("doc_id % 4 <> 2"))
+    texts = {}
+    for r in docs.filter("doc_id % 4 = 2 and text is not null").select("lang", "text").orderBy("doc_id").collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    rows = []
+    for lang, own in sorted(texts.items()):
+        joined = " ".join(own)
+        for mb in (1, 5, 12):
+            rows.append((lang, mb, (joined * (mb * 1_000_000 // len(joined) + 1))[: mb * 1_000_000]))
+    long = spark.createDataFrame(rows, "lang string, mb int, text string").repartition(4)
+    out = predict_language(long, dictionaries).select("lang", "mb", "lang_pred", "accepted").collect()
+    assert [(r.lang, r.mb) for r in out if r.lang_pred != r.lang or not r.accepted] == []
+
+
 def test_features(spark):
     rows = [(1, "You IDIOT! st4pid réeux5 fine"), (2, None), (3, ""), (4, "x " * 100_000 + "idiot")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

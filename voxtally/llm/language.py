@@ -21,12 +21,20 @@ LETTER = re.compile(r"[^\W\d_]")
 # Signs and digits say nothing about the language; each becomes a blank.
 PLAIN = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 LEVEL = 6
+#: A dictionary helps near the start of a code only, so longer texts are encoded piece by piece.
+PIECE_BYTES = 1 << 16
 
 
 def plain(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(PLAIN).split())
 
 
+def code_length(coder: zstandard.ZstdCompressor, data: bytes) -> int:
+    """Length of the whole text's code: of consecutive pieces, each encoded with a fresh use of the dictionary."""
+    view = memoryview(data)
+    return sum(len(coder.compress(view[at : at + PIECE_BYTES])) for at in range(0, len(data), PIECE_BYTES))
+
+
 def learn_dictionaries(
     labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id",
     sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES,
@@ -66,7 +74,8 @@ def predict_language(
     """Adds lang_pred, score and accepted.
 
     Every whole text is encoded once per language with zstandard and that language's
-    dictionary; lang_pred is the language of the shortest code (the first by name on
+    dictionary, in pieces of ``PIECE_BYTES`` that each start from the dictionary, so that what
+    it saves grows with the text; lang_pred is the language of the shortest code (the first by name on
     ties). score is that language's share of 2 ** -(code length in half bytes), so it is
     1 / n for n languages in a tie and near 1 where one is clearly shortest. accepted is
     false where the shortest code saves less than ``margin`` of the next one's
@@ -96,7 +105,7 @@ def predict_language(
                     accepted.append(False)
                     continue
                 data = plain(text)
-                sizes = np.array([len(c.compress(data)) for c in coders])
+                sizes = np.array([code_length(c, data) for c in coders])
                 best = int(sizes.argmin())
                 ranked = np.sort(sizes)
                 preds.append(names[best])
