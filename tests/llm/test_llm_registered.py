@@ -5,6 +5,7 @@ from oracle import compare, connect
 
 from __spark_entry__ import queries
 from voxtally.llm.queries import ORACLE_SQL, QUERIES
+from voxtally.llm.warc import parsed
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +23,11 @@ def test_query_equals_sql(spark, duck, name):
 def test_ten_operators_and_the_pipeline_are_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(QUERIES) | {"pipeline"} <= set(queries())
+
+
+def test_derivatives_hold_whole_records(spark):
+    out = QUERIES["op1_warc_derivatives"](spark, SF).collect()
+    assert len(out) > 0
+    for r in out:
+        headers, block = parsed(bytes(r.record))
+        assert headers["WARC-Record-ID"] == r.record_id and block.decode() == r.text

@@ -52,7 +52,7 @@ gone AS (SELECT DISTINCT row, p FROM r, unnest(range(i, i + {size})) AS u(p))"""
 @query("op1_warc_derivatives")
 def op1(spark, sf_dir):
     responses = responses_of_pages(table(spark, sf_dir, "pages"))
-    return derive_records(responses, keep=["page_id"], with_record=False).drop("record")
+    return derive_records(responses, keep=["page_id"])
 
 
 @query(
