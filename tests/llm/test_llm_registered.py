@@ -4,8 +4,10 @@ import pytest
 from oracle import compare, connect
 
 from __spark_entry__ import queries
+from voxtally.llm import queries as queries_module
 from voxtally.llm.queries import ORACLE_SQL, QUERIES
 from voxtally.llm.warc import parsed
+from voxtally.session import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +27,24 @@ def test_ten_operators_and_the_pipeline_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
 
 
+def test_mixing_moves_whole_documents(spark, monkeypatch):
+    written = {}
+
+    def keep(df, purpose):
+        written[purpose] = materialize(df, purpose)
+        return written[purpose]
+
+    monkeypatch.setattr(queries_module, "materialize", keep, raising=False)
+    out = QUERIES["op10_poisson_mixing"](spark, SF)
+    keys = [r.shuffle_key for r in out.collect()]
+    assert keys == sorted(keys)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = written["mixed"]
+    assert set(docs.columns) <= set(mixed.columns)
+    want = docs.join(out.select("doc_id", "copy"), "doc_id").select(*docs.columns)
+    assert len(keys) > 0 and mixed.select(*docs.columns).exceptAll(want).count() == want.exceptAll(mixed.select(*docs.columns)).count() == 0
+
+
 def test_derivatives_hold_whole_records(spark):
     out = QUERIES["op1_warc_derivatives"](spark, SF).collect()
     assert len(out) > 0

@@ -16,6 +16,7 @@ from voxtally.llm.suffixes import repeated_passages
 from voxtally.llm.topk import exact_top_k
 from voxtally.llm.toxicity import fit_toxicity
 from voxtally.llm.warc import derive_records, responses_of_pages
+from voxtally.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -189,5 +190,6 @@ SELECT doc_id, source, copies, copy,
 FROM m, unnest(range(0, copies)) AS x(copy)""",
 )
 def op10(spark, sf_dir):
-    out = mix_sources(table(spark, sf_dir, "documents"), seed=SEED)
-    return out.select("doc_id", "source", "copies", "copy", "shuffle_key")
+    # Written whole, so that texts and all other columns are replicated and dealt too.
+    out = materialize(mix_sources(table(spark, sf_dir, "documents"), seed=SEED), "mixed")
+    return out.select("doc_id", "source", "copies", "copy", "shuffle_key").sort("shuffle_key")
