@@ -10,11 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from voxtally.llm import sharding
 from voxtally.llm.language import learn_dictionaries, predict_language
 from voxtally.llm.mixing import mix_sources, unit
 from voxtally.llm.sharding import shard_by_splitters
 from voxtally.llm.toxicity import FEATURES, fit_toxicity, isotonic, interpolated, text_features
 from voxtally.llm.warc import derive_records, gzip_member, parsed, plain_text, responses_of_pages
+from voxtally.session import materialize
 
 SF = "/root/testdata/sf0.01"
 
@@ -49,6 +51,29 @@ def test_shards_of_hot_and_empty_tables(spark):
     assert shard_by_splitters(nothing, ["k", "doc_id"], "size", 8).filter("slot >= 0").count() == 400
 
 
+@pytest.mark.parametrize("size", [0, 16])
+def test_copies_of_one_document_are_divided(spark, monkeypatch, size):
+    ranges = []
+
+    def keep(df, purpose):
+        out = materialize(df, purpose)
+        ranges.extend([out] if purpose == "ranges" and "_n" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(sharding, "materialize", keep)
+    rows = [(7, 500, size)] * 3000 + [(i, i, 16 * (size > 0)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, k long, size long").repartition(8)
+    out = shard_by_splitters(docs, ["k", "doc_id"], "size", 8).collect()
+    assert ranges[-1].agg(F.max("_n")).first()[0] < 400
+    shards = {s: sorted(r.slot for r in out if r.shard == s) for s in {r.shard for r in out}}
+    assert all(slots == list(range(len(slots))) for slots in shards.values())
+    if size:
+        assert [len(shards[s]) for s in range(8)] == [500] * 8
+        ordered = [(r.k, r.doc_id) for r in sorted(out, key=lambda r: (r.shard, r.slot))]
+        assert ordered == sorted(ordered)
+    assert sorted((r.doc_id, r.k, r.size) for r in out) == sorted(rows)
+
+
 def poisson(u, rate):
     k, p = 0, math.exp(-rate)
     total = p

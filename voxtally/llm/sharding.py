@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from voxtally.session import materialize
 
 SAMPLES = 4096
+#: A range of more than so many times its fair share of rows or bytes is divided further.
+OVERFULL, FEWEST_ROWS = 8, 64
 
 
 def sampled_splitters(
@@ -50,6 +52,27 @@ def range_of(keys: Sequence[str], splitters: list[str], kind: str, fan: int = 64
     return F.when(top == 0, F.lit(0)).otherwise((top - 1) * fan + within)
 
 
+def overfull(sums: DataFrame, n_ranges: int) -> list[int]:
+    """Ranges far beyond their share, by their exact sums; a range of one row cannot be divided."""
+    whole = sums.agg(F.coalesce(F.sum("_sum"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    rows = max(OVERFULL * whole[1] / n_ranges, FEWEST_ROWS)
+    wide = (F.col("_sum") > F.lit(OVERFULL * float(whole[0]) / n_ranges)) & (F.col("_n") > 1)
+    return sorted(r[0] for r in sums.filter((F.col("_n") > F.lit(float(rows))) | (wide & (F.col("_n") >= FEWEST_ROWS))).select("_range").collect())
+
+
+def divided(ranged: DataFrame, ranges: list[int], keys: Sequence[str], n_ranges: int, samples: int) -> DataFrame:
+    """Adds ``_part`` within a range, and a stored number of the row, by which rows equal in all columns are told apart."""
+    if not ranges:
+        return ranged.select("*", F.lit(0).cast("long").alias("_row_id"), F.lit(0).alias("_part"))
+    inside = F.col("_range").isin(ranges)
+    # Written, so that the number of a row is the same for all that read it.
+    hot = materialize(ranged.filter(inside).select("*", F.monotonically_increasing_id().alias("_row_id")), "overfull")
+    longer = [*keys, "_spread", "_row_id"]
+    splitters, kind = sampled_splitters(hot, longer, F.col("_size") + 1, n_ranges, samples)
+    cold = ranged.filter(~inside).select("*", F.lit(0).cast("long").alias("_row_id"), F.lit(0).alias("_part"))
+    return cold.unionByName(hot.select("*", range_of(longer, splitters, kind).alias("_part")))
+
+
 def shard_by_splitters(
     docs: DataFrame, keys: Sequence[str], size_col: str, n_shards: int, samples: int = SAMPLES
 ) -> DataFrame:
@@ -61,10 +84,12 @@ def shard_by_splitters(
     overfills a range, the sample has as many of its rows as its weight asks for, and they
     subdivide it by the further keys. The exact size of every range is then summed, so
     each range knows where it begins, and rows are placed by running sums within their
-    range. A window holds one range, and the table of ranges has a fixed number of rows.
+    range. Ranges that are still overfull, as rows equal in all keys overfill one, are
+    written with a number for each row and divided by that in the same way. A window holds
+    one range or part, and their table has a bounded number of rows.
 
-    ``keys`` should end in an id: only rows equal in all keys cannot be divided. Such rows
-    are ordered by a hash of the whole row; rows equal in all columns are interchangeable.
+    Rows equal in all keys are ordered by a hash of the whole row; rows equal in all
+    columns are interchangeable.
     Nulls in keys sort first; a null size counts as 0, and a row of size 0 takes a slot as
     any other. An empty table gives no rows. Columns named ``shard`` or ``slot`` in
     ``docs`` are replaced, others are kept.
@@ -80,20 +105,27 @@ def shard_by_splitters(
     n_ranges = min(n_shards * 32, samples // 2)
     splitters, kind = sampled_splitters(docs, keys, size, n_ranges, samples)
     ranged = docs.select("*", range_of(keys, splitters, kind).alias("_range"))
-    sums = materialize(ranged.groupBy("_range").agg(F.sum("_size").alias("_sum"), F.count("*").alias("_n")), "ranges")
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    measured = [F.sum("_size").alias("_sum"), F.count("*").alias("_n")]
+    sums = materialize(ranged.groupBy("_range").agg(*measured), "ranges")
+    ranges = overfull(sums, n_ranges)
+    ranged = divided(ranged, ranges, keys, n_ranges, samples)
+    if ranges:
+        sums = materialize(ranged.groupBy("_range", "_part").agg(*measured), "ranges")
+    else:
+        sums = sums.withColumn("_part", F.lit(0))
+    before = W.orderBy("_range", "_part").rowsBetween(W.unboundedPreceding, -1)
     begins = materialize(
         sums.select(
-            "_range",
+            "_range", "_part",
             F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_from"),
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_row_from"),
             F.sum("_sum").over(W.partitionBy()).alias("_total"),
         ),
         "ranges",
     )
-    within = W.partitionBy("_range").orderBy(*[F.col(k).asc_nulls_first() for k in keys], "_spread")
+    within = W.partitionBy("_range", "_part").orderBy(*[F.col(k).asc_nulls_first() for k in keys], "_spread", "_row_id")
     ahead = F.sum("_size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("_size")
-    placed = ranged.join(begins, "_range").select(
+    placed = ranged.join(begins, ["_range", "_part"]).select(
         "doc",
         (F.col("_row_from") + F.row_number().over(within) - 1).alias("_row"),
         (F.col("_from") + ahead).cast("decimal(28,0)").alias("_at"),
