@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from voxtally.llm import near
+from voxtally.llm import contamination, near
 from voxtally.llm.components import connected_components
 from voxtally.llm.contamination import build_index, find_leaks, split_item
 from voxtally.llm.near import near_duplicates, shortest_prefix
@@ -142,3 +142,20 @@ def test_top_k_small_tables(spark):
     got = [tuple(r) for r in exact_top_k(df, F.col("vec_id") == 0).collect()]
     assert got == [(0, 1, 1, 128 * 64)]
     assert exact_top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_leaks_do_not_depend_on_the_split_of_the_benchmark(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    common = "which of these is the right answer to the question"
+    items = [(k, f"{common} {' '.join(words[12 * k : 12 * k + 6 + k % 6])}. {' '.join(words[12 * k + 6 : 12 * k + 8 + k % 5])}.") for k in range(30)]
+    docs = [(100 * k + cut, f"lead in {' '.join(t.split()[: len(t.split()) - cut])} and so on") for k, t in items for cut in range(8)]
+    docs += [(9000 + k, t.split(" question ")[1]) for k, t in items]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+
+    def found():
+        return sorted((*r[:4], *(round(x, 9) for x in r[4:])) for r in find_leaks(docs, bench).collect())
+
+    whole = found()
+    monkeypatch.setattr(contamination, "INDEX_ITEMS", 7)
+    assert len(whole) > 30 and found() == whole

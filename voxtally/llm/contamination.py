@@ -62,46 +62,71 @@ class Index:
 
     names: list
     terms: np.ndarray  # sorted hashes
-    highest: np.ndarray  # per term, over all items
-    block_highest: np.ndarray  # per block and term
+    highest: np.ndarray  # per term, over all items of the index
+    block_highest: list[np.ndarray]  # per block, for its terms
     blocks: list[tuple[np.ndarray, np.ndarray]]  # per block: its terms, and weights by term and item
     parts: list[tuple]  # per item: (grams, width) of question and of answer, number of words
-    reach: int  # words of the longest item
+    reach: int  # words of the longest item of the benchmark
 
 
-def build_index(items: list[tuple[object, str, str]]) -> Index | None:
-    """Index of (name, question, answer) triples; items without a word are left out."""
+@dataclass
+class Benchmark:
+    """What scores take from the whole benchmark, whichever items share an index."""
+
+    df: Counter
+    items: int = 0
+    words: int = 0
+    reach: int = 0
+
+
+def hashed_items(items: list[tuple[object, str, str]]) -> Iterator[tuple]:
+    """Name, and hashes of the words of question, answer and both; items without a word are left out."""
+    for name, question, answer in items:
+        q, a = (terms_of(pa.array([text]))[1] for text in (question, answer))
+        if len(q) + len(a):
+            yield name, q, a, np.concatenate((q, a))
+
+
+def measure(parts: list[list[tuple[object, str, str]]]) -> Benchmark:
+    whole = Benchmark(Counter())
+    for _, _, _, words in (row for part in parts for row in hashed_items(part)):
+        whole.df.update(set(words.tolist()))
+        whole.items += 1
+        whole.words += len(words)
+        whole.reach = max(whole.reach, len(words))
+    return whole
 
-    def hashed(text: str) -> np.ndarray:
-        return terms_of(pa.array([text]))[1]
 
-    rows = [(name, q, a, np.concatenate((q, a))) for name, q, a in ((n, hashed(q), hashed(a)) for n, q, a in items)]
-    rows = [r for r in rows if len(r[3])]
+def build_index(items: list[tuple[object, str, str]], benchmark: Benchmark | None = None) -> Index | None:
+    """Index of (name, question, answer) triples, by default of a benchmark of just these; items without a word are left out."""
+    rows = list(hashed_items(items))
     if not rows:
         return None
+    bench = benchmark or measure([items])
+    df, mean = bench.df, bench.words / bench.items
     bags = [Counter(r[3].tolist()) for r in rows]
-    df = Counter(t for bag in bags for t in bag)
-    mean = sum(len(r[3]) for r in rows) / len(rows)
-    terms = np.array(sorted(df), np.uint64)
+    terms = np.array(sorted({t for bag in bags for t in bag}), np.uint64)
     at = {t: i for i, t in enumerate(terms.tolist())}
     weights = []
     for bag, row in zip(bags, rows, strict=True):
         norm = K1 * (1 - B + B * len(row[3]) / mean)
-        own = {at[t]: np.log1p((len(rows) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in bag.items()}
+        own = {at[t]: np.log1p((bench.items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in bag.items()}
         whole = sum(own.values())
         weights.append({t: w / whole for t, w in own.items()})
     n_blocks = -(-len(rows) // BLOCK_ITEMS)
-    block_highest = np.zeros((n_blocks, len(terms)), np.float32)
-    blocks = []
+    highest = np.zeros(len(terms), np.float32)
+    block_highest, blocks = [], []
     for b in range(n_blocks):
         part = weights[b * BLOCK_ITEMS : (b + 1) * BLOCK_ITEMS]
         used = np.array(sorted({t for w in part for t in w}))
         matrix = np.array([[w.get(t, 0.0) for w in part] for t in used], np.float32)
-        block_highest[b, used] = np.nextafter(matrix.max(axis=1), np.float32(2))
+        most = np.nextafter(matrix.max(axis=1), np.float32(2))
+        highest[used] = np.maximum(highest[used], most)
+        block_highest.append(most)
         blocks.append((used, matrix))
     return Index(
-        [r[0] for r in rows], terms, block_highest.max(axis=0), block_highest, blocks,
-        [(grams(r[1]), grams(r[2]), len(r[3])) for r in rows], max(len(r[3]) for r in rows),
+        [r[0] for r in rows], terms, highest, block_highest, blocks,
+        [(grams(r[1]), grams(r[2]), len(r[3])) for r in rows], bench.reach,
     )
 
 
@@ -139,12 +164,16 @@ def leaks(index: Index, words: Words, hashes: np.ndarray, score_at_least: float,
     if not open_.any():
         return
     segment_text = np.repeat(np.arange(len(counts)), segments)
+    of_block = np.zeros(len(index.terms), np.float32)
     for b, (used, matrix) in enumerate(index.blocks):
-        for s in np.flatnonzero(open_ & (passages(sums(index.block_highest[b])) >= score_at_least)):
+        of_block[used] = index.block_highest[b]
+        reached = open_ & (passages(sums(of_block)) >= score_at_least)
+        of_block[used] = 0
+        for s in np.flatnonzero(reached):
             ends = s + 1 if last[s] else s + 2
             own = np.unique(term[bounds[s] : bounds[ends]])
             rows = np.minimum(np.searchsorted(used, own), len(used) - 1)
-            scores = matrix[rows[used[rows] == own]].sum(axis=0)
+            scores = matrix[rows[used[rows] == own]].sum(axis=0, dtype=np.float64)
             fit = np.flatnonzero(scores >= score_at_least)
             if not len(fit):
                 continue
@@ -183,7 +212,8 @@ def find_leaks(
     null ids and repeated rows are reported each. Empty tables give no rows.
     The items are gathered on the driver, as test sets are small; one index takes at most
     ``INDEX_ITEMS`` items and ``INDEX_BYTES`` bytes of text, and each further index
-    is another pass over the documents.
+    is another pass over the documents. Scores and passages do not depend on which items
+    share an index.
     """
     columns = [item_col, item_text_col] + ([answer_col] if answer_col else [])
     triples, parts, size = [], [], 0
@@ -198,7 +228,8 @@ def find_leaks(
         triples.append((row[0], *pair))
         size += length
     parts.append(triples)
-    out = [search(docs, build_index(p), items, id_col, text_col, item_col, score_at_least, overlap) for p in parts]
+    benchmark = measure(parts)
+    out = [search(docs, build_index(p, benchmark), items, id_col, text_col, item_col, score_at_least, overlap) for p in parts]
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
