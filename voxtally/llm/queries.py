@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxtally.llm.contamination import find_leaks
 from voxtally.llm.language import crc_part, learn_dictionaries, predict_language
+from voxtally.llm.lines import drop_repeated_lines
 from voxtally.llm.mixing import mix_sources
 from voxtally.llm.near import near_duplicates
 from voxtally.llm.sharding import shard_by_splitters
@@ -193,3 +194,24 @@ def op10(spark, sf_dir):
     # Written whole, so that texts and all other columns are replicated and dealt too.
     out = materialize(mix_sources(table(spark, sf_dir, "documents"), seed=SEED), "mixed")
     return out.select("doc_id", "source", "copies", "copy", "shuffle_key").sort("shuffle_key")
+
+
+STRIPPED_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    "op11_line_bitmaps",
+    f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT row, doc_id, p, l[p] AS line FROM d, unnest(range(1, len(l) + 1)) AS u(p)),
+k AS (
+  SELECT *, translate(trim(line, {STRIPPED_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM x),
+f AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY row, doc_id""",
+)
+def op11(spark, sf_dir):
+    out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
