@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voxtally.llm.centroids import cluster_vectors
 from voxtally.llm.contamination import find_leaks
 from voxtally.llm.language import crc_part, learn_dictionaries, predict_language
 from voxtally.llm.lines import drop_repeated_lines
@@ -215,3 +216,44 @@ FROM f GROUP BY row, doc_id""",
 def op11(spark, sf_dir):
     out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def rounds_sql(rounds: int) -> str:
+    """CTEs of k-means rounds over ``x`` (row, dim, x) from centroids ``c0`` (j, dim, c); ``a{rounds}`` is the last assignment."""
+    ctes = []
+    for t in range(rounds + 1):
+        ctes.append(f"""
+, a{t} AS MATERIALIZED (
+  SELECT row, min_by(j, (d, j)) AS j, min(d) AS d FROM (
+    SELECT row, j, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN c{t} USING (dim) GROUP BY row, j) GROUP BY row)""")
+        if t < rounds:
+            ctes.append(f"""
+, m{t} AS (SELECT j, dim, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN a{t} USING (row) GROUP BY j, dim)
+, c{t + 1} AS MATERIALIZED (
+  SELECT j, dim, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM c{t} LEFT JOIN m{t} USING (j, dim))""")
+    return "".join(ctes)
+
+
+@query(
+    "op12_ns_bounds_clusters",
+    """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS MATERIALIZED (SELECT row, dim, e[dim] AS x FROM v, unnest(range(1, 65)) AS u(dim)),
+s AS (
+  SELECT e, row_number() OVER (ORDER BY sha256(concat('3:', vec_id)), e) - 1 AS j FROM v WHERE vec_id IS NOT NULL),
+c0 AS MATERIALIZED (SELECT j, dim, e[dim] AS c FROM s, unnest(range(1, 65)) AS u(dim) WHERE j < 8)"""
+    + rounds_sql(10)
+    + """
+, h AS (SELECT j, sha256(string_agg(c::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c10 GROUP BY j)
+SELECT vec_id, j::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a10 JOIN v USING (row) JOIN h USING (j)""",
+)
+def op12(spark, sf_dir):
+    out = cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
+    digits = F.concat_ws(",", F.transform("centroid", lambda c: c.cast("string")))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(digits, 256).alias("centroid_sha256"))
