@@ -180,12 +180,12 @@ def drop_repeated_lines(
     )
     # The row travels as one value, so that no name of its columns can clash with those made here.
     rows = docs.select(
-        F.struct(*docs.columns).alias("doc"), docs[id_col].alias("_doc"), row_hash(docs[id_col], docs[text_col]).alias("_row"),
-        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"),
+        F.struct(*docs.columns).alias("doc"), docs[id_col].alias("_doc"), row_hash(docs[id_col], docs[text_col]).alias("_row")
     )
     both = rows.join(maps, rows["_doc"].eqNullSafe(maps["_id"]) & (rows["_row"] == maps["row_hash"]), "left")
-    lines = lines_of(F.col("_text"))
-    kept = F.when(F.col("keep").isNull(), F.col("_text")).otherwise(F.array_join(kept_lines(lines, F.col("keep")), "\n"))
+    text = F.col("doc")[text_col]
+    lines, whole = lines_of(text), F.coalesce(text.cast("string"), F.lit(""))
+    kept = F.when(F.col("keep").isNull(), whole).otherwise(F.array_join(kept_lines(lines, F.col("keep")), "\n"))
     return both.select(
         "doc.*", F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("kept_text"),
