@@ -17,6 +17,7 @@ from voxtally.llm.substrings import remove_repeated_windows
 from voxtally.llm.suffixes import repeated_passages
 from voxtally.llm.topk import exact_top_k
 from voxtally.llm.toxicity import fit_toxicity
+from voxtally.llm.trie import prefix_trie
 from voxtally.llm.warc import derive_records, responses_of_pages
 from voxtally.session import materialize
 
@@ -257,3 +258,37 @@ def op12(spark, sf_dir):
     out = cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
     digits = F.concat_ws(",", F.transform("centroid", lambda c: c.cast("string")))
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(digits, 256).alias("centroid_sha256"))
+
+
+@query(
+    "op13_conversation_trie",
+    """
+WITH tbl AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c
+    FROM range(256) AS r(b))),
+o AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT c, o.t, xor(list_reduce(
+      list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+      lambda s, b: xor(s >> 8, tbl.t[(xor(s, b) & 255) + 1]), 4294967295), 4294967295) % 9 AS h
+  FROM o, tbl),
+r AS (SELECT a.c, coalesce(b.t[:a.h], []) || a.t[a.h + 1:] AS t FROM h a LEFT JOIN h b ON b.c = a.c - a.c % 5),
+p AS MATERIALIZED (SELECT c, len(t) AS n, d, t[:d] AS key FROM r, unnest(range(0, len(t) + 1)) AS u(d)),
+v AS MATERIALIZED (
+  SELECT key, d, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * octet_length(encode(key[d].text)) END AS own
+  FROM p GROUP BY key, d),
+k AS (SELECT key[:d - 1] AS key, count(*) AS n_children FROM v WHERE d > 0 GROUP BY 1),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (key)),
+s AS (
+  SELECT key[:a] AS key, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM w, unnest(range(0, d + 1)) AS u(a) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM w JOIN s USING (key) LEFT JOIN v u ON w.d > 0 AND u.key = w.key[:w.d - 1]""",
+)
+def op13(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
