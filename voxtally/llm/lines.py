@@ -186,7 +186,8 @@ def drop_repeated_lines(
     text = F.col("doc")[text_col]
     lines, whole = lines_of(text), F.coalesce(text.cast("string"), F.lit(""))
     kept = F.when(F.col("keep").isNull(), whole).otherwise(F.array_join(kept_lines(lines, F.col("keep")), "\n"))
-    return both.select(
-        "doc.*", F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+    done = both.select(
+        "doc", F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("kept_text"),
     )
+    return done.select("doc.*", "n_lines", "n_dropped", "kept_text")
