@@ -29,14 +29,15 @@ def _newest(columns: list[str]) -> Column:
     return F.max_by(F.struct(*columns), order)
 
 
-def latest_per_key(log: DataFrame, key: str = "task_id") -> DataFrame:
-    """Current state of every task.
+def latest_per_key(log: DataFrame, *key: str) -> DataFrame:
+    """Current state of every task, or of every value of ``key``.
 
     An aggregate, not a window: the log of a busy task is folded before the
     shuffle and an older row never replaces a newer one.
     """
-    rest = [c for c in log.columns if c != key]
-    return log.groupBy(key).agg(_newest(rest).alias("s")).select(key, "s.*")
+    key = key or ("task_id",)
+    rest = [c for c in log.columns if c not in key]
+    return log.groupBy(*key).agg(_newest(rest).alias("s")).select(*key, "s.*")
 
 
 def completed_for(tasks: DataFrame, subject: str, company: bool = False) -> DataFrame:

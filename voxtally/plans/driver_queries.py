@@ -1275,12 +1275,30 @@ def t1(spark, sf):
     return _epoch_out(spark.read.parquet(out))
 
 
+def _arrivals(spark: SparkSession, sf: str, parts: int = 4) -> tuple[DataFrame, str]:
+    """The events as a stream that comes in roughly by time, and by how much rows can be late.
+
+    Files are written one period after the other, so the stream reads them in that order;
+    rows near the edge of a period come with the one before or after.
+    """
+    events = table(spark, sf, "events")
+    time, jitter = F.unix_micros(F.col("ts").cast("timestamp")), 6 * 3600 * 1_000_000
+    low, high = events.agg(F.min(time), F.max(time)).first()
+    period = ((high or 0) - (low or 0)) // parts + 1
+    moved = time + F.pmod(F.xxhash64("event_id"), F.lit(2 * jitter)) - jitter - (low or 0)
+    part = F.least(F.greatest(F.floor(moved / period), F.lit(0)), F.lit(parts - 1))
+    folder = shared_folder(spark, "events")
+    for i in range(parts):
+        events.where(part == i).write.mode("append").parquet(folder)
+    late = (period + 2 * jitter) // 1_000_000 + 1
+    return ingest.scan_stream(spark, folder, events.schema, files_per_trigger=1), f"{late} seconds"
+
+
 @query("t2_task_state_stream", with_views(_STATE, "fx_latest"))
 def t2(spark, sf):
     out, checkpoint = _folders(spark, "task-state")
-    live.run_task_state(
-        dv.task_log_from(_event_stream(spark, sf)), out, checkpoint
-    ).awaitTermination()
+    events, late = _arrivals(spark, sf)
+    live.run_task_state(dv.task_log_from(events), out, checkpoint, late).awaitTermination()
     return live.read_task_state(spark, out).select(
         "task_id", "subject", "status", "error", us("ts"), "value"
     )
@@ -1318,9 +1336,8 @@ def t4(spark, sf):
 )
 def t4_stream(spark, sf):
     out, checkpoint = _folders(spark, "expiry")
-    live.run_expiring_tasks(
-        dv.task_log_from(_event_stream(spark, sf)), out, checkpoint
-    ).awaitTermination()
+    events, late = _arrivals(spark, sf)
+    live.run_expiring_tasks(dv.task_log_from(events), out, checkpoint, late).awaitTermination()
     return live.read_live_tasks(spark, out)
 
 
