@@ -101,10 +101,48 @@ def test_salted_joins_keep_every_row(spark):
     )
     busy = data.groupBy("k").agg(F.count("*").alias("n")).where("n > 400")
     for how in ("inner", "left_semi", "left_anti", "left"):
-        plain = data.join(busy, "k", how)
-        salted = skew.salted_join(data, busy, ["k"], how, F.col("id"))
-        assert salted.columns == plain.columns
-        assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
+        for weight in (None, "n"):
+            plain = data.join(busy.drop(weight) if weight else busy, "k", how)
+            salted = skew.salted_join(data, busy, ["k"], how, F.col("id"), weight)
+            assert salted.columns == plain.columns
+            assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
+
+
+def keyed_rows(spark, hot):
+    key = F.when(F.col("id") % 3 < hot, "hot").otherwise((F.col("id") % 9001).cast("string"))
+    rows = spark.range(90000).select("id", key.alias("k"))
+    return rows, rows.groupBy("k").agg(F.count("*").alias("n"))
+
+
+def test_a_third_of_all_rows_is_spread_over_the_tasks(spark, monkeypatch):
+    """Found by exact weights, by a sketch, or by a sketch of some rows: no task has twice the median."""
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    rows, keyed = keyed_rows(spark, 1)
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        for kw in ({"weight": "n"}, {}, {"sample": rows.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0)}):
+            joined = skew.salted_join(rows, keyed, ["k"], "inner", F.col("id"), **kw)
+            sizes = sorted(r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+            assert sum(sizes) == 90000 and len(sizes) == 8 and sizes[-1] < 2 * sizes[4], (kw, sizes)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_nothing_is_repeated_where_no_key_is_heavy(spark):
+    rows, keyed = keyed_rows(spark, 0)
+    assert skew.heavy_keys(rows, ["k"], 8).isEmpty() and skew.weighty_keys(keyed, ["k"], "n", 8).isEmpty()
+    rows, keyed = keyed_rows(spark, 1)
+    for heavy in (skew.heavy_keys(rows, ["k"], 8), skew.weighty_keys(keyed, ["k"], "n", 8)):
+        assert [r._parts for r in heavy.collect()] == [22]  # a third of all rows, in eighths of an eighth
+
+
+def test_sketch_reads_the_key_alone(spark):
+    reviews = spark.read.parquet(f"{SF}/lineitem.parquet")
+    text = plan(skew.heavy_keys(reviews, ["l_partkey"], 8))
+    assert "ReadSchema: struct<l_partkey:bigint>" in text and "SortAggregate" not in text
 
 
 def test_hot_product_of_demo_subset_is_spread(spark):

@@ -96,12 +96,12 @@ def demo_subset(
 ) -> tuple[DataFrame, DataFrame]:
     """Reviews and metadata of the busy products, both by left-semi join.
 
-    The busiest product may hold a third of all reviews, so its reviews are salted.
+    The busiest product may hold a third of all reviews; the counts tell which ones to cut.
     """
-    busy = demo_products(reviews, min_reviews, year).select("parent_asin")
+    busy = demo_products(reviews, min_reviews, year)
     in_scope = reviews.where(in_year(F.col("timestamp"), year))
     spread = F.struct(*(c for c in ("id", "text", "timestamp") if c in reviews.columns))
     return (
-        salted_join(in_scope, busy, ["parent_asin"], "left_semi", spread),
+        salted_join(in_scope, busy, ["parent_asin"], "left_semi", spread, "review_count"),
         metadata.join(busy, "parent_asin", "left_semi"),
     )

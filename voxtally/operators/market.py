@@ -35,8 +35,9 @@ def review_keywords(
     # exploded and shuffled once.
     df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     total = reviews.agg(F.count_distinct("subject")).scalar()
-    # A common term has a row for nearly every subject. Few parts: the vocabulary is large.
-    scored = salted_join(tf, df, ["term"], "inner", F.col("subject"), 4).withColumn(
+    # A common term has a row for nearly every subject: ``df`` of them, which tells the terms to cut.
+    counted = df.withColumn("rows", F.col("df"))
+    scored = salted_join(tf, counted, ["term"], "inner", F.col("subject"), "rows").withColumn(
         "score", F.round(F.col("tf") * F.log(total / F.col("df")), 4)
     )
     w = Window.partitionBy("subject").orderBy(F.desc("score"), F.asc("term"))
@@ -109,18 +110,18 @@ def competitor_gap(reviews: DataFrame, metadata: DataFrame) -> DataFrame:
     """Own mean rating against the mean of all other products of the category.
 
     Category totals come from an aggregate joined back, since a window would hold
-    a whole category in one task; the join is salted for the same reason.
+    a whole category in one task; the join cuts large categories for the same reason.
     """
     per_product = reviews.groupBy("parent_asin").agg(
         F.sum("rating").alias("own_sum"), F.count("rating").alias("own_n")
     )
     rated = metadata.select("parent_asin", "main_category").join(per_product, "parent_asin")
     totals = rated.groupBy("main_category").agg(
-        F.sum("own_sum").alias("all_sum"), F.sum("own_n").alias("all_n")
+        F.sum("own_sum").alias("all_sum"), F.sum("own_n").alias("all_n"), F.count("*").alias("products")
     )
     own = F.try_divide(F.col("own_sum"), F.col("own_n"))
     others = F.try_divide(F.col("all_sum") - F.col("own_sum"), F.col("all_n") - F.col("own_n"))
-    return salted_join(rated, totals, ["main_category"], "inner", F.col("parent_asin")).select(
+    return salted_join(rated, totals, ["main_category"], "inner", F.col("parent_asin"), "products").select(
         "parent_asin", "main_category", own.alias("own_rating"), others.alias("other_rating"),
         (own - others).alias("gap"),
     )

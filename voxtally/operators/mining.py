@@ -16,6 +16,8 @@ from voxtally.operators.skew import salted_join
 
 PRAISE, PAIN = "praise", "pain"
 PRAISED_K, PAIN_K, STRATEGY_K = 4, 3, 2
+#: One in so many reviews tells which words are common.
+SAMPLED = 16
 
 
 def most_helpful(reviews: DataFrame, k: int | None = None, subject: str = "subject") -> DataFrame:
@@ -53,11 +55,17 @@ def rate_by_words(
     """Ratings for reviews that carry none, from a table ``(word, weight)`` of +1 and -1.
 
     The sign of the summed weights gives 5, 1 or 3. Term rows carry no text; the
-    sums go back to the reviews by key.
+    sums go back to the reviews by key. Common words are found in a part of the reviews
+    that their hash picks, and cut.
     """
+    key = [F.col(subject), F.col("ord")]
+
+    def words_of(rows: DataFrame) -> DataFrame:
+        return rows.select(*key, F.explode(terms(F.col("text"), min_length)).alias("word"))
+
+    some = words_of(reviews.where(F.pmod(F.xxhash64(*key), F.lit(SAMPLED)) == 0))
     hits = (
-        reviews.select(subject, "ord", F.explode(terms(F.col("text"), min_length)).alias("word"))
-        .join(words, "word")
+        salted_join(words_of(reviews), words, ["word"], "inner", F.struct(*key), sample=some)
         .groupBy(subject, "ord")
         .agg(F.sum("weight").alias("weight"))
     )
@@ -95,14 +103,14 @@ def term_stats(reviews: DataFrame, min_length: int = MIN_LETTERS) -> DataFrame:
 
 
 def common_terms(reviews: DataFrame, max_share: float, min_length: int = MIN_LETTERS) -> DataFrame:
-    """Terms in more than ``max_share`` of all reviews."""
+    """Terms in more than ``max_share`` of all reviews, and in how many (``df``)."""
     total = reviews.agg(F.count("*")).scalar()
     counts = (
         reviews.select(F.explode(terms(F.col("text"), min_length)).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
-    return counts.where(F.col("df") > F.lit(max_share) * total).select("term")
+    return counts.where(F.col("df") > F.lit(max_share) * total)
 
 
 def rank_points(
@@ -157,7 +165,7 @@ def mine_points(
     stats = term_stats(reviews, min_length)
     if max_share is not None:
         common = common_terms(reviews, max_share, min_length)
-        stats = salted_join(stats, common, ["term"], "left_anti", F.col("subject"))
+        stats = salted_join(stats, common, ["term"], "left_anti", F.col("subject"), "df")
     return with_quotes(rank_points(stats, praised_k, pain_k), reviews)
 
 

@@ -29,10 +29,10 @@ def reviews_with_metadata(
     hinted: Catalyst broadcasts metadata only when its measured size allows, and
     adaptive execution splits a hot product's partition otherwise. With
     ``dedup=True`` a review is kept once, without product columns; only keys are
-    needed then, so hot products are salted.
+    needed then, each once, and hot products are cut in parts.
     """
     if dedup:
-        keys = metadata.select("parent_asin")
+        keys = metadata.select("parent_asin").distinct()
         return salted_join(reviews, keys, ["parent_asin"], "left_semi", F.col("id"))
     products = metadata.select(
         "parent_asin",
