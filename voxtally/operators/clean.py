@@ -69,6 +69,26 @@ def _unless_corrupt(df: DataFrame, reason: Column) -> Column:
     return F.when(F.col(CORRUPT).isNotNull(), "corrupt_record").otherwise(reason)
 
 
+# What became of a row in a load.
+LOADED, OTHER_YEAR, UNPOPULAR = "loaded", "other_year", "unpopular"
+REVIEW_OUTCOMES = (LOADED, OTHER_YEAR, "null_timestamp", "timestamp_out_of_range", "corrupt_record")
+METADATA_OUTCOMES = (LOADED, UNPOPULAR, "null_rating_number", "corrupt_record")
+
+
+def review_outcome(df: DataFrame, year: int | None = 2023, unit: str = "s") -> Column:
+    """What a load does with a raw review: ``loaded``, ``other_year`` or the reason it is rejected."""
+    kept = F.lit(LOADED)
+    if year is not None:
+        kept = F.when(epoch_in_year(F.col("timestamp"), year, unit), LOADED).otherwise(OTHER_YEAR)
+    return F.coalesce(review_problem(df, unit=unit), kept)
+
+
+def metadata_outcome(df: DataFrame, min_ratings: int = MIN_RATINGS) -> Column:
+    """What a load does with a raw metadata row: ``loaded``, ``unpopular`` or the reason it is rejected."""
+    kept = F.when(F.col("rating_number") > min_ratings, LOADED).otherwise(UNPOPULAR)
+    return F.coalesce(metadata_problem(df), kept)
+
+
 def tag_bad_rows(df: DataFrame, problem: Column) -> DataFrame:
     return df.withColumn("bad_reason", problem)
 

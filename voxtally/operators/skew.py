@@ -58,15 +58,19 @@ def salted_join(
     """
     tasks = _tasks(big)
     heavy = weighty_keys(keyed, on, weight, tasks) if weight else heavy_keys(big if sample is None else sample, on, tasks)
-    heavy = F.broadcast(heavy)
+    rest = [c for c in keyed.columns if c != weight]
+    right = _with_parts(keyed, on, heavy).select(*rest, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return cut_heavy(big, on, spread, heavy).join(right, [*on, "_part"], how).drop("_part")
+
 
-    def with_parts(df: DataFrame) -> DataFrame:
-        return df.withColumn("_key", F.xxhash64(*on)).join(heavy, "_key", "left").drop("_key")
+def _with_parts(df: DataFrame, on: list[str], heavy: DataFrame) -> DataFrame:
+    found = df.withColumn("_key", F.xxhash64(*on)).join(F.broadcast(heavy), "_key", "left")
+    return found.withColumn("_parts", F.coalesce("_parts", F.lit(1))).drop("_key")
 
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
+
+def cut_heavy(rows: DataFrame, on: list[str], spread: Column, heavy: DataFrame | None = None) -> DataFrame:
+    """Adds ``_part``: 0 for rows of light keys, some part of theirs for rows of heavy ones."""
+    heavy = heavy_keys(rows, on, _tasks(rows)) if heavy is None else heavy
     # Never null, so no null check is pushed below it and shared shuffles stay equal.
-    part = F.coalesce(F.pmod(F.xxhash64(spread), parts).cast("int"), F.lit(0))
-    left = with_parts(big).select(*big.columns, part.alias("_part"))
-    rest = [c for c in keyed.columns if c != weight]
-    right = with_parts(keyed).select(*rest, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
-    return left.join(right, [*on, "_part"], how).drop("_part")
+    part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))
+    return _with_parts(rows, on, heavy).select(*rows.columns, part.alias("_part"))

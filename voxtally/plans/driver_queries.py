@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from voxtally import schemas
 from voxtally.functions import prompts as pr
 from voxtally.functions import status as st
 from voxtally.functions import text as tx
@@ -21,7 +22,7 @@ from voxtally.operators import pages as pg
 from voxtally.operators import reviews as rv
 from voxtally.plans import analysis
 from voxtally.plans import driver_views as dv
-from voxtally.plans import flows
+from voxtally.plans import flows, load
 from voxtally.plans.driver_views import table, with_views
 from voxtally.session import configure, shared_folder
 from voxtally.sources import readers, writers
@@ -167,6 +168,103 @@ def s7(spark, sf):
     return read.withColumn("timestamp", text("timestamp"))
 
 
+# Lines of a user's file with one fault or another, by the number of their event.
+_FAULTS = {0: "rating", 1: "timestamp", 2: "both", 3: "cut"}
+_FAULT = "CASE event_id % 11 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _FAULTS.items()) + " ELSE 'none' END"
+
+
+def _faulty_lines(spark, sf) -> DataFrame:
+    """The events as JSON lines of a user's own making, some of them broken."""
+    fault = F.expr(_FAULT)
+    stars = F.when(fault.isin("rating", "both"), "five").otherwise(F.col("value").cast("string"))
+    posted = F.when(fault.isin("timestamp", "both"), "today").otherwise(F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"))
+    line = F.to_json(F.struct(stars.alias("Stars"), posted.alias("Posted"), F.col("props").alias("Body"), F.col("event_id").alias("Votes")))
+    cut = F.expr("left(line, length(line) - 5)")
+    return table(spark, sf, "events").select(fault.alias("fault"), line.alias("line")).select(
+        F.when(F.col("fault") == "cut", cut).otherwise(F.col("line")).alias("value")
+    )
+
+
+_USER_NAMES = {"rating": "Stars", "timestamp": "Posted", "text": "Body", "helpful_vote": "Votes"}
+
+
+@query(
+    "s7_user_file_outcomes",
+    f"""SELECT outcome, bad_columns, count(*) AS row_count, sum(votes) AS votes FROM (
+          SELECT CASE {_FAULT} WHEN 'none' THEN 'good' WHEN 'cut' THEN 'corrupt_record' ELSE 'bad_value' END AS outcome,
+                 CASE {_FAULT} WHEN 'rating' THEN 'rating' WHEN 'timestamp' THEN 'timestamp'
+                      WHEN 'both' THEN 'rating,timestamp' END AS bad_columns,
+                 CASE {_FAULT} WHEN 'none' THEN event_id ELSE 0 END AS votes FROM events)
+        GROUP BY outcome, bad_columns""",
+)
+def s7_outcomes(spark, sf):
+    out = shared_folder(configure(spark), "user-lines")
+    _faulty_lines(spark, sf).write.text(out)
+    good, rejected = readers.split_user_reviews(readers.user_review_rows(spark, out, _USER_NAMES, "json"))
+    both = good.select(F.lit("good").alias("outcome"), F.lit(None).cast("string").alias("bad_columns"), "helpful_vote").unionByName(
+        rejected.select(F.col("bad_reason").alias("outcome"), F.array_join("bad_columns", ",").alias("bad_columns"), F.lit(0).cast("bigint").alias("helpful_vote"))
+    )
+    return both.groupBy("outcome", "bad_columns").agg(F.count("*").alias("row_count"), F.sum("helpful_vote").alias("votes"))
+
+
+_EVENT_OUTCOME = """CASE WHEN epoch_s IS NULL THEN 'null_timestamp'
+    WHEN epoch_s NOT BETWEEN 0 AND 2147483647 THEN 'timestamp_out_of_range'
+    WHEN epoch_s >= epoch(TIMESTAMP '2024-01-01') AND epoch_s < epoch(TIMESTAMP '2025-01-01') THEN 'loaded'
+    ELSE 'other_year' END"""
+
+
+@query(
+    "f8_load_report",
+    with_views(
+        f"""SELECT 'reviews' AS table_name, {_EVENT_OUTCOME} AS outcome, count(*) AS row_count FROM fx_raw GROUP BY 2
+            UNION ALL SELECT 'metadata', CASE WHEN rating_number > 20 THEN 'loaded' ELSE 'unpopular' END, count(*)
+            FROM fx_metadata GROUP BY 2""",
+        "fx_raw",
+        "fx_metadata",
+    ),
+)
+def f8_report(spark, sf):
+    paths = [shared_folder(spark, x) for x in ("reviews", "metadata", "rejects")]
+    return load.load_tables(dv.raw_reviews(spark, sf), dv.raw_metadata(spark, sf), *paths[:2], 2024, 20, rejects_path=paths[2])
+
+
+@query(
+    "f8_load_rejects",
+    with_views(
+        f"""SELECT 'reviews' AS table_name, {_EVENT_OUTCOME} AS bad_reason, helpful_vote FROM fx_raw
+            WHERE {_EVENT_OUTCOME} NOT IN ('loaded', 'other_year')""",
+        "fx_raw",
+    ),
+)
+def f8_rejects(spark, sf):
+    paths = [shared_folder(spark, x) for x in ("reviews", "metadata", "rejects")]
+    load.load_tables(dv.raw_reviews(spark, sf), dv.raw_metadata(spark, sf), *paths[:2], 2024, 20, rejects_path=paths[2])
+    vote = F.get_json_object("raw", "$.helpful_vote").cast("bigint").alias("helpful_vote")
+    return spark.read.parquet(paths[2]).select("table_name", "bad_reason", vote)
+
+
+# Stored twice, the second time one year alone: a load that runs again adds no row.
+@query(
+    "s3_stored_tables",
+    with_views(
+        """SELECT r.id, r.parent_asin, r.rating, year(r."timestamp") AS year, m.title AS product_title, m.average_rating
+           FROM fx_reviews r JOIN fx_metadata m ON r.parent_asin = m.parent_asin""",
+        "fx_reviews",
+        "fx_metadata",
+    ),
+)
+def s3(spark, sf):
+    folder = shared_folder(configure(spark), "catalogue")
+    name = folder.rpartition("/")[2].replace("-", "_")
+    schemas.ensure_tables(spark, name, folder)
+    given = dv.reviews(spark, sf)
+    writers.store_metadata(dv.metadata(spark, sf), name)
+    for part in (given, given.where(tm.in_year(F.col("timestamp"), 1998))):
+        writers.store_reviews(part, name)
+    joined = rv.reviews_with_metadata(spark.table(f"{name}.reviews"), spark.table(f"{name}.metadata"))
+    return joined.select("id", "parent_asin", "rating", F.col("year").cast("bigint").alias("year"), "product_title", "average_rating")
+
+
 @query(
     "s8_load_audit",
     with_views(

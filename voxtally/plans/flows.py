@@ -1,4 +1,4 @@
-"""The load flow, the product flow and the company flow, each over all subjects at once."""
+"""The product flow and the company flow, each over all subjects at once."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtally.functions.prompts import COMPANY_TASKS, PRODUCT_TASKS
 from voxtally.functions.text import company_name
-from voxtally.operators.clean import load_metadata, load_reviews
 from voxtally.operators.insights import insight_bundle, point_text, prompt_table
 from voxtally.operators.mining import (
     PROFILE_FIELDS, STRATEGY_K, all_reviews, company_profile, improvement_candidate, mine_points,
@@ -17,16 +16,6 @@ from voxtally.operators.pages import (
 )
 from voxtally.operators.reviews import TOP_REVIEWS, reviews_text_numbered, reviews_text_plain
 from voxtally.session import materialize
-from voxtally.sources.writers import with_review_id, write_metadata, write_reviews
-
-
-def load_tables(
-    raw_reviews: DataFrame, raw_metadata: DataFrame, reviews_path: str, metadata_path: str,
-    year: int = 2023, min_ratings: int = 50, unit: str = "s",
-) -> None:
-    """Raw category tables to the two stored tables."""
-    write_reviews(with_review_id(load_reviews(raw_reviews, year, unit)), reviews_path)
-    write_metadata(load_metadata(raw_metadata, min_ratings), metadata_path)
 
 
 def _outputs(subjects: DataFrame, tasks: tuple[str, ...], *texts) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from voxtally.functions.times import epoch_micros
 from voxtally.operators.tasks import TTL_S, expire_tasks, latest_completed, latest_per_key
+from voxtally.session import setting
 from voxtally.streaming.expiry import ROCKSDB, expiring_changes
 from voxtally.streaming.snapshots import merge_batch, read_snapshot, run_merged
 
@@ -81,13 +82,8 @@ def run_expiring_tasks(
     Finished tasks leave the store by timers (see ``expiring_changes``) and the snapshot
     with them, so both hold what runs or ended within lateness, time to live and grace.
     """
-    spark = log.sparkSession
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)  # timers need it; a query keeps the settings it starts with
-    try:
+    with setting(log.sparkSession, PROVIDER, ROCKSDB):  # timers need it; a query keeps the settings it starts with
         return run_merged(expiring_changes(log, lateness, ttl_s, grace_s), _left, out, checkpoint)
-    finally:
-        spark.conf.set(PROVIDER, before)
 
 
 def read_live_tasks(spark: SparkSession, out: str, ttl_s: int = TTL_S) -> DataFrame:
