@@ -6,9 +6,8 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from test_tasks import LOG, T0, feed, stream  # noqa: F401  the fixture comes along
+from test_tasks import LOG, T0, TASK_LOG_SCHEMA, feed, stream  # noqa: F401  the fixture comes along
 from voxtally.operators import tasks
-from voxtally.schemas import TASK_LOG_SCHEMA
 from voxtally.streaming import snapshots, tasks as live
 
 HOUR = timedelta(hours=1)

@@ -3,15 +3,17 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from voxtally.functions import status as st
 from voxtally.operators import tasks
-from voxtally.schemas import TASK_LOG_SCHEMA
+from voxtally.schemas import TASK_LOG_SCHEMA as FULL_LOG
 from voxtally.streaming import ingest
 from voxtally.streaming import tasks as live
 
 T0 = datetime(2024, 1, 1, 12)
+# Most tests have no use for the code of a failure; a log may lack it.
+TASK_LOG_SCHEMA = T.StructType(FULL_LOG.fields[:5])
 
 
 def now():
@@ -81,11 +83,12 @@ def test_company_tasks_compare_clean_urls(log):
 
 
 def test_failures_have_a_kind_and_a_message(spark, rows):
-    texts = [
-        st.INSUFFICIENT_TEXT % (3, 50), st.NO_REVIEWS_TEXT, st.FETCH_FAILED_TEXT % "404", "boom", None,
+    found = [
+        (st.INSUFFICIENT_TEXT % (3, 50), st.INSUFFICIENT), (st.NO_REVIEWS_TEXT, st.NO_REVIEWS),
+        (st.FETCH_FAILED_TEXT % "404", st.FETCH_FAILED), ("boom", None), (None, None),
     ]
     log = spark.createDataFrame(
-        [(str(i), "s", "failed", t, T0) for i, t in enumerate(texts)], TASK_LOG_SCHEMA
+        [(str(i), "s", "failed", t, T0, c) for i, (t, c) in enumerate(found)], FULL_LOG
     )
     got = {r.task_id: (r.error_code, r.user_message) for r in tasks.failure_log(log).collect()}
     assert [got[str(i)][0] for i in range(5)] == [
@@ -93,12 +96,15 @@ def test_failures_have_a_kind_and_a_message(spark, rows):
     ]
     assert got["0"][1] == st.INSUFFICIENT_NOTICE and got["3"][1] == "boom"
     assert got["4"][1] == "Analysis failed"
+    # A log without codes knows of no kind; texts are not searched.
+    old = {r.error_code for r in tasks.failure_log(log.drop("error_code")).collect()}
+    assert old == {st.ANALYSIS_FAILED}
 
 
 def test_start_and_union(spark, rows):
     subjects = spark.createDataFrame([("s",)], "subject string")
     start = tasks.start_tasks(subjects, st.task_id(F.col("subject"), F.lit(5)), now())
-    assert start.first().status == "running" and start.schema.names == TASK_LOG_SCHEMA.names
+    assert start.first().status == "running" and start.schema.names == FULL_LOG.names
     both = tasks.union_tasks(
         start.withColumnRenamed("subject", "product_title"),
         start.withColumnRenamed("subject", "company_url"),

@@ -30,6 +30,7 @@ MISSING_URL_TEXT = "No company URL provided"
 INVALID_URL_TEXT = "Invalid company URL format"
 TIMEOUT_TEXT = "Analysis timed out after 3 minutes"
 FAILED_TEXT = "Analysis failed"
+UNKNOWN_TITLE_TEXT = "No product has this title"
 
 
 def is_terminal(status: Column) -> Column:
@@ -62,16 +63,6 @@ def outcome_message(outcome: Column, found: Column, required: Column, code: Colu
     )
 
 
-def error_code(error: Column) -> Column:
-    """Failure kind of a stored error text."""
-    return (
-        F.when(error.like("Found % reviews, but % are required.%"), INSUFFICIENT)
-        .when(error.contains("Failed to find URL"), FETCH_FAILED)
-        .when(error.contains("No reviews found"), NO_REVIEWS)
-        .otherwise(ANALYSIS_FAILED)
-    )
-
-
 def user_message(code: Column, error: Column) -> Column:
     """What the user is told; decided by code, never by searching the text."""
     return F.when(code == INSUFFICIENT, INSUFFICIENT_NOTICE).otherwise(

@@ -3,17 +3,37 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtally.functions.prompts import build_prompt, route_model
+from voxtally.functions.status import ANALYSIS_FAILED
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PROMPT_FIELDS = ("title", "features", "company", "reviews")
+IN_FLIGHT = 8
+
+Model = Callable[[str, str | None], str]
+# Answer, error text and error code: the first, or the other two.
+Answer = tuple[str | None, str | None, str | None]
+
+
+class ModelFailure(Exception):
+    """A failure that knows its kind; ``code`` goes to the log as it is."""
+
+    def __init__(self, code: str, message: str = ""):
+        super().__init__(message)
+        self.code = code
+
+    def __reduce__(self):
+        return type(self), (self.code, str(self))
 
 
 def point_text(points: Column) -> Column:
@@ -67,41 +87,74 @@ def prompt_table(
     return subjects.select(key, F.inline(rows))
 
 
+def ask(model: Model, prompt: str, name: str | None) -> Answer:
+    """One call. Any failure belongs to its row, with the kind the failure itself tells."""
+    try:
+        return model(prompt, name), None, None
+    except Exception as e:
+        return None, str(e) or type(e).__name__, getattr(e, "code", None) or ANALYSIS_FAILED
+
+
+def in_order(calls: Iterable[tuple[str, str | None]], model: Model, pool: ThreadPoolExecutor, in_flight: int) -> Iterator[Answer]:
+    """Answers in the order of the calls, with up to ``in_flight`` of them under way.
+
+    A call is made only when the one ``in_flight`` places before it has been answered and
+    taken, so calls never run further ahead of the reader.
+    """
+    waiting: deque = deque()
+    for prompt, name in calls:
+        if len(waiting) == in_flight:
+            yield waiting.popleft().result()
+        waiting.append(pool.submit(ask, model, prompt, name))
+    while waiting:
+        yield waiting.popleft().result()
+
+
+def answered(batches: Iterable[pd.DataFrame], model: Model, prompt_col: str, model_col: str | None, in_flight: int):
+    """(rows, answers) in pieces of ``in_flight`` rows, each handed on as soon as it is answered."""
+    with ThreadPoolExecutor(in_flight) as pool:
+        for batch in batches:
+            names = batch[model_col] if model_col else [None] * len(batch)
+            answers = in_order(zip(batch[prompt_col], names), model, pool, in_flight)
+            for a in range(0, len(batch), in_flight):
+                yield batch.iloc[a : a + in_flight], list(islice(answers, in_flight))
+
+
 def map_prompts(
     df: DataFrame,
-    make_model: Callable[[], Callable[[str, str | None], str]],
+    make_model: Callable[[], Model],
     prompt_col: str = "prompt",
     out_col: str = "output",
     model_col: str | None = "model",
     concurrency: int | None = None,
+    in_flight: int = IN_FLIGHT,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Runs a user's text model over a prompt table.
+    """Runs a user's text model over a prompt table: adds the answer, ``error`` and ``error_code``.
 
-    ``make_model`` is called once per task and returns ``f(prompt, model)``. A
-    call that raises fills ``error`` for its row and leaves the others alone.
-    ``concurrency`` is the number of tasks, hence of calls at a time.
+    ``make_model`` is called once per task and returns ``f(prompt, model)``, which a task
+    calls from ``in_flight`` threads (1 for a model that bears one call at a time). A call
+    that raises fills error and code for its row and leaves the others alone. Answers
+    leave the task in pieces of ``in_flight`` rows, so it holds no more of them.
+
+    ``concurrency`` is the number of tasks; with ``in_flight`` it bounds the calls at a
+    time. ``rows_per_task`` cuts the table into tasks of about that many rows instead: a
+    task that is lost with its executor asks those prompts again, and no others.
     """
+    if concurrency and rows_per_task:
+        raise ValueError("give concurrency or rows_per_task, not both")
     names = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_model()
-
-        def ask(prompt, name):
-            try:
-                return model(prompt, name), None
-            except Exception as e:  # any failure belongs to its row
-                return None, str(e) or type(e).__name__
-
-        for batch in batches:
-            wanted = batch[model_col] if model_col else [None] * len(batch)
-            answers = [ask(p, m) for p, m in zip(batch[prompt_col], wanted)]
-            yield batch[names].assign(
-                **{out_col: [a for a, _ in answers], "error": [e for _, e in answers]}
-            )
-
-    rows = df.repartition(concurrency) if concurrency else df
-    return rows.mapInPandas(run, f"{schema}, `{out_col}` string, `error` string")
+        for rows, answers in answered(batches, make_model(), prompt_col, model_col, in_flight):
+            output, error, code = zip(*answers)
+            yield rows[names].assign(**{out_col: list(output), "error": list(error), "error_code": list(code)})
+
+    if rows_per_task:
+        concurrency = max(1, -(-df.count() // rows_per_task))
+    dealt = df.repartition(concurrency) if concurrency else df
+    return dealt.mapInPandas(run, f"{schema}, `{out_col}` string, `error` string, `error_code` string")
 
 
 def insight_bundle(

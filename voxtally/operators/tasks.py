@@ -1,7 +1,8 @@
 """Analysis-task state as tables.
 
-A task log has ``task_id, subject, status, error, ts`` and is only appended to.
-The state of a task is its newest log row.
+A task log has ``task_id, subject, status, error, ts, error_code`` and is only appended
+to. The state of a task is its newest log row. The code is set where a failure happens;
+no text is searched for it.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtally.functions.status import (
-    COMPLETED, FAILED, NOT_FOUND, RUNNING, error_code, is_terminal, user_message,
+    ANALYSIS_FAILED, COMPLETED, FAILED, NOT_FOUND, RUNNING, is_terminal, user_message,
 )
 from voxtally.functions.text import clean_company_url
 from voxtally.functions.times import age_micros, epoch_micros
@@ -107,14 +108,18 @@ def classify_timeouts(
 
 
 def failure_log(tasks: DataFrame) -> DataFrame:
-    """Failed tasks with failure kind and the text a user is shown."""
+    """Failed tasks with failure kind and the text a user is shown.
+
+    A failure without a code, as in a log that has none, is an ``analysis_failed``.
+    """
     failed = tasks.where(F.col("status") == FAILED)
+    code = F.col("error_code") if "error_code" in tasks.columns else F.lit(None)
     return failed.select(
         "task_id",
         "subject",
         "ts",
         "error",
-        error_code(F.coalesce(F.col("error"), F.lit(""))).alias("error_code"),
+        F.coalesce(code, F.lit(ANALYSIS_FAILED)).alias("error_code"),
     ).withColumn("user_message", user_message(F.col("error_code"), F.col("error")))
 
 
@@ -131,4 +136,5 @@ def start_tasks(subjects: DataFrame, task_id: Column, as_of: Column | None = Non
         F.lit(RUNNING).alias("status"),
         F.lit(None).cast("string").alias("error"),
         (F.current_timestamp() if as_of is None else as_of).alias("ts"),
+        F.lit(None).cast("string").alias("error_code"),
     )

@@ -34,7 +34,7 @@ def run_stages(
     make_model: MakeModel,
     concurrency: int | None = None,
 ) -> DataFrame:
-    """Answers in long form: ``subject, task_pos, task, model, output, error``.
+    """Answers in long form: ``subject, task_pos, task, model, output, error, error_code``.
 
     A subject one of whose tasks failed gets no further tasks.
     """
@@ -55,11 +55,10 @@ def run_stages(
 
 
 def analysis_result(answers: DataFrame, stages: Sequence[Sequence[str]]) -> DataFrame:
-    """One row per subject: status, first error, and the answers by position."""
+    """One row per subject: status, first error with its code, and the answers by position."""
     order = [task for stage in stages for task in stage]
-    errors = answers.groupBy("subject").agg(
-        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("task_pos"))).alias("error")
-    )
+    first = F.min_by(F.struct("error", "error_code"), F.when(F.col("error").isNotNull(), F.col("task_pos")))
+    errors = answers.groupBy("subject").agg(first.alias("e")).select("subject", "e.*")
     status = F.when(F.col("error").isNull(), COMPLETED).otherwise(FAILED)
     return insight_bundle(answers, order).join(errors, "subject").withColumn("status", status)
 
@@ -104,14 +103,20 @@ def analyze_companies(
     max_pages: int | None = None,
     n: int = MIN_REVIEWS,
     concurrency: int | None = None,
+    companies: DataFrame | None = None,
 ) -> DataFrame:
     """Profile, strengths, challenges and strategy for each company that passes the gate.
 
-    A company that does not pass has status ``failed`` and the gate's message.
+    ``companies`` (cleaned, in ``company``) are those asked for, all saved ones without it.
+    A company that does not pass has status ``failed``, the gate's message, and the gate's
+    outcome as error code; one of which no page was saved has failed to be fetched.
     """
+    if companies is not None:
+        companies = materialize(companies.select("company").distinct(), "companies")
+        pages = pages.join(companies, "company", "left_semi")
     parsed = parsed_company_reviews(pages, tag, css_class, max_pages)
     outcomes = materialize(
-        min_review_gate(pages, parsed, page_limits(pages, max_pages), n), "outcomes"
+        min_review_gate(pages if companies is None else companies, parsed, page_limits(pages, max_pages), n), "outcomes"
     )
     texts = reviews_text_plain(passing_reviews(parsed, outcomes))
     passed = outcomes.where(F.col("message").isNull()).select("company").join(texts, "company", "left")
@@ -126,6 +131,6 @@ def analyze_companies(
     answers = run_stages(subjects, COMPANY_STAGES, make_model, concurrency)
     refused = outcomes.where(F.col("message").isNotNull()).select(
         F.col("company").alias("subject"), F.lit(FAILED).alias("status"),
-        F.col("message").alias("error"),
+        F.col("message").alias("error"), F.col("outcome").alias("error_code"),
     )
     return analysis_result(answers, COMPANY_STAGES).unionByName(refused, allowMissingColumns=True)

@@ -22,7 +22,7 @@ from voxtally.operators import pages as pg
 from voxtally.operators import reviews as rv
 from voxtally.plans import analysis
 from voxtally.plans import driver_views as dv
-from voxtally.plans import flows, load
+from voxtally.plans import flows, load, service
 from voxtally.plans.driver_views import table, with_views
 from voxtally.session import configure, shared_folder
 from voxtally.sources import readers, writers
@@ -1276,10 +1276,8 @@ def x16(spark, sf):
     )
 
 
-_CODE = f"""CASE WHEN error LIKE 'Found % reviews, but % are required.%' THEN 'insufficient'
-    WHEN contains(error, 'No reviews found') THEN 'no_reviews' ELSE 'analysis_failed' END"""
-_FAILURES = f"""SELECT task_id, subject, epoch_us(ts) AS ts_us, error, {_CODE} AS error_code,
-    CASE WHEN {_CODE} = 'insufficient' THEN '{st.INSUFFICIENT_NOTICE}' ELSE error END AS user_message
+_FAILURES = f"""SELECT task_id, subject, epoch_us(ts) AS ts_us, error, error_code,
+    CASE WHEN error_code = 'insufficient' THEN '{st.INSUFFICIENT_NOTICE}' ELSE error END AS user_message
     FROM fx_tasks WHERE status = 'failed'"""
 
 
@@ -1526,33 +1524,32 @@ def _sql_stages(stages, source: str, **fields: str) -> dict[str, str]:
         seen += stage
     outputs = ", ".join(f"max(output) FILTER (task_pos = {i}) AS output_{i}" for i in range(len(seen)))
     ctes["fx_answers"] = f"""SELECT subject, max(error) AS error,
-            CASE WHEN count(error) = 0 THEN 'completed' ELSE 'failed' END AS status, {outputs}
+            CASE WHEN count(error) = 0 THEN 'completed' ELSE 'failed' END AS status,
+            CASE WHEN count(error) > 0 THEN 'analysis_failed' END AS error_code, {outputs}
         FROM fx_done{len(stages) - 1} GROUP BY subject"""
     return ctes
 
 
-@query(
-    "p1_analyze_products",
-    with_views(
-        "SELECT * FROM fx_answers",
-        "fx_metadata",
-        "fx_reviews",
-        extra={
-            "fx_asked": f"""
-                SELECT b.title AS subject, b.title, b.features, reviews FROM (
-                  SELECT *, row_number() OVER (PARTITION BY title
-                         ORDER BY rating_number DESC NULLS LAST, parent_asin) AS rn
-                  FROM fx_metadata) b
-                LEFT JOIN (SELECT parent_asin, string_agg('Review ' || review_no || ': ' || "text", chr(10)
-                                  ORDER BY review_no) AS reviews
-                           FROM ({_NUMBERED}) WHERE review_no <= 50 GROUP BY parent_asin) t
-                  ON b.parent_asin = t.parent_asin WHERE rn = 1"""
-        }
-        | _sql_stages(
-            pr.PRODUCT_STAGES, "fx_asked", title="title", features="features", reviews="reviews"
-        ),
-    ),
-)
+_PRODUCT_ANSWERS = {
+    "fx_titles": """SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY title ORDER BY rating_number DESC NULLS LAST, parent_asin) AS rn
+        FROM fx_metadata) WHERE rn = 1""",
+    "fx_asked": f"""
+        SELECT b.title AS subject, b.title, b.features, reviews FROM fx_titles b
+        LEFT JOIN (SELECT parent_asin, string_agg('Review ' || review_no || ': ' || "text", chr(10)
+                          ORDER BY review_no) AS reviews
+                   FROM ({_NUMBERED}) WHERE review_no <= 50 GROUP BY parent_asin) t
+          ON b.parent_asin = t.parent_asin""",
+} | _sql_stages(pr.PRODUCT_STAGES, "fx_asked", title="title", features="features", reviews="reviews")
+
+_COMPANY_ANSWERS = {
+    "fx_asked": f"""SELECT company AS subject, {dv.sql_company_name('company')} AS name,
+            string_agg('Review: ' || "text", chr(10) ORDER BY page_no, pos) AS reviews
+        FROM fx_passed WHERE page_no <= 4 GROUP BY company"""
+} | _sql_stages(pr.COMPANY_STAGES, "fx_asked", company="name", reviews="reviews")
+
+
+@query("p1_analyze_products", with_views("SELECT * FROM fx_answers", "fx_metadata", "fx_reviews", extra=_PRODUCT_ANSWERS))
 def p1_products(spark, sf):
     return analysis.analyze_products(
         dv.reviews(spark, sf), dv.metadata(spark, sf), _digest_model
@@ -1563,15 +1560,10 @@ def p1_products(spark, sf):
     "p1_analyze_companies",
     with_views(
         """SELECT * FROM fx_answers UNION ALL BY NAME
-           SELECT company AS subject, 'failed' AS status, message AS error FROM fx_gate
+           SELECT company AS subject, 'failed' AS status, message AS error, outcome AS error_code FROM fx_gate
            WHERE message IS NOT NULL""",
         "fx_passed",
-        extra={
-            "fx_asked": f"""SELECT company AS subject, {dv.sql_company_name('company')} AS name,
-                    string_agg('Review: ' || "text", chr(10) ORDER BY page_no, pos) AS reviews
-                FROM fx_passed WHERE page_no <= 4 GROUP BY company"""
-        }
-        | _sql_stages(pr.COMPANY_STAGES, "fx_asked", company="name", reviews="reviews"),
+        extra=_COMPANY_ANSWERS,
     ),
 )
 def p1_companies(spark, sf):
@@ -1580,6 +1572,63 @@ def p1_companies(spark, sf):
     )
 
 
+# From request to page: the tasks are logged, and pages are read from the log.
+@query(
+    "p1_product_pages",
+    with_views(
+        """SELECT a.subject AS title, t.main_category, t.average_rating, t.rating_number, '$' || t.price AS price,
+                  output_0, output_1, output_2
+           FROM fx_answers a JOIN fx_titles t ON a.subject = t.title WHERE a.status = 'completed'""",
+        "fx_metadata",
+        "fx_reviews",
+        extra=_PRODUCT_ANSWERS,
+    ),
+)
+def p1_product_pages(spark, sf):
+    log, products = shared_folder(spark, "analysis-log"), dv.metadata(spark, sf)
+    service.run_product_analyses(products, dv.reviews(spark, sf), products, _digest_model, log, as_of())
+    return service.product_pages(products, service.read_log(spark, log)).drop("ts")
+
+
+def _company_log(spark, sf) -> DataFrame:
+    """The log after all hosts of the pages table were asked for, by their raw addresses, and one unknown."""
+    log, saved = shared_folder(spark, "analysis-log"), table(spark, sf, "pages")
+    unknown = saved.agg(F.lit("https://www.nowhere.example/page").alias("company_url"))
+    asked = saved.select(F.col("url").alias("company_url")).unionByName(unknown)
+    service.run_company_analyses(asked, dv.pages(spark, sf, "html"), _digest_model, log, as_of(), **AD, n=2)
+    return service.read_log(spark, log)
+
+
+@query(
+    "p1_company_pages",
+    with_views(
+        """SELECT subject AS company, output_0, output_1, output_2, output_3 FROM fx_answers
+           WHERE status = 'completed'""",
+        "fx_passed",
+        extra=_COMPANY_ANSWERS,
+    ),
+)
+def p1_company_pages(spark, sf):
+    return service.company_pages(_company_log(spark, sf)).drop("ts")
+
+
+@query(
+    "t6_analysis_failures",
+    with_views(
+        f"""SELECT subject, error, error_code,
+                   CASE WHEN error_code = 'insufficient' THEN '{st.INSUFFICIENT_NOTICE}' ELSE error END AS user_message
+            FROM (SELECT subject, error, error_code FROM fx_answers WHERE status = 'failed'
+                  UNION ALL SELECT company, message, outcome FROM fx_gate WHERE message IS NOT NULL
+                  UNION ALL SELECT 'nowhere.example', '{st.FETCH_FAILED_TEXT % "None"}', 'fetch_failed')""",
+        "fx_passed",
+        extra=_COMPANY_ANSWERS,
+    ),
+)
+def t6_analyses(spark, sf):
+    states = tasks.latest_per_key(_company_log(spark, sf))
+    return tasks.failure_log(states).select("subject", "error", "error_code", "user_message")
+
+
 @query(
     "p2_route_model",
     f"""SELECT o_orderkey, task, CASE WHEN task IN ('improvement', 'strategy')

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from voxtally.functions.status import COMPLETED, FAILED, INSUFFICIENT_TEXT, NO_REVIEWS_TEXT, RUNNING
+from voxtally.functions.status import (
+    ANALYSIS_FAILED, COMPLETED, FAILED, FETCH_FAILED, FETCH_FAILED_TEXT, INSUFFICIENT, INSUFFICIENT_TEXT, NO_REVIEWS,
+    NO_REVIEWS_TEXT, RUNNING,
+)
 from voxtally.functions.text import MIN_LETTERS, clean_company_url, terms
 from voxtally.session import configure
 
@@ -116,12 +119,14 @@ def task_log_from(events: DataFrame) -> DataFrame:
         .when(F.col("event_type") == "error", FAILED)
         .otherwise(RUNNING)
     )
-    kind = F.col("event_id") % 3
+    kind = F.col("event_id") % 4
     error = (
         F.when(kind == 0, F.format_string(INSUFFICIENT_TEXT, F.col("event_id") % 50, F.lit(50)))
         .when(kind == 1, NO_REVIEWS_TEXT)
+        .when(kind == 2, FETCH_FAILED_TEXT % 404)
         .otherwise(OTHER_FAILURE_TEXT)
     )
+    code = F.when(kind == 0, INSUFFICIENT).when(kind == 1, NO_REVIEWS).when(kind == 2, FETCH_FAILED).otherwise(ANALYSIS_FAILED)
     return events.select(
         F.col("user_id").cast("string").alias("task_id"),
         F.concat(F.lit("subject-"), (F.col("user_id") % 20).cast("string")).alias("subject"),
@@ -129,6 +134,7 @@ def task_log_from(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "error", error).alias("error"),
         "ts",
         "value",
+        F.when(F.col("event_type") == "error", code).alias("error_code"),
     )
 
 
@@ -286,9 +292,13 @@ SQL_VIEWS = {
                CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed'
                     ELSE 'running' END AS status,
                CASE WHEN event_type = 'error' THEN
-                 CASE event_id % 3 WHEN 0 THEN {sql_insufficient('(event_id % 50)', '50')}
-                      WHEN 1 THEN {_q(NO_REVIEWS_TEXT)} ELSE {_q(OTHER_FAILURE_TEXT)} END END AS error,
-               ts, value
+                 CASE event_id % 4 WHEN 0 THEN {sql_insufficient('(event_id % 50)', '50')}
+                      WHEN 1 THEN {_q(NO_REVIEWS_TEXT)} WHEN 2 THEN {_q(FETCH_FAILED_TEXT % 404)}
+                      ELSE {_q(OTHER_FAILURE_TEXT)} END END AS error,
+               ts, value,
+               CASE WHEN event_type = 'error' THEN
+                 CASE event_id % 4 WHEN 0 THEN 'insufficient' WHEN 1 THEN 'no_reviews' WHEN 2 THEN 'fetch_failed'
+                      ELSE 'analysis_failed' END END AS error_code
         FROM events""",
     "fx_latest": """
         SELECT * EXCLUDE (rn) FROM (

@@ -33,7 +33,12 @@ METADATA_SCHEMA = _struct(
 PAGES_SCHEMA = _struct(company=_S, page_no=_I, status_code=_I, html=_S)
 
 TASK_LOG_SCHEMA = _struct(
-    task_id=_S, subject=_S, status=_S, error=_S, ts=T.TimestampType()
+    task_id=_S, subject=_S, status=_S, error=_S, ts=T.TimestampType(), error_code=_S
+)
+
+# The log of the analysis flows: what was asked for, and the answers by position.
+ANALYSIS_LOG_SCHEMA = _struct(
+    task_id=_S, kind=_S, subject=_S, status=_S, error=_S, ts=T.TimestampType(), error_code=_S, outputs=_WORDS
 )
 
 
