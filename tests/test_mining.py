@@ -242,3 +242,28 @@ def test_analysis_of_chosen_titles(spark):
     assert (got["Lamp"].status, got["Lamp"].error, got["Lamp"].output_2) == ("failed", "refused", None)
     assert got["Watch"].status == "completed"
     assert got["Watch"].output_2 == "gpt-4o<Propose the one ch|True>"
+
+
+def test_one_pass_finds_lists_and_change(spark, reviews):
+    """``product_points`` equals the lists and the unlisted pain point, each mined on its own."""
+    mined = mining.most_helpful(reviews)
+    subjects = sorted({r.subject for r in mined.select("subject").distinct().collect()})
+    products = spark.createDataFrame(
+        [(s, "t", " ".join(WORDS[i % 5 :: 3]) if i % 4 else None) for i, s in enumerate(subjects)],
+        "subject string, title string, features string",
+    )
+    lists, best = mining.point_lists(mining.mine_points(mined)), mining.unlisted_pain(mined, products)
+    want = lists.join(best, "subject", "left")
+    got = mining.product_points(mined, products)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert any(r.best for r in got.collect())
+
+
+def test_terms_rate_and_count_from_one_pass(spark, data):
+    """``mine_unrated`` equals rating the reviews by words first and mining them then."""
+    placed = spark.createDataFrame([(s, i, t) for i, s, _, _, t in data], "subject string, ord long, text string")
+    words = spark.createDataFrame([(w, 1 if i % 2 else -1) for i, w in enumerate(WORDS[:8])], "word string, weight int")
+    rated = mining.rate_by_words(placed.withColumn("rating", F.lit(None).cast("double")), words)
+    want = mining.mine_points(mining.all_reviews(rated, ord_column="ord"))
+    got = mining.mine_unrated(placed, words)
+    assert sorted(map(str, got.select(*COLUMNS).collect())) == sorted(map(str, want.select(*COLUMNS).collect()))

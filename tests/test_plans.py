@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from voxtally.operators import market, skew
+from voxtally.operators import pages as pg
 from voxtally.operators import reviews as rv
 from voxtally.plans.driver_queries import QUERIES
 
@@ -201,3 +202,19 @@ def test_price_words(spark):
     assert [(r.band, r.review_count, r.avg_rating, r.price_share) for r in got] == [
         (1, 2, 3.0, 0.5), (2, 1, 3.0, 0.0),
     ]
+
+
+def test_texts_are_mined_once(spark):
+    """All findings of a product come from one explode of its reviews' terms."""
+    for name in ("a10_improvement_candidate", "a12_product_insights"):
+        text = queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        exploded = [x for x in text.splitlines() if "Generate explode(array_distinct" in x]
+        assert len(exploded) == 2, name  # the reviews' terms, and those of the listed features
+
+
+def test_pages_pass_the_rule_before_they_are_parsed(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").selectExpr(
+        "url company", "cast(page_id as int) page_no", "200 status_code", "html"
+    )
+    text = pg.company_reviews(pages, "div", "ad")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("MapInPandas") < text.index("Join LeftSemi")

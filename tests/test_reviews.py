@@ -104,3 +104,22 @@ def test_hot_product_is_cut_before_the_shuffle(spark):
     assert plan.index("Final") < plan.index("Exchange hashpartitioning") < plan.index("Partial")
     best = sorted(((i % 977, -i) for i in range(0, 60000, 3)), reverse=True)[:50]
     assert [(r.helpful_vote, -r.id) for r in got.where("parent_asin = 'hot'").orderBy("review_no").collect()] == best
+
+
+def test_best_reviews_of_a_product_listed_twice(spark, meta, reviews):
+    """The limit comes before the join, and doubled rows still fill it in order."""
+    got = [(r.rating, r.text) for r in rv.top_reviews(reviews, meta, "Ring", 3).collect()]
+    assert got == [(3.0, None), (3.0, None), (5.0, "a")]
+    assert len(rv.top_reviews(reviews, meta, "Ring", 50).collect()) == 8
+    text = rv.top_reviews(reviews, meta, "Ring", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join") < text.rindex("GlobalLimit 3")
+
+
+def test_bundle_counts_reviews_past_the_prompt(spark):
+    data = [("a.com", p, 0, f"t{p}") for p in range(1, 8)] + [("b.com", 6, 0, "late")]
+    df = spark.createDataFrame(data, "company string, page_no int, pos long, text string")
+    got = {r.company: (r.reviews, r.reviews_count) for r in rv.company_review_bundle(df).collect()}
+    assert got == {"a.com": (["t1", "t2", "t3", "t4"], 7), "b.com": ([], 1)}
+    whole = {r.company: len(r.reviews) for r in rv.company_review_bundle(df, max_pages=None).collect()}
+    assert whole == {"a.com": 7, "b.com": 1}
+    assert rv.reviews_text_plain(df, max_pages=None).where("company = 'b.com'").first().reviews_text == "Review: late"

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voxtally.functions.text import MIN_LETTERS, terms
 from voxtally.operators.reviews import number_reviews
 from voxtally.operators.skew import salted_join
+from voxtally.session import materialize
 
-PRAISE, PAIN = "praise", "pain"
+PRAISE, PAIN, CHANGE = "praise", "pain", "change"
 PRAISED_K, PAIN_K, STRATEGY_K = 4, 3, 2
 #: One in so many reviews tells which words are common.
 SAMPLED = 16
@@ -78,6 +79,37 @@ def rate_by_words(
     )
 
 
+def review_terms(reviews: DataFrame, min_length: int = MIN_LETTERS) -> DataFrame:
+    """Each term of each review once: ``subject, ord, term``. No text comes along."""
+    return reviews.select("subject", "ord", F.explode(terms(F.col("text"), min_length)).alias("term"))
+
+
+def word_ratings(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``subject, ord, good`` for the reviews whose words (word, weight) do not balance.
+
+    ``found`` comes from ``review_terms``.
+    """
+    key = F.struct("subject", "ord")
+    some = found.where(F.pmod(F.xxhash64(key), F.lit(SAMPLED)) == 0)
+    weights = words.withColumnRenamed("word", "term")
+    hits = salted_join(found, weights, ["term"], "inner", key, sample=some)
+    sums = hits.groupBy("subject", "ord").agg(F.sum("weight").alias("weight"))
+    return sums.where(F.col("weight") != 0).select("subject", "ord", (F.col("weight") > 0).alias("good"))
+
+
+def mine_unrated(
+    reviews: DataFrame, words: DataFrame, praised_k: int = PRAISED_K, pain_k: int = PAIN_K, min_length: int = MIN_LETTERS
+) -> DataFrame:
+    """``mine_points`` for reviews that carry no rating, which a word table gives them.
+
+    The texts are cut into terms once: the terms, written to the shared folder, rate the
+    reviews and are then counted by those ratings.
+    """
+    found = materialize(review_terms(reviews, min_length), "terms")
+    stats = _counted(found.join(word_ratings(found, words), ["subject", "ord"]))
+    return with_quotes(rank_points(stats, praised_k, pain_k), reviews.select("subject", "ord", "text"))
+
+
 def _polar(reviews: DataFrame) -> DataFrame:
     rating = F.col("rating")
     return reviews.where((rating >= 4) | (rating <= 2))
@@ -89,10 +121,15 @@ def term_stats(reviews: DataFrame, min_length: int = MIN_LETTERS) -> DataFrame:
     Buffers are whole numbers only, so this is a hash aggregate with map-side
     combine; the text itself is not shuffled.
     """
-    rows = _polar(reviews).select(
-        "subject", "ord", (F.col("rating") >= 4).alias("good"),
-        F.explode(terms(F.col("text"), min_length)).alias("term"),
+    return _counted(
+        _polar(reviews).select(
+            "subject", "ord", (F.col("rating") >= 4).alias("good"),
+            F.explode(terms(F.col("text"), min_length)).alias("term"),
+        )
     )
+
+
+def _counted(rows: DataFrame) -> DataFrame:
     good, order = F.col("good"), F.col("ord")
     return rows.groupBy("subject", "term").agg(
         F.count_if(good).alias("pos_df"),
@@ -119,13 +156,18 @@ def rank_points(
     """Top terms per subject and kind. A term is praise or pain, never both.
 
     Rank by difference, then own count, then term. The rank bound lets every task
-    drop all but a few rows of a subject before the shuffle.
+    drop all but a few rows of a subject before the shuffle. Where ``stats`` has a column
+    ``listed``, the top pain point that is not listed comes too, as the one ``change``.
     """
     pos, neg = F.col("pos_df"), F.col("neg_df")
     praise = pos > neg
+    kinds = F.array(F.when(praise, PRAISE).otherwise(PAIN))
+    if "listed" in stats.columns:
+        proposed = ~praise & ~F.coalesce("listed", F.lit(False))
+        kinds = F.when(proposed, F.array(F.lit(PAIN), F.lit(CHANGE))).otherwise(kinds)
     points = stats.where(pos != neg).select(
         "subject",
-        F.when(praise, PRAISE).otherwise(PAIN).alias("kind"),
+        F.explode(kinds).alias("kind"),
         "term",
         F.when(praise, pos).otherwise(neg).alias("own_df"),
         F.abs(pos - neg).alias("diff"),
@@ -134,7 +176,7 @@ def rank_points(
     w = Window.partitionBy("subject", "kind").orderBy(
         F.desc("diff"), F.desc("own_df"), F.asc("term")
     )
-    limit = F.when(F.col("kind") == PRAISE, praised_k).otherwise(pain_k)
+    limit = F.when(F.col("kind") == PRAISE, praised_k).when(F.col("kind") == PAIN, pain_k).otherwise(1)
     return (
         points.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= max(praised_k, pain_k))
@@ -149,7 +191,8 @@ def with_quotes(points: DataFrame, reviews: DataFrame) -> DataFrame:
     few: every point has its review. Exact copies of a review share an id; their
     equal quotes are folded to one.
     """
-    texts = _polar(reviews).select("subject", "ord", F.col("text").alias("quote"))
+    rated = _polar(reviews) if "rating" in reviews.columns else reviews
+    texts = rated.select("subject", "ord", F.col("text").alias("quote"))
     quoted = points.join(texts, ["subject", "ord"]).drop("ord")
     return quoted.dropDuplicates(["subject", "kind", "rank"])
 
@@ -185,9 +228,28 @@ def point_lists(points: DataFrame) -> DataFrame:
     At most a handful of points per subject, so one small aggregate serves every
     later step and the mining runs once.
     """
+    return points.groupBy("subject").agg(_of_kind(PRAISE).alias("praise"), _of_kind(PAIN).alias("pain"))
+
+
+def _of_kind(kind: str) -> Column:
     point = F.struct("rank", "term", "own_df", "quote")
-    of_kind = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, point)))
-    return points.groupBy("subject").agg(of_kind(PRAISE).alias("praise"), of_kind(PAIN).alias("pain"))
+    return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, point)))
+
+
+def product_points(
+    reviews: DataFrame, products: DataFrame, praised_k: int = PRAISED_K, pain_k: int = PAIN_K, min_length: int = MIN_LETTERS
+) -> DataFrame:
+    """``subject, praise, pain, best``: the lists of ``point_lists`` and the change to propose.
+
+    ``best`` is that of ``unlisted_pain``. One pass over the texts finds all three: a point
+    that the product's ``features`` do not name is ranked twice, among all and among those.
+    """
+    named = terms(F.col("features"), min_length)
+    listed = products.select("subject", F.explode(named).alias("term")).distinct().withColumn("listed", F.lit(True))
+    stats = term_stats(reviews, min_length).join(listed, ["subject", "term"], "left")
+    points = with_quotes(rank_points(stats, praised_k, pain_k), reviews)
+    best = F.max(F.when(F.col("kind") == CHANGE, F.struct("term", "own_df", "quote")))
+    return points.groupBy("subject").agg(_of_kind(PRAISE).alias("praise"), _of_kind(PAIN).alias("pain"), best.alias("best"))
 
 
 def with_context(task: DataFrame, *contexts: DataFrame, key: str = "subject") -> DataFrame:
@@ -211,14 +273,16 @@ def unlisted_pain(
     return best.select("subject", F.struct("term", "own_df", "quote").alias("best"))
 
 
-def improvement_candidate(lists: DataFrame, best: DataFrame, products: DataFrame) -> DataFrame:
+def improvement_candidate(lists: DataFrame, best: DataFrame | None, products: DataFrame) -> DataFrame:
     """The first pain point per product that its listed features do not name already.
 
-    ``lists`` comes from ``point_lists``, ``best`` from ``unlisted_pain``; ``products`` holds
-    ``subject, title, features`` (text). Every product gets a row, with nulls when nothing is
-    left to propose; praised features and pain points come along as context.
+    ``lists`` comes from ``point_lists`` and ``best`` from ``unlisted_pain``, or both from
+    ``product_points`` as ``lists``; ``products`` holds ``subject, title, features`` (text).
+    Every product gets a row, with nulls when nothing is left to propose; praised features
+    and pain points come along as context.
     """
-    named = with_context(products.select("subject", "title", "features"), lists, best)
+    contexts = (lists,) if best is None else (lists, best)
+    named = with_context(products.select("subject", "title", "features"), *contexts)
     return named.select(
         "subject", "title", "features",
         F.col("best.term").alias("improve_term"),

@@ -15,6 +15,7 @@ from voxtally.functions.status import (
     FETCH_FAILED, INSUFFICIENT, NO_REVIEWS, OK, outcome_message, url_reject_reason,
 )
 from voxtally.functions.text import clean_company_url
+from voxtally.session import materialize
 
 # Ship this module's functions by value: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -249,16 +250,17 @@ def company_reviews(
 ) -> DataFrame:
     """Reviews of every company: ``company, page_no, pos, text``.
 
-    Pages are parsed where they lie, and only the extracted reviews move: those of pages that the
-    page rule keeps stay. Of different texts saved for one page the one with the smallest
-    hash counts; equal copies fold to one.
+    The page rule comes first, on page numbers and hashes alone; parsing costs many times what
+    moving a page does, so only pages that count are parsed. Of different texts saved for
+    one page the one with the smallest hash counts; equal copies fold to one.
     """
     marked = _numbered(pages, max_pages).where(F.col("status_code") == 200).withColumn("copy", F.xxhash64("html"))
     chosen = keep_page_prefix(pages.withColumn("copy", F.xxhash64("html")).drop("html"), max_pages)
-    chosen = chosen.groupBy("company", "page_no").agg(F.min("copy").alias("copy"))
-    found = extract_blocks(marked, tag, css_class, keys=("company", "page_no", "copy"))
-    kept = found.join(chosen, ["company", "page_no", "copy"], "left_semi")
-    return kept.groupBy("company", "page_no", "pos").agg(F.first("text").alias("text"))
+    # Written, so that Catalyst knows its size: pages are joined where they lie while it is small.
+    chosen = materialize(chosen.groupBy("company", "page_no").agg(F.min("copy").alias("copy")), "chosen-pages")
+    kept = marked.where(_may_hold(F.col("html"), css_class)).join(chosen, ["company", "page_no", "copy"], "left_semi")
+    found = extract_blocks(kept, tag, css_class, keys=("company", "page_no", "copy"))
+    return found.groupBy("company", "page_no", "pos").agg(F.first("text").alias("text"))
 
 
 def passing_reviews(reviews: DataFrame, outcomes: DataFrame) -> DataFrame:

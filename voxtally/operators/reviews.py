@@ -48,10 +48,11 @@ def top_reviews(
     """The most helpful reviews of the product a title stands for.
 
     The product key is a scalar subquery, so the reviews scan gets it as an
-    ordinary equality filter.
+    ordinary equality filter. Each task hands on ``k`` reviews: only the best are joined,
+    which a product listed more than once doubles.
     """
     key = title_to_parent(metadata, title).scalar()
-    mine = reviews.where(F.col("parent_asin") == key)
+    mine = reviews.where(F.col("parent_asin") == key).orderBy(*review_order(reviews)).limit(k)
     listed = metadata.select("parent_asin").where(F.col("parent_asin") == key)
     return (
         mine.join(listed, "parent_asin")
@@ -98,27 +99,32 @@ def reviews_text_numbered(
     return ranked.groupBy(key).agg(_join_lines(no, line).alias("reviews_text"))
 
 
+def _in_prompt(max_pages: int | None) -> Column:
+    return F.lit(True) if max_pages is None else F.col("page_no") <= max_pages
+
+
 def reviews_text_plain(
-    reviews: DataFrame, key: str = "company", max_pages: int = PROMPT_PAGES
+    reviews: DataFrame, key: str = "company", max_pages: int | None = PROMPT_PAGES
 ) -> DataFrame:
     """``Review: text`` lines per company, in page order, from its first ``max_pages`` pages.
 
-    The bound is that of a prompt; mining and the gate read all pages.
+    The bound is that of a prompt, None for no bound; mining and the gate read all pages.
     """
     line = F.concat(F.lit("Review: "), F.col("text"))
     return (
-        reviews.where(F.col("text").isNotNull() & (F.col("page_no") <= max_pages))
+        reviews.where(F.col("text").isNotNull() & _in_prompt(max_pages))
         .groupBy(key)
         .agg(_join_lines(F.struct("page_no", "pos"), line).alias("reviews_text"))
     )
 
 
 def company_review_bundle(
-    reviews: DataFrame, key: str = "company", max_pages: int = PROMPT_PAGES
+    reviews: DataFrame, key: str = "company", max_pages: int | None = PROMPT_PAGES
 ) -> DataFrame:
-    """List of reviews and their count per company; same bound as above."""
-    rows = F.array_sort(F.collect_list(F.struct("page_no", "pos", "text")))
-    return reviews.where(F.col("page_no") <= max_pages).groupBy(key).agg(
+    """List of reviews, bounded as above, and the count of all reviews, per company."""
+    shown = F.when(_in_prompt(max_pages), F.struct("page_no", "pos", "text"))
+    rows = F.array_sort(F.collect_list(shown))
+    return reviews.groupBy(key).agg(
         F.transform(rows, lambda r: r["text"]).alias("reviews"),
         F.count("*").alias("reviews_count"),
     )

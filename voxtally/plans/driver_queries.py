@@ -127,13 +127,19 @@ def s4_metadata(spark, sf):
     )
 
 
+# Ids of two runs over rows in another order: each row has one id, and no other row has it.
 @query(
     "s5_review_ids",
-    "SELECT event_id, count(*) AS id_rows FROM events GROUP BY event_id",
+    "SELECT event_id, count(*) AS id_rows, 1 AS ids, count(*) // 1 AS rows_of_id FROM events GROUP BY event_id",
 )
 def s5(spark, sf):
-    with_id = writers.with_review_id(table(spark, sf, "events"))
-    return with_id.groupBy("event_id", "id").agg(F.count("*").alias("id_rows")).drop("id")
+    events = table(spark, sf, "events")
+    runs = writers.with_review_id(events).unionByName(writers.with_review_id(events.repartition(7, "user_id")))
+    ids = runs.groupBy("event_id", "id").agg((F.count("*") / 2).cast("bigint").alias("n"))
+    sharing = ids.groupBy("id").agg(F.sum("n").alias("rows_of_id"))
+    return ids.join(sharing, "id").groupBy("event_id").agg(
+        F.sum("n").alias("id_rows"), F.count("*").cast("int").alias("ids"), F.max("rows_of_id").alias("rows_of_id")
+    )
 
 
 @query(
@@ -142,11 +148,14 @@ def s5(spark, sf):
                cast(length(html) AS integer) AS html_chars FROM pages""",
 )
 def s6(spark, sf):
+    out = shared_folder(configure(spark), "saved-pages")
     saved = table(spark, sf, "pages").select(
-        F.col("url").alias("company"), (F.col("page_id") % 4 + 1).alias("page_no"),
-        F.length("html").alias("html_chars"),
+        F.col("url").alias("company"), (F.col("page_id") % 4 + 1).cast("int").alias("page_no"),
+        F.lit(200).alias("status_code"), "html",
     )
-    return readers.clean_pages(saved)
+    saved.write.parquet(out)
+    pages = readers.read_review_pages(spark, out)
+    return pages.select("company", F.col("page_no").cast("bigint").alias("page_no"), F.length("html").alias("html_chars"))
 
 
 @query(
@@ -702,8 +711,8 @@ def a4(spark, sf):
 @query(
     "a5_company_review_bundle",
     with_views(
-        """SELECT company, string_agg("text", chr(10) ORDER BY page_no, pos) AS reviews,
-                  count(*) AS reviews_count FROM fx_ads WHERE page_no <= 4 GROUP BY company""",
+        """SELECT company, coalesce(string_agg("text", chr(10) ORDER BY page_no, pos) FILTER (page_no <= 4), '') AS reviews,
+                  count(*) AS reviews_count FROM fx_ads GROUP BY company""",
         "fx_ads",
     ),
 )
@@ -828,9 +837,8 @@ _BEST_CHANGE = {
     ),
 )
 def a10(spark, sf):
-    lists = mining.point_lists(mining.mine_points(_mined(spark, sf)))
-    best = mining.unlisted_pain(_mined(spark, sf), dv.subjects(spark, sf))
-    found = mining.improvement_candidate(lists, best, dv.subjects(spark, sf))
+    products = dv.subjects(spark, sf)
+    found = mining.improvement_candidate(mining.product_points(_mined(spark, sf), products), None, products)
     return found.select(
         "subject", "title", "improve_term", text("evidence").alias("evidence"), "quote",
         insights.point_text(F.col("pain")).alias("pain"),
@@ -1227,7 +1235,7 @@ def x12(spark, sf):
 )
 def x12_company(spark, sf):
     found = flows.parsed_company_reviews(dv.pages(spark, sf, "html"), **AD)
-    points = mining.mine_points(flows.rated_company_reviews(found, dv.words(spark, sf)))
+    points = flows.company_points(found, dv.words(spark, sf))
     return flows.company_prompt_table(
         found, mining.point_lists(points), dv.host_profiles(spark, sf)
     )

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtally.functions.prompts import COMPANY_TASKS, PRODUCT_TASKS
 from voxtally.functions.text import company_name
-from voxtally.operators.insights import insight_bundle, point_text, prompt_table
+from voxtally.operators.insights import point_text, prompt_table
 from voxtally.operators.mining import (
-    PROFILE_FIELDS, STRATEGY_K, all_reviews, company_profile, improvement_candidate, mine_points,
-    most_helpful, page_position, point_lists, rate_by_words, unlisted_pain, with_context,
+    PROFILE_FIELDS, STRATEGY_K, company_profile, improvement_candidate, mine_points, mine_unrated,
+    most_helpful, page_position, point_lists, product_points, with_context,
 )
 from voxtally.operators.pages import (
     MIN_REVIEWS, REVIEW_CLASS, company_reviews, min_review_gate, page_limits, passing_reviews,
@@ -18,6 +18,11 @@ from voxtally.operators.reviews import TOP_REVIEWS, reviews_text_numbered, revie
 from voxtally.session import materialize
 
 
+def _wide(subjects: DataFrame, *texts: Column) -> DataFrame:
+    """One text column per task, by position."""
+    return subjects.select("subject", *(c.alias(f"output_{i}") for i, c in enumerate(texts)))
+
+
 def _outputs(subjects: DataFrame, tasks: tuple[str, ...], *texts) -> DataFrame:
     """Long form (subject, task_pos, task, output) from one text column per task."""
     rows = F.array(
@@ -29,13 +34,14 @@ def _outputs(subjects: DataFrame, tasks: tuple[str, ...], *texts) -> DataFrame:
     return subjects.select("subject", F.inline(rows))
 
 
-def product_outputs(lists: DataFrame, best: DataFrame, products: DataFrame) -> DataFrame:
-    """The three findings of every product in long form."""
-    found = improvement_candidate(lists, best, products)
+def _product_texts() -> tuple[Column, ...]:
     proposal = F.concat(F.lit("Improve "), F.col("improve_term"))
-    return _outputs(
-        found, PRODUCT_TASKS, point_text(F.col("praise")), point_text(F.col("pain")), proposal
-    )
+    return point_text(F.col("praise")), point_text(F.col("pain")), proposal
+
+
+def product_outputs(lists: DataFrame, best: DataFrame | None, products: DataFrame) -> DataFrame:
+    """The three findings of every product in long form."""
+    return _outputs(improvement_candidate(lists, best, products), PRODUCT_TASKS, *_product_texts())
 
 
 def product_insights(
@@ -46,9 +52,8 @@ def product_insights(
     ``reviews``: subject, id, rating, helpful_vote, text. ``products``: subject,
     title, features. All reviews are mined, or the ``mined_k`` most helpful of each.
     """
-    mined = most_helpful(reviews, mined_k)
-    lists = point_lists(mine_points(mined))
-    return insight_bundle(product_outputs(lists, unlisted_pain(mined, products), products), PRODUCT_TASKS)
+    found = product_points(most_helpful(reviews, mined_k), products)
+    return _wide(improvement_candidate(found, None, products), *_product_texts())
 
 
 def product_prompt_table(
@@ -77,21 +82,24 @@ def profile_text() -> Column:
     )
 
 
-def company_outputs(lists: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The four findings of every company in long form; ``profiles`` lists the companies."""
-    found = with_context(profiles, lists)
+def _company_texts() -> tuple[Column, ...]:
     strategy = F.array_join(
         F.transform(
             F.slice("pain", 1, STRATEGY_K), lambda p: F.concat(F.lit("Improve "), p["term"])
         ),
         "\n",
     )
-    return _outputs(
-        found, COMPANY_TASKS, profile_text(), point_text(F.col("praise")),
-        point_text(F.col("pain")), F.when(F.size("pain") > 0, strategy),
+    return (
+        profile_text(), point_text(F.col("praise")), point_text(F.col("pain")),
+        F.when(F.size("pain") > 0, strategy),
     )
 
 
+def company_outputs(lists: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The four findings of every company in long form; ``profiles`` lists the companies."""
+    return _outputs(with_context(profiles, lists), COMPANY_TASKS, *_company_texts())
+
+
 def parsed_company_reviews(
     pages: DataFrame,
     tag: str = "div",
@@ -119,22 +127,17 @@ def company_insights(
     parsed = parsed_company_reviews(pages, tag, css_class, max_pages)
     outcomes = min_review_gate(pages, parsed, page_limits(pages, max_pages), n)
     reviews = passing_reviews(parsed, outcomes)
-    lists = point_lists(mine_points(rated_company_reviews(reviews, words)))
+    lists = point_lists(company_points(reviews, words))
     passed = outcomes.where(F.col("outcome") == "ok").select(F.col("company").alias("subject"))
-    return insight_bundle(
-        company_outputs(lists, company_profile(passed, profiles)), COMPANY_TASKS
-    )
+    return _wide(with_context(company_profile(passed, profiles), lists), *_company_texts())
 
 
-def rated_company_reviews(reviews: DataFrame, words: DataFrame) -> DataFrame:
-    """Scraped reviews as mining input, rated by a word table."""
-    placed = reviews.select(
-        F.col("company").alias("subject"),
-        page_position(F.col("page_no"), F.col("pos")).alias("ord"),
-        F.lit(None).cast("double").alias("rating"),
-        "text",
+def company_points(reviews: DataFrame, words: DataFrame) -> DataFrame:
+    """Points of scraped reviews, which a word table rates."""
+    placed = reviews.where(F.col("company").isNotNull()).select(
+        F.col("company").alias("subject"), page_position(F.col("page_no"), F.col("pos")).alias("ord"), "text"
     )
-    return all_reviews(rate_by_words(placed, words), ord_column="ord")
+    return mine_unrated(placed, words)
 
 
 def company_prompt_table(
