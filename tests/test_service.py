@@ -46,7 +46,7 @@ class Recorder:
 def test_answers_leave_before_the_batch_ends():
     model = Recorder()
     batch = pd.DataFrame({"prompt": [str(i) for i in range(1000)]})
-    pieces = insights.answered([batch], model, "prompt", None, 4)
+    pieces = insights.answered([batch], model, "prompt", None, 4, piece=4)
     rows, answers = next(pieces)
     assert list(rows["prompt"]) == ["0", "1", "2", "3"] and len(model.asked) <= 8
     assert answers[0] == ("00", None, None) and answers[3] == (None, "not 3", "refused")
@@ -57,6 +57,13 @@ def test_answers_leave_before_the_batch_ends():
     assert sorted(model.asked, key=int) == [str(i) for i in range(1000)]
 
 
+def test_slow_answers_leave_after_a_while():
+    model = Recorder(0.05)
+    batch = pd.DataFrame({"prompt": [str(i) for i in range(20)]})
+    pieces = [len(found) for _, found in insights.answered([batch], model, "prompt", None, 2, seconds=0.2)]
+    assert sum(pieces) == 20 and len(pieces) > 1
+
+
 def test_calls_are_under_way_together_and_bounded():
     model = Recorder(0.02)
     batch = pd.DataFrame({"prompt": [str(i) for i in range(40)]})

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import sys
+import time
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from itertools import islice
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -19,6 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PROMPT_FIELDS = ("title", "features", "company", "reviews")
 IN_FLIGHT = 8
+#: Answers leave a task when there are so many, or after so many seconds.
+PIECE, PIECE_SECONDS = 256, 1.0
 
 Model = Callable[[str, str | None], str]
 # Answer, error text and error code: the first, or the other two.
@@ -110,14 +112,23 @@ def in_order(calls: Iterable[tuple[str, str | None]], model: Model, pool: Thread
         yield waiting.popleft().result()
 
 
-def answered(batches: Iterable[pd.DataFrame], model: Model, prompt_col: str, model_col: str | None, in_flight: int):
-    """(rows, answers) in pieces of ``in_flight`` rows, each handed on as soon as it is answered."""
+def answered(
+    batches: Iterable[pd.DataFrame], model: Model, prompt_col: str, model_col: str | None, in_flight: int,
+    piece: int = PIECE, seconds: float = PIECE_SECONDS,
+):
+    """(rows, answers) in pieces of at most ``piece`` rows, handed on after ``seconds`` if that is sooner."""
     with ThreadPoolExecutor(in_flight) as pool:
         for batch in batches:
             names = batch[model_col] if model_col else [None] * len(batch)
-            answers = in_order(zip(batch[prompt_col], names), model, pool, in_flight)
-            for a in range(0, len(batch), in_flight):
-                yield batch.iloc[a : a + in_flight], list(islice(answers, in_flight))
+            found: list[Answer] = []
+            first, begun = 0, time.monotonic()
+            for answer in in_order(zip(batch[prompt_col], names), model, pool, in_flight):
+                found.append(answer)
+                if len(found) == piece or time.monotonic() - begun >= seconds:
+                    yield batch.iloc[first : first + len(found)], found
+                    first, found, begun = first + len(found), [], time.monotonic()
+            if found:
+                yield batch.iloc[first:], found
 
 
 def map_prompts(
@@ -135,7 +146,7 @@ def map_prompts(
     ``make_model`` is called once per task and returns ``f(prompt, model)``, which a task
     calls from ``in_flight`` threads (1 for a model that bears one call at a time). A call
     that raises fills error and code for its row and leaves the others alone. Answers
-    leave the task in pieces of ``in_flight`` rows, so it holds no more of them.
+    leave the task after ``PIECE_SECONDS``, or when there are ``PIECE``, and it holds no more.
 
     ``concurrency`` is the number of tasks; with ``in_flight`` it bounds the calls at a
     time. ``rows_per_task`` cuts the table into tasks of about that many rows instead: a

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtally.functions.text import MIN_LETTERS, terms
 from voxtally.operators.skew import salted_join
+from voxtally.session import materialize
 
 
 def rating_trend(reviews: DataFrame) -> DataFrame:
@@ -115,7 +116,8 @@ def competitor_gap(reviews: DataFrame, metadata: DataFrame) -> DataFrame:
     per_product = reviews.groupBy("parent_asin").agg(
         F.sum("rating").alias("own_sum"), F.count("rating").alias("own_n")
     )
-    rated = metadata.select("parent_asin", "main_category").join(per_product, "parent_asin")
+    # One narrow row per product, which totals, weights and the join all read.
+    rated = materialize(metadata.select("parent_asin", "main_category").join(per_product, "parent_asin"), "product-ratings")
     totals = rated.groupBy("main_category").agg(
         F.sum("own_sum").alias("all_sum"), F.sum("own_n").alias("all_n"), F.count("*").alias("products")
     )
