@@ -1,16 +1,19 @@
 """Repeated windows and passages against brute force."""
 
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from voxtally.llm.repeats import mark, read_flags, send_rows
 from voxtally.llm.substrings import remove_repeated_windows
 from voxtally.llm.suffixes import lowest_in, repeated_passages
-from voxtally.llm.words import find_words, hash_word, window_hashes, window_starts, word_hashes
+from voxtally.llm.words import find_words, hash_word, mixed, window_hashes, window_starts, word_hashes
 
 LINE = "the quick brown fox jumps over the lazy dog and runs far away from here"
 ROWS = [
@@ -112,3 +115,32 @@ def test_lowest_in(width):
     values = np.random.default_rng(1).integers(0, 50, 300).astype(np.uint64)
     want = [i + int(np.argmin(values[i : i + width])) for i in range(300 - width + 1)]
     assert lowest_in(values, width).tolist() == want
+
+
+@pytest.mark.parametrize("groups", [1, 7, 5000])
+def test_flags_of_a_chunk_for_any_number_of_groups(groups):
+    r = np.random.default_rng(groups)
+    prints = r.integers(0, 3000, 4000).astype(np.uint64)
+    second = mixed(prints)
+    other = np.arange(2000, 2600, dtype=np.uint64)
+    sent = pa.Table.from_batches([send_rows(0, prints, second, groups), send_rows(1, other, mixed(other), groups)])
+    parts = sorted(set(sent["part"].to_pylist()))
+    flags = pa.concat_tables([mark(sent.filter(pc.equal(sent["part"], p))) for p in parts])
+    got = read_flags(prints, second, groups, flags.filter(pc.equal(flags["chunk"], 0)))
+    seen = Counter(prints.tolist())
+    assert got.tolist() == [seen[p] > 1 or 2000 <= p < 2600 for p in prints.tolist()]
+
+
+def test_work_for_a_chunk_does_not_follow_the_number_of_groups():
+    r = np.random.default_rng(0)
+    prints = r.integers(0, 1 << 62, 300_000).astype(np.uint64)
+    second = mixed(prints)
+    took = []
+    for groups in (40, 10_000):
+        flags = pa.Table.from_batches([send_rows(0, prints, second, groups)])
+        bits = [np.packbits(np.zeros(len(x) // 8, bool)).tobytes() for x in flags["prints"].to_pylist()]
+        flags = flags.append_column("bits", pa.array(bits, pa.binary()))
+        start = time.perf_counter()
+        read_flags(prints, second, groups, flags)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 4 * took[0] + 0.2

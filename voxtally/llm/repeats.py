@@ -76,16 +76,26 @@ def distinct(prints: np.ndarray, second: np.ndarray, groups: int):
     return values, part.astype(np.int64), inverse, counts
 
 
+def by_part(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, parts, bounds): positions sorted by part, the parts that occur, and where each begins in the order.
+
+    The work follows the number of fingerprints, however many groups there are.
+    """
+    order = np.argsort(part, kind="stable")
+    ranked = part[order]
+    begins = np.flatnonzero(np.diff(ranked, prepend=-1))
+    return order, ranked[begins], np.append(begins, len(part))
+
+
 def send_rows(name: int, prints: np.ndarray, second: np.ndarray, groups: int) -> pa.RecordBatch:
     values, part, _, _ = distinct(prints, second, groups)
-    order = np.argsort(part, kind="stable")
-    values, bounds = values[order], np.searchsorted(part[order], np.arange(groups + 1))
-    used = np.flatnonzero(np.diff(bounds))
+    order, used, bounds = by_part(part)
+    values = values[order]
     return pa.RecordBatch.from_pydict(
         {
             "part": pa.array(used, pa.int32()),
             "chunk": pa.array([name] * len(used), pa.int64()),
-            "prints": pa.array([values[bounds[g] : bounds[g + 1]].tobytes() for g in used], pa.binary()),
+            "prints": pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
         }
     )
 
@@ -118,8 +128,10 @@ def read_flags(prints: np.ndarray, second: np.ndarray, groups: int, flags: pa.Ta
     """Whether each fingerprint of a chunk occurs anywhere else, from the answers to ``send_rows``."""
     values, part, inverse, counts = distinct(prints, second, groups)
     repeated = counts > 1
-    for g, bits in zip(flags["part"].to_pylist(), flags["bits"].to_pylist(), strict=True):
-        own = np.flatnonzero(part == g)
+    order, used, bounds = by_part(part)
+    places = np.searchsorted(used, flags["part"].to_numpy())
+    for k, bits in zip(places.tolist(), flags["bits"].to_pylist(), strict=True):
+        own = order[bounds[k] : bounds[k + 1]]
         repeated[own] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
     return repeated[inverse]
 

@@ -1,13 +1,17 @@
-"""Sparse suffix arrays: passages that occur more than once, found from sampled suffixes.
+"""Sparse suffixes: passages that occur more than once, found from sampled suffixes.
 
 A suffix is retained where the hash of its first ``seed`` words is the smallest of some
 ``length`` - ``seed`` + 1 consecutive ones (a minimiser). The choice depends on content
 only, so equal passages of ``length`` words retain the same suffixes. The retained
-suffixes are sorted by their first words and compared with their neighbours; those
-that agree are extended word by word to the left, and each extension is sorted and
-compared with its neighbours again, to ``length`` words. Every passage of ``length``
-words is an extension of exactly one retained suffix, so none is lost, and only the
-few suffixes that agreed are extended.
+suffixes are sorted by the hash of their first ``seed`` words and compared with their
+neighbours. For those that agree, all passages of ``length`` words around them, which
+begin up to ``length`` - ``seed`` words further left, are sorted by their hashes and
+compared with their neighbours in turn. Every passage belongs to exactly one retained
+suffix, so none is lost, and only suffixes that agreed are extended.
+
+This departs from a suffix array proper, which orders suffixes by their words and extends
+the matches of neighbours: neighbours in that order agree most to the right, and the one
+that agrees to the left may be far off, so extending neighbours alone loses passages.
 """
 
 from __future__ import annotations
