@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxtally.session import materialize
 
 BITS = 52
+#: A document with more copies is dealt to several tasks, so many copies each.
+COPIES_PER_TASK = 1024
+SMALL = 20
 
 
 def unit(seed: str, *keys: Column) -> Column:
@@ -33,30 +37,35 @@ def repetition_rates(sizes: DataFrame, weights: Mapping[str, float] | None, tota
     return sums.select("_source", (F.col("_share") * scale / F.col("_n")).alias("_rate"))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """Cumulative probabilities of 0, 1, 2, ... copies, to where the rest is below 2**-52."""
-    last = F.ceil(rate + 12 * F.sqrt(rate)) + 29
-    mass = F.transform(
-        F.sequence(F.lit(0).cast("long"), last.cast("long")),
-        lambda k: F.when(rate <= 0, F.when(k == 0, 1.0).otherwise(0.0)).otherwise(
-            F.exp(k * F.log(rate) - rate - log_factorial(k))
-        ),
-    )
-    return running(mass)
-
-
 def log_factorial(k: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))), F.lit(0.0), lambda s, i: s + F.log(i))
+    """Logarithm of k!, by Stirling's series, of the small ones by their product."""
+    x = k.cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    product = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))), F.lit(1.0), lambda p, i: p * i)
+    return F.when(k <= SMALL, F.log(product)).otherwise(series)
 
 
-def running(mass: Column) -> Column:
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("a"))
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """``_source``, ``_first`` and ``_steps``: cumulative probabilities of ``_first`` copies, one more, and so on.
 
-    def add(acc: Column, p: Column) -> Column:
-        s = acc["s"] + p
-        return F.struct(s.alias("s"), F.concat(acc["a"], F.array(s)).alias("a"))
-
-    return F.aggregate(mass, start, add, lambda acc: acc["a"])
+    They go from 12 standard deviations below the rate, before which there is less than
+    2**-52, to as far beyond it. Each probability is a row and the sums run along the rows,
+    so a rate of r takes work in proportion to its square root.
+    """
+    rate = F.col("_rate")
+    spread = 12 * F.sqrt(rate)
+    first = F.greatest(F.floor(rate - spread), F.lit(0)).cast("long")
+    last = (F.ceil(rate + spread) + 29).cast("long")
+    counts = rates.select("_source", "_rate", first.alias("_first"), F.explode(F.sequence(first, last)).alias("_k"))
+    k = F.col("_k")
+    # Terms of like size are subtracted first, so that no digit is lost at high rates.
+    high = k * F.log(rate / k) + (k - rate)
+    log_mass = F.when(k <= SMALL, k * F.log(rate) - rate - log_factorial(k)).otherwise(high - (log_factorial(k) - (k * F.log(k) - k)))
+    mass = F.when(rate <= 0, F.when(k == 0, 1.0).otherwise(0.0)).otherwise(F.exp(log_mass))
+    along = W.partitionBy("_source").orderBy("_k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = counts.select("_source", "_first", "_k", F.sum(mass).over(along).alias("_sum"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_k", "_sum"))), lambda x: x["_sum"])
+    return sums.groupBy("_source", "_first").agg(listed.alias("_steps"))
 
 
 def mix_sources(
@@ -84,13 +93,28 @@ def mix_sources(
     )
     sizes = materialize(named.groupBy("_source").agg(F.count("*").alias("_n")), "sources")
     rates = repetition_rates(sizes, weights, total)
-    steps = materialize(rates.select("_source", poisson_steps(F.col("_rate")).alias("_steps")), "rates")
+    steps = materialize(poisson_steps(rates), "rates")
     u = unit(str(seed), F.col("_id")) / F.lit(float(1 << BITS))
-    # The table of rates has a row per source; Catalyst broadcasts it by its size as written, and
-    # beyond that adaptive execution splits a frequent source, as neither side is an aggregate.
-    drawn = named.join(steps, "_source").withColumn("copies", F.size(F.filter("_steps", lambda c: c <= u)).cast("long"))
-    kept = drawn.filter("copies > 0")
-    copies = kept.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+
+    def drawn(table: DataFrame) -> DataFrame:
+        # The table of rates has a row per source; Catalyst broadcasts it by its size as written, and
+        # beyond that adaptive execution splits a frequent source, as neither side is an aggregate.
+        known = named.join(table, "_source")
+        copies = F.col("_first") + F.size(F.filter("_steps", lambda c: c <= u))
+        return known.select("doc", "_id", copies.cast("long").alias("copies")).filter("copies > 0")
+
+    most = F.col("_first") + F.size("_steps")
+    last = F.col("copies") - 1
+    each = drawn(steps.filter(most <= COPIES_PER_TASK))
+    copies = each.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    often = steps.filter(most > COPIES_PER_TASK)
+    if not often.isEmpty():
+        # The copies of one document, in pieces that several tasks make.
+        piece = F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(COPIES_PER_TASK).cast("long"))).alias("_from")
+        pieces = drawn(often).select("doc", "_id", "copies", piece)
+        dealt = pieces.repartition(F.xxhash64("_id", "_from"), "_from")
+        end = F.least(F.col("_from") + (COPIES_PER_TASK - 1), last)
+        copies = copies.unionByName(dealt.select("doc", "_id", "copies", F.explode(F.sequence("_from", end)).alias("copy")))
     keyed = copies.select("doc", "copies", "copy", unit(f"{seed}:", F.col("_id"), F.col("copy")).alias("shuffle_key"))
     dealt = keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
     return dealt.select("doc.*", "copies", "copy", "shuffle_key")
