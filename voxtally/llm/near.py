@@ -19,8 +19,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TREES, DEEPEST = 20, 6
 SLICE_BYTES = 2 << 20
+#: Texts below one node of a trie that are compared in one place; more go there in pairs of blocks.
 GROUP_ROWS = 1024
-BLOCK_SHINGLES = 400_000
+#: Shingles of a block of a component. One of many texts is cut finer, so that several tasks share it.
+BLOCK_SHINGLES, FINE_SHINGLES, FINE_TEXTS, FINE_BLOCKS = 400_000, 16_000, 32, 16
 SIGNED_SCHEMA = "id long, text_key long, digest binary, n long, signature binary"
 
 
@@ -79,6 +81,19 @@ def walk_trie(rows: np.ndarray, tree: int, depth: int, deepest: int, least_equal
     return root
 
 
+def agreeing(left: np.ndarray, right: np.ndarray, least_equal: float) -> np.ndarray:
+    """Roots of the texts of two blocks of one node, ``left`` first, after comparing each pair across by its signatures."""
+    n = len(left)
+    root = np.arange(n + len(right))
+    for x in range(n):
+        rest = np.flatnonzero(root[n:] != root[x])
+        close = rest[(right[rest] == left[x]).mean(axis=1) >= least_equal]
+        for r in np.unique(root[n + close]):
+            low, high = sorted((root[x], r))
+            root[root == high] = low
+    return root
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray], same: bool, similarity: float):
     """For each i on the left, the j on the right of exact Jaccard similarity of at least ``similarity``.
 
@@ -200,9 +215,9 @@ def near_duplicates(
 def candidates(nodes: DataFrame, trees: int, depth: int, deepest: int, least_equal: float) -> DataFrame:
     """Edges that connect nodes which share a prefix of some tree and agree in enough values.
 
-    Only prefixes that several nodes share get signatures. Below a node of the trie with more than
-    ``GROUP_ROWS`` texts all are joined to the smallest without a look at their signatures: the
-    exact comparison sorts them out, and no pair is missed.
+    Only prefixes that several nodes share get signatures. Texts below a node of the trie
+    are dealt to blocks of ``GROUP_ROWS``, one for most nodes, and every two blocks meet in
+    one place, where each pair of texts is compared by all values.
     """
     prefix = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
@@ -216,21 +231,34 @@ def candidates(nodes: DataFrame, trees: int, depth: int, deepest: int, least_equ
         "prefixes",
     )
     members = materialize(keyed.join(shared, ["tree", "prefix"]), "members")
-    large = members.filter(F.col("members") > GROUP_ROWS).select(F.col("node").alias("a"), F.col("lowest").alias("b"))
-    small = members.filter(F.col("members") <= GROUP_ROWS).select("tree", "prefix", "node")
-    signed = small.join(nodes.select("node", "signature"), "node")
-    dealt = signed.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix")
+    blocks = F.ceil(F.col("members") / GROUP_ROWS).cast("int")
+    placed = members.select("tree", "prefix", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    signed = meeting(placed.join(nodes.select("node", "signature"), "node"))
+    keys = ["tree", "prefix", "one", "two"]
+    dealt = signed.repartition(*keys).sortWithinPartitions(*keys)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (tree, _), group in runs(batches, ["tree", "prefix"]):
-            names = group["node"].to_numpy()
+        for (tree, _, one, two), group in runs(batches, keys):
+            names, block = group["node"].to_numpy(), group["block"].to_numpy()
             rows = np.stack([np.frombuffer(x, np.uint16) for x in group["signature"].to_pylist()])
-            root = walk_trie(rows, tree, depth, deepest, least_equal)
+            if one == two:
+                root = walk_trie(rows, tree, depth, deepest, least_equal)
+            else:
+                order = np.argsort(block, kind="stable")
+                names, rows, n = names[order], rows[order], int((block == one).sum())
+                root = agreeing(rows[:n], rows[n:], least_equal)
             joined_ = np.flatnonzero(root != np.arange(len(root)))
             if len(joined_):
                 yield pa.RecordBatch.from_pydict({"a": names[joined_], "b": names[root[joined_]]})
 
-    return dealt.mapInArrow(walk, "a long, b long").unionByName(large.filter("a <> b")).distinct()
+    return dealt.mapInArrow(walk, "a long, b long").distinct()
+
+
+def meeting(placed: DataFrame) -> DataFrame:
+    """Rows with a ``block`` of ``blocks`` for every pair of blocks, ``one`` and ``two``, theirs is part of."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with")
+    both = placed.select("*", other)
+    return both.select("*", F.least("block", "_with").alias("one"), F.greatest("block", "_with").alias("two")).drop("_with", "blocks")
 
 
 def exact_links(near: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -238,20 +266,19 @@ def exact_links(near: DataFrame, rows: DataFrame, size: int, similarity: float)
 
     ``near`` has the nodes of every component (root). A component's texts are dealt to
     blocks of about ``BLOCK_SHINGLES`` shingles, and every two blocks meet in one place.
+    A component of many texts has up to ``FINE_BLOCKS`` blocks also where it is smaller.
     """
-    sums = materialize(near.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")), "components")
+    size_of, texts_of = F.sum("n"), F.count("*")
+    fine = F.least(F.ceil(size_of / FINE_SHINGLES), F.floor(texts_of / FINE_TEXTS), F.lit(FINE_BLOCKS))
+    blocks = F.greatest(F.ceil(size_of / BLOCK_SHINGLES), fine, F.lit(1)).cast("int")
+    sums = materialize(near.groupBy("root").agg(blocks.alias("blocks")), "components")
     wanted = near.select("node", "root", "copies", F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key"))
     texts = rows.withColumn("known", F.coalesce("id", F.lit(0))).withColumn("unknown", F.col("id").isNull())
     wanted = wanted.withColumn("known", F.coalesce("id", F.lit(0))).withColumn("unknown", F.col("id").isNull()).drop("id")
     keys = ["known", "unknown", "text_key"]
     found = texts.select(*keys, "text").join(wanted, keys).dropDuplicates(keys)
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = found.join(sums, "root").select("root", "node", "copies", "text", block.alias("block"), "blocks")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("root", "node", "copies", "text", "block", other.alias("with"))
-    dealt = dealt.select(
-        "root", "node", "copies", "text", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two")
-    )
+    dealt = meeting(found.join(sums, "root").select("root", "node", "copies", "text", block.alias("block"), "blocks"))
     dealt = dealt.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
