@@ -159,3 +159,100 @@ def test_leaks_do_not_depend_on_the_split_of_the_benchmark(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(contamination, "INDEX_ITEMS", 7)
     assert len(whole) > 30 and found() == whole
+
+
+def plain_words(text):
+    import re
+
+    return re.findall(r"[0-9a-zA-Z\u0080-\U0010ffff]+", (text or "").lower())
+
+
+def brute_leaks(docs, items, score_at_least=0.6, overlap=0.6, short=8):
+    """BM25 of every item in every pair of neighbouring segments, then shares of grams, in plain loops."""
+    import math
+    from collections import Counter
+
+    split = {i: [plain_words(p) for p in split_item(t)] for i, t in items if t and plain_words(t)}
+    bags = {i: Counter(q + a) for i, (q, a) in split.items()}
+    df = Counter(t for bag in bags.values() for t in bag)
+    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    reach = max(sum(b.values()) for b in bags.values())
+
+    def weight(bag, t):
+        norm = 1.2 * (0.25 + 0.75 * sum(bag.values()) / mean)
+        return math.log1p((len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * bag[t] * 2.2 / (bag[t] + norm)
+
+    def share(part, passage):
+        if not part:
+            return 1.0
+        width = min(3 if len(part) >= 6 else 1, len(part))
+        grams = {tuple(part[k : k + width]) for k in range(len(part) - width + 1)}
+        there = {tuple(passage[k : k + width]) for k in range(len(passage) - width + 1)}
+        return len(grams & there) / len(grams)
+
+    out = set()
+    for d, text in docs:
+        words = plain_words(text)
+        for a in range(0, len(words), reach):
+            passage = words[a : a + 2 * reach]
+            for i, bag in bags.items():
+                score = sum(weight(bag, t) for t in bag if t in set(passage)) / sum(weight(bag, t) for t in bag)
+                need = overlap if sum(bag.values()) >= short else 1.0
+                if score >= score_at_least and min(share(p, passage) for p in split[i]) >= need:
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("block_items", [1, 3, 8])
+def test_leaks_equal_brute_force(spark, monkeypatch, block_items):
+    monkeypatch.setattr(contamination, "BLOCK_ITEMS", block_items)
+    rng = random.Random(block_items)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(80)]
+    some = lambda n: [rng.choice(common) if rng.random() < 0.6 else rng.choice(rare) for _ in range(n)]
+    items = [(i, f"{' '.join(some(rng.randint(2, 14)))}. {' '.join(some(rng.randint(1, 9)))}.") for i in range(30)]
+    docs = []
+    for d in range(160):
+        words = some(rng.randint(0, 70))
+        if d % 2:
+            part = items[rng.randrange(30)][1].split()
+            cut = part[: len(part) - rng.randint(0, 4)]
+            words[len(words) // 2 : len(words) // 2] = cut
+        docs.append((d, " ".join(words)))
+    table = spark.createDataFrame([(d, t, "x", 1.0) for d, t in docs], "doc_id long, text string, item string, score double")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(docs, items)
+    assert got == want and len(want) > 20
+
+
+def test_short_items_can_be_treated_as_any(spark):
+    items = spark.createDataFrame([(1, "red fox ran. blue hen.")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "red fox and a blue hen")], "doc_id long, text string")
+    assert find_leaks(docs, items).count() == 0
+    assert find_leaks(docs, items, short_item=0).count() == 1
+
+
+def test_blocks_of_one_node_are_compared_across():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    left, right = rng.integers(0, 9, (2, 6, 40)).astype(np.uint16)
+    right[2], right[4, :36] = left[1], left[1, :36]
+    root = near.agreeing(left, right, 0.8)
+    assert [x for x in range(12) if root[x] != x] == [8, 10] and root[8] == root[10] == 1
+
+
+def test_all_links_of_a_small_corpus(spark):
+    """Every pair of the documents, counted one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets = [shingles(t) for _, t in rows]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    links = [0] * len(rows)
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in holders[x]} - {i}:
+            links[i] += len(s & sets[j]) >= 0.8 * len(s | sets[j])
+    got = {r.doc_id: r.n_links for r in near_duplicates(docs).collect()}
+    assert [got[d] for d, _ in rows] == links and sum(links) > 100

@@ -23,6 +23,10 @@ BLOCK_ITEMS = 8
 GRAM = 3
 SHORT_ITEM = 8
 SLICE_BYTES = 2 << 20
+#: Room for rounding in bounds; sums for passages and blocks made at a time.
+SLACK, CELLS = 1e-6, 1 << 22
+#: A term in more than one of so many blocks has its maxima as a row over all blocks beside its list.
+COMMON = 8
 #: An index is sent to every task; beyond these sizes further items go to further indexes.
 INDEX_ITEMS, INDEX_BYTES = 20_000, 8 << 20
 
@@ -50,7 +54,7 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(tokens[:half]), " ".join(tokens[half:])
 
 
-def grams(hashes: np.ndarray, width: int = GRAM) -> tuple[np.ndarray, int]:
+def grams(hashes: np.ndarray, width: int) -> tuple[np.ndarray, int]:
     """Distinct hashes of ``width`` consecutive words, of single words in a text of under twice as many; and the width."""
     width = min(width if len(hashes) >= 2 * width else 1, len(hashes))
     return (np.unique(window_hashes(hashes, width)) if width else np.zeros(0, np.uint64)), width
@@ -63,7 +67,11 @@ class Index:
     names: list
     terms: np.ndarray  # sorted hashes
     highest: np.ndarray  # per term, over all items of the index
-    block_highest: list[np.ndarray]  # per block, for its terms
+    first: np.ndarray  # per term, where its postings begin, and the end of the last
+    postings: np.ndarray  # per term, the blocks that hold it, ascending
+    block_highest: np.ndarray  # per posting, the largest weight of the term in the block
+    common: np.ndarray  # per term, its row in ``common_highest``, or -1
+    common_highest: np.ndarray  # the same maxima of common terms, by block
     blocks: list[tuple[np.ndarray, np.ndarray]]  # per block: its terms, and weights by term and item
     parts: list[tuple]  # per item: (grams, width) of question and of answer, number of words
     reach: int  # words of the longest item of the benchmark
@@ -97,7 +105,9 @@ def measure(parts: list[list[tuple[object, str, str]]]) -> Benchmark:
     return whole
 
 
-def build_index(items: list[tuple[object, str, str]], benchmark: Benchmark | None = None) -> Index | None:
+def build_index(
+    items: list[tuple[object, str, str]], benchmark: Benchmark | None = None, gram: int = GRAM
+) -> Index | None:
     """Index of (name, question, answer) triples, by default of a benchmark of just these; items without a word are left out."""
     rows = list(hashed_items(items))
     if not rows:
@@ -115,22 +125,87 @@ def build_index(items: list[tuple[object, str, str]], benchmark: Benchmark | Non
         weights.append({t: w / whole for t, w in own.items()})
     n_blocks = -(-len(rows) // BLOCK_ITEMS)
     highest = np.zeros(len(terms), np.float32)
-    block_highest, blocks = [], []
+    most_of, blocks = [], []
     for b in range(n_blocks):
         part = weights[b * BLOCK_ITEMS : (b + 1) * BLOCK_ITEMS]
         used = np.array(sorted({t for w in part for t in w}))
         matrix = np.array([[w.get(t, 0.0) for w in part] for t in used], np.float32)
         most = np.nextafter(matrix.max(axis=1), np.float32(2))
         highest[used] = np.maximum(highest[used], most)
-        block_highest.append(most)
+        most_of.append(most)
         blocks.append((used, matrix))
+    term = np.concatenate([used for used, _ in blocks])
+    block = np.repeat(np.arange(n_blocks), [len(used) for used, _ in blocks])
+    order = np.lexsort((block, term))
+    term, block, most = term[order], block[order], np.concatenate(most_of)[order]
+    first = np.searchsorted(term, np.arange(len(terms) + 1))
+    often = np.diff(first) * COMMON > n_blocks
+    common = np.where(often, np.cumsum(often) - 1, -1)
+    common_highest = np.zeros((int(often.sum()), n_blocks), np.float32)
+    own = often[term]
+    common_highest[common[term[own]], block[own]] = most[own]
     return Index(
-        [r[0] for r in rows], terms, highest, block_highest, blocks,
-        [(grams(r[1]), grams(r[2]), len(r[3])) for r in rows], bench.reach,
+        [r[0] for r in rows], terms, highest, first, block, most, common, common_highest, blocks,
+        [(grams(r[1], gram), grams(r[2], gram), len(r[3])) for r in rows], bench.reach,
     )
 
 
-def leaks(index: Index, words: Words, hashes: np.ndarray, score_at_least: float, overlap: float):
+def ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places low to high of each range, one after another, and the range each belongs to."""
+    n = high - low
+    own = np.repeat(np.arange(len(n)), n)
+    return np.arange(int(n.sum())) + np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n), own
+
+
+def reached_blocks(index: Index, passage: np.ndarray, term: np.ndarray, total: int, score_at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(passages, blocks) whose bound reaches the threshold, from the distinct (passage, term) pairs in their order.
+
+    A passage's terms are put in the order of their largest weights. The pivot is where
+    their running sum reaches the threshold: an item without any term from the pivot on cannot
+    reach it, so only the posting lists of those terms name blocks. Of a block named, the
+    maxima in that very block are then summed over all terms of the passage.
+    """
+    none = np.zeros(0, np.int64)
+    live = np.bincount(passage, index.highest[term], total)[passage] + SLACK >= score_at_least
+    passage, term = passage[live], term[live]
+    if not len(passage):
+        return none, none
+    order = np.lexsort((index.highest[term], passage))
+    ranked, weight = passage[order], index.highest[term[order]].astype(np.float64)
+    running = np.cumsum(weight)
+    begins = np.flatnonzero(np.diff(ranked, prepend=-1))
+    base = np.repeat(running[begins] - weight[begins], np.diff(np.append(begins, len(ranked))))
+    beyond = order[running - base + SLACK >= score_at_least]
+    n_blocks = len(index.blocks)
+
+    def postings(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, own = ranges(index.first[term[pairs]], index.first[term[pairs] + 1])
+        return passage[pairs[own]] * n_blocks + index.postings[at], at
+
+    named = np.unique(postings(beyond)[0])
+    of, block = np.divmod(named, n_blocks)
+    row = index.common[term]
+    keys, at = postings(np.flatnonzero(row < 0))
+    place = np.minimum(np.searchsorted(named, keys), len(named) - 1)
+    hit = named[place] == keys
+    bound = np.zeros(len(named)) + np.bincount(place[hit], index.block_highest[at[hit]], len(named))
+    passage, row = passage[row >= 0], row[row >= 0]
+    asked = np.unique(of)
+    low, high = np.searchsorted(passage, asked), np.searchsorted(passage, asked, "right")
+    step = max(1, CELLS // (n_blocks * int((high - low).max(initial=1)) or 1))
+    for a in range(0, len(asked), step):  # a bounded number of sums at a time
+        at, own = ranges(low[a : a + step], high[a : a + step])
+        sums = np.zeros((len(asked[a : a + step]), n_blocks), np.float64)
+        if len(at):
+            begins = np.flatnonzero(np.diff(own, prepend=-1))
+            sums[own[begins]] = np.add.reduceat(index.common_highest[row[at]], begins, axis=0, dtype=np.float64)
+        mine = slice(*np.searchsorted(of, [asked[a], asked[min(a + step, len(asked)) - 1] + 1]))
+        bound[mine] += sums[np.searchsorted(asked[a : a + step], of[mine]), block[mine]]
+    fit = bound + SLACK >= score_at_least
+    return of[fit], block[fit]
+
+
+def leaks(index: Index, words: Words, hashes: np.ndarray, score_at_least: float, overlap: float, short_item: int = SHORT_ITEM):
     """(text, item, first word, words, score, question overlap, answer overlap) of every verified passage.
 
     A passage is two neighbouring segments of as many words as the longest item has, so
@@ -151,65 +226,57 @@ def leaks(index: Index, words: Words, hashes: np.ndarray, score_at_least: float,
     last = np.zeros(total, bool)
     last[segment_of_text[1:][segments > 0] - 1] = True
 
-    def passages(per_segment: np.ndarray) -> np.ndarray:
-        """Sums over a segment and the next one of the same text."""
-        following = np.append(per_segment[1:], np.float32(0))
-        return per_segment + np.where(last, np.float32(0), following)
-
-    def sums(of_term: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate(([0.0], np.cumsum(of_term[term], dtype=np.float64)))[bounds]) + 1e-6
-
-    # Passages whose term maxima cannot reach the threshold are done; then the same by block of items.
-    open_ = passages(sums(index.highest)) >= score_at_least
-    if not open_.any():
-        return
+    # A term of a segment is one of the passage that begins there, and of the one before in the same text.
+    before = (of > 0) & ~last[of - 1]
+    pairs = np.unique(np.concatenate((pairs, pairs[before] - len(index.terms))))
+    own_passage, own_term = np.divmod(pairs, len(index.terms))
     segment_text = np.repeat(np.arange(len(counts)), segments)
-    of_block = np.zeros(len(index.terms), np.float32)
-    for b, (used, matrix) in enumerate(index.blocks):
-        of_block[used] = index.block_highest[b]
-        reached = open_ & (passages(sums(of_block)) >= score_at_least)
-        of_block[used] = 0
-        for s in np.flatnonzero(reached):
-            ends = s + 1 if last[s] else s + 2
-            own = np.unique(term[bounds[s] : bounds[ends]])
-            rows = np.minimum(np.searchsorted(used, own), len(used) - 1)
-            scores = matrix[rows[used[rows] == own]].sum(axis=0, dtype=np.float64)
-            fit = np.flatnonzero(scores >= score_at_least)
-            if not len(fit):
-                continue
-            t = int(segment_text[s])
-            first = int(words.first[t] + (s - segment_of_text[t]) * index.reach)
-            size = int(min(2 * index.reach, words.first[t + 1] - first))
-            there: dict[int, np.ndarray] = {}
-            for i in fit + b * BLOCK_ITEMS:
-                question, answer, n = index.parts[i]
-                need = overlap if n >= SHORT_ITEM else 1.0
-                found = []
-                for part, width in (question, answer):
-                    if width and width not in there:
-                        there[width] = np.unique(window_hashes(hashes[first : first + size], width))
-                    found.append(float(np.isin(part, there[width]).mean()) if width else 1.0)
-                if min(found) >= need:
-                    yield t, int(i), first - int(words.first[t]), size, float(scores[i - b * BLOCK_ITEMS]), *found
+    there: dict[tuple[int, int], np.ndarray] = {}
+    for s, b in zip(*reached_blocks(index, own_passage, own_term, total, score_at_least), strict=True):
+        used, matrix = index.blocks[b]
+        ends = s + 1 if last[s] else s + 2
+        own = np.unique(term[bounds[s] : bounds[ends]])
+        rows = np.minimum(np.searchsorted(used, own), len(used) - 1)
+        scores = matrix[rows[used[rows] == own]].sum(axis=0, dtype=np.float64)
+        fit = np.flatnonzero(scores >= score_at_least)
+        if not len(fit):
+            continue
+        t = int(segment_text[s])
+        first = int(words.first[t] + (s - segment_of_text[t]) * index.reach)
+        size = int(min(2 * index.reach, words.first[t + 1] - first))
+        for i in fit + b * BLOCK_ITEMS:
+            question, answer, n = index.parts[i]
+            need = overlap if n >= short_item else 1.0
+            found = []
+            for part, width in (question, answer):
+                if width and (s, width) not in there:
+                    there = {k: v for k, v in there.items() if k[0] == s}  # those of one passage at a time
+                    there[s, width] = np.unique(window_hashes(hashes[first : first + size], width))
+                found.append(float(np.isin(part, there[s, width]).mean()) if width else 1.0)
+            if min(found) >= need:
+                yield t, int(i), first - int(words.first[t]), size, float(scores[i - b * BLOCK_ITEMS]), *found
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", answer_col: str | None = None, score_at_least: float = 0.6, overlap: float = 0.6,
+    gram: int = GRAM, short_item: int = SHORT_ITEM,
 ) -> DataFrame:
     """Documents that hold a test item: one row per document row and item.
 
     Columns: id, item id, first_word and n_words of the passage, score (share of the item's
     own BM25 score), question_overlap and answer_overlap. All passages of all texts are
     asked; every item that reaches ``score_at_least`` is retrieved, and kept if ``overlap`` of
-    the three-word grams of its question and of its answer occur in the passage (single
-    words for parts of under six words; all of them where the item has under eight). Without
+    the grams of ``gram`` words of its question and of its answer occur in the passage (single
+    words for parts of under twice as many). A few words of a short item turn up anywhere,
+    so of one of under ``short_item`` words all must occur; 0 makes no such difference. Without
     ``answer_col`` the last sentence of an item is its answer. Words are runs of letters
     and digits in lower case. Of several passages the one with the largest
     overlaps counts, then the first.
 
     Null and empty texts hold nothing; items without a word are left out; equal items,
-    null ids and repeated rows are reported each. Empty tables give no rows.
+    null ids and repeated rows are reported each. Empty tables give no rows. Columns of
+    ``docs`` other than the two named are not read, so their names cannot clash.
     The items are gathered on the driver, as test sets are small; one index takes at most
     ``INDEX_ITEMS`` items and ``INDEX_BYTES`` bytes of text, and each further index
     is another pass over the documents. Scores and passages do not depend on which items
@@ -229,14 +296,15 @@ def find_leaks(
         size += length
     parts.append(triples)
     benchmark = measure(parts)
-    out = [search(docs, build_index(p, benchmark), items, id_col, text_col, item_col, score_at_least, overlap) for p in parts]
+    limits = (score_at_least, overlap, short_item)
+    out = [search(docs, build_index(p, benchmark, gram), items, id_col, text_col, item_col, limits) for p in parts]
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
     return whole
 
 
-def search(docs, index, items, id_col, text_col, item_col, score_at_least, overlap) -> DataFrame:
+def search(docs, index, items, id_col, text_col, item_col, limits) -> DataFrame:
     id_type, item_type = docs.schema[id_col].dataType, items.schema[item_col].dataType
     schema = (
         f"id {id_type.simpleString()}, item {item_type.simpleString()}, first_word long, n_words long, "
@@ -248,7 +316,7 @@ def search(docs, index, items, id_col, text_col, item_col, score_at_least, overl
             for part in slices(batch, "text", SLICE_BYTES) if index else ():
                 words, hashes = terms_of(part["text"])
                 best: dict[tuple[int, int], tuple] = {}
-                for t, i, *found in leaks(index, words, hashes, score_at_least, overlap):
+                for t, i, *found in leaks(index, words, hashes, *limits):
                     old = best.get((t, i))
                     if old is None or min(found[3:]) > min(old[3:]):
                         best[t, i] = tuple(found)
