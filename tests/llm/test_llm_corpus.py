@@ -249,3 +249,85 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_kept_columns_may_bear_derived_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/", "<p>a</p>", "own", 5)], "page_id long, url string, html string, text string, kept_text int")
+    responses = responses_of_pages(pages).join(pages.select("page_id", "text", "kept_text"), "page_id")
+    out = derive_records(responses, keep=["page_id", "text", "kept_text", "date"]).collect()
+    assert len(out) == 2
+    for r in out:
+        assert (r.page_id, r.kept_text, r.kept_kept_text, r.kept_date) == (1, "own", 5, r.date)
+    assert {r.text for r in out if r.record_type == "conversion"} == {"a"}
+
+
+def test_derivatives_of_a_very_long_page(spark):
+    html = "<p>word</p>" * 400_000
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    out = derive_records(responses_of_pages(pages)).filter("record_type = 'conversion'").first()
+    assert out.text == "\n".join(["word"] * 400_000)
+
+
+def test_a_rare_source_against_many_rows(spark):
+    """A rate of ten thousands is inverted exactly, and its copies are made by several tasks."""
+    docs = spark.range(60_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < 2, "rare").otherwise("big").alias("source"),
+        F.when(F.col("id") == 0, F.repeat(F.lit("long "), 20_000)).otherwise("short").alias("text"),
+    )
+    out = mix_sources(docs, {"rare": 1.0, "big": 2.0}, total=30_000, seed=9)
+    rate = 5000.0
+    got = {r.doc_id: r["count"] for r in out.filter("source = 'rare'").groupBy("doc_id").count().collect()}
+    for i in (0, 1):
+        u = int(hashlib.md5(f"9:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        k, total = 0, 0.0
+        while True:
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            if u < total:
+                break
+            k += 1
+        assert got[i] == k and out.filter(F.col("doc_id") == i).select("copy").distinct().count() == k
+    assert abs(out.filter("source = 'big'").count() - 20_000) < 800
+
+
+def test_poisson_steps_are_the_distribution(spark):
+    from voxtally.llm.mixing import poisson_steps
+
+    rates = [0.0, 0.25, 3.0, 19.5, 21.0, 400.0, 90_000.0]
+    table = poisson_steps(spark.createDataFrame([(str(r), r) for r in rates], "_source string, _rate double"))
+    for row in table.collect():
+        rate = float(row["_source"])
+        mass = [
+            math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate else float(k == 0)
+            for k in range(row["_first"], row["_first"] + len(row["_steps"]))
+        ]
+        assert row["_steps"] == pytest.approx(list(np.cumsum(mass)), abs=1e-9)
+        assert row["_steps"][-1] == pytest.approx(1.0, abs=1e-9) and len(row["_steps"]) < 24 * rate**0.5 + 40
+
+
+def test_code_lengths_decide_the_language(spark):
+    """Each text is coded with each dictionary in plain zstandard calls, piece by piece; the shortest total wins."""
+    import zstandard
+
+    from voxtally.llm import language as lg
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    dictionaries = learn_dictionaries(docs.filter("doc_id % 4 <> 2"))
+    coders = {
+        lang: zstandard.ZstdCompressor(
+            level=lg.LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        )
+        for lang, data in dictionaries.items()
+    }
+    got = {r.doc_id: r.lang_pred for r in predict_language(docs, dictionaries).collect()}
+    checked = 0
+    for r in docs.filter("doc_id % 9 = 2 and text is not null").collect():
+        raw = lg.plain(r.text)
+        if got[r.doc_id] == "und" or not raw:
+            continue
+        pieces = [raw[a : a + lg.PIECE_BYTES] for a in range(0, len(raw), lg.PIECE_BYTES)]
+        sizes = {lang: sum(len(c.compress(p)) for p in pieces) for lang, c in coders.items()}
+        least, second = sorted(sizes.values())[:2]
+        if second > least + 4:  # headers may differ by a few bytes
+            assert sizes[got[r.doc_id]] == least
+            checked += 1
+    assert checked > 80

@@ -130,8 +130,8 @@ def derive_records(responses: DataFrame, keep: list[str] | None = None, with_rec
 
     A null payload counts as empty. A response without an id is named by its URI, date and
     digest. Repeated responses give repeated records of the same ids. A null header list is
-    an empty one; line ends in headers become blanks. An empty table gives no rows.
-    Columns of ``keep`` must not clash with ``DERIVED_SCHEMA``.
+    an empty one; line ends in headers become blanks. An empty table gives no rows. A
+    column of ``keep`` that bears the name of a derived one comes out as ``kept_`` and its name.
     """
     keep = keep or []
 
@@ -152,16 +152,21 @@ def derive_records(responses: DataFrame, keep: list[str] | None = None, with_rec
 
     def built(batch, source, columns):
         derived = [pa.array(columns[f], kinds[f]) for f in names]
-        kept = [batch.column(batch.schema.get_field_index(k)).take(pa.array(source)) for k in keep]
-        return pa.RecordBatch.from_arrays([*kept, *derived], names=[*keep, *names])
+        kept = [batch.column(i).take(pa.array(source)) for i in range(len(keep))]
+        return pa.RecordBatch.from_arrays([*kept, *derived], names=[*shown, *names])
 
     fields = [x.strip().split(" ") for x in DERIVED_SCHEMA.split(",")]
     names = [n for n, _ in fields]
     kind_of = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}
     kinds = {n: kind_of[t] for n, t in fields}
     wanted = [n for n in (x.strip().split(" ")[0] for x in re.sub(r"<.*?>>", "", RESPONSE_SCHEMA).split(","))]
-    narrow = responses.select(*keep, *[c for c in wanted if c not in keep])
-    head = "".join(f"`{k}` {responses.schema[k].dataType.simpleString()}, " for k in keep)
+    shown = []
+    for k in keep:
+        while k in (*names, *shown):
+            k = f"kept_{k}"
+        shown.append(k)
+    narrow = responses.select(*[F.col(k).alias(f"_kept_{i}") for i, k in enumerate(keep)], *wanted)
+    head = "".join(f"`{s}` {responses.schema[k].dataType.simpleString()}, " for s, k in zip(shown, keep, strict=True))
     return narrow.mapInArrow(derive, head + DERIVED_SCHEMA)
 
 
