@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from voxtally.llm import contamination, near
+from voxtally.llm import contamination, near, topk
 from voxtally.llm.components import connected_components
 from voxtally.llm.contamination import build_index, find_leaks, split_item
 from voxtally.llm.near import near_duplicates, shortest_prefix
@@ -137,6 +137,40 @@ def test_top_k_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("sizes", [(2, 1, 1), (3, 2, 2)])
+def test_top_k_in_two_rounds_of_many_tasks(spark, monkeypatch, sizes):
+    for name, n in zip(("SUMMARY_BLOCKS", "SUMMARY_QUERIES", "COPIES"), sizes, strict=True):
+        monkeypatch.setattr(topk, name, n)
+    rng = random.Random(5)
+    vectors = [(i, [rng.randint(-9, 9) / 256 for _ in range(3 + i % 2)]) for i in range(90)]
+    repeated = [(10, [1 / 256] * 3), (11, [9 / 256] * 3), (11, [9 / 256] * 3), (20, []), (7, [])]
+    df = spark.createDataFrame(vectors + repeated, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in exact_top_k(df, F.col("vec_id") % 10 == 0, k=4, block_rows=6, lane_blocks=2).collect())
+    ints = [(i, [int(x * 256) for x in v]) for i, v in vectors + repeated]
+    want = []
+    for q in range(0, 90, 10):
+        mine = min(v for i, v in ints if i == q)
+        best = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for i, v in ints if i != q and len(v) == len(mine))
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best[:4])]
+    assert got == sorted(want)
+
+
+def test_second_round_takes_blocks_that_reach_a_kth_score():
+    import numpy as np
+    import pyarrow as pa
+
+    def packed(*numbers):
+        return np.array(numbers, np.int64).tobytes()
+
+    blocks = pa.Table.from_pylist([{"dim": 2, "at": n, "lowest": packed(-n, 0), "highest": packed(n, 1)} for n in range(6)])
+    # Bounds of the first query are 0 to 5, those of the second 0 to 5 and one more.
+    asked = {"dim": 2, "turn": 7, "ids": packed(1, 2), "terms": packed(1, 0, -1, 1), "kth": packed(4, 4), "done": packed(5)}
+    assert topk.still_open(pa.Table.from_pylist([asked]), blocks, 1) == [(7, 0, 4), (7, 1, 3)]
+    asked["kth"] = packed(9, 9)
+    assert topk.still_open(pa.Table.from_pylist([asked]), blocks, 1) == []
+    assert [b for _, b, _ in topk.best_first(pa.Table.from_pylist([asked]), blocks, 2)] == [5, 4]
+
+
 def test_top_k_small_tables(spark):
     df = spark.createDataFrame([(0, [0.5, 0.5]), (1, [0.25, 0.0]), (2, [1.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in exact_top_k(df, F.col("vec_id") == 0).collect()]
