@@ -193,6 +193,12 @@ def test_leaks_do_not_depend_on_the_split_of_the_benchmark(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(contamination, "INDEX_ITEMS", 7)
     assert len(whole) > 30 and found() == whole
+    # Few items of more bytes than an index takes each have an index of their own.
+    monkeypatch.setattr(contamination, "INDEX_BYTES", 1)
+    bench = bench.limit(2)
+    few = found()
+    monkeypatch.undo()
+    assert few and found() == few
 
 
 def plain_words(text):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import sys
 from collections import Counter
@@ -11,10 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voxtally.llm.words import Words, find_words, is_letter_byte, slices, window_hashes, word_hashes
+from voxtally.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,7 +29,7 @@ SLICE_BYTES = 2 << 20
 SLACK, CELLS = 1e-6, 1 << 22
 #: A term in more than one of so many blocks has its maxima as a row over all blocks beside its list.
 COMMON = 8
-#: An index is sent to every task; beyond these sizes further items go to further indexes.
+#: An index is sent to every task; beyond these sizes items are dealt over several indexes.
 INDEX_ITEMS, INDEX_BYTES = 20_000, 8 << 20
 
 
@@ -81,7 +83,7 @@ class Index:
 class Benchmark:
     """What scores take from the whole benchmark, whichever items share an index."""
 
-    df: Counter
+    df: dict[int, int]
     items: int = 0
     words: int = 0
     reach: int = 0
@@ -95,24 +97,21 @@ def hashed_items(items: list[tuple[object, str, str]]) -> Iterator[tuple]:
             yield name, q, a, np.concatenate((q, a))
 
 
-def measure(parts: list[list[tuple[object, str, str]]]) -> Benchmark:
-    whole = Benchmark(Counter())
-    for _, _, _, words in (row for part in parts for row in hashed_items(part)):
-        whole.df.update(set(words.tolist()))
-        whole.items += 1
-        whole.words += len(words)
-        whole.reach = max(whole.reach, len(words))
-    return whole
+def measure(rows: list[tuple]) -> Benchmark:
+    """The statistics of a benchmark that consists of these hashed items."""
+    df = Counter(t for r in rows for t in set(r[3].tolist()))
+    sizes = [len(r[3]) for r in rows]
+    return Benchmark(df, len(rows), sum(sizes), max(sizes, default=0))
 
 
-def build_index(
-    items: list[tuple[object, str, str]], benchmark: Benchmark | None = None, gram: int = GRAM
-) -> Index | None:
-    """Index of (name, question, answer) triples, by default of a benchmark of just these; items without a word are left out."""
+def build_index(items: list[tuple[object, str, str]], gram: int = GRAM) -> Index | None:
+    """Index of a whole benchmark of (name, question, answer) triples; items without a word are left out."""
     rows = list(hashed_items(items))
-    if not rows:
-        return None
-    bench = benchmark or measure([items])
+    return index_rows(rows, measure(rows), gram) if rows else None
+
+
+def index_rows(rows: list[tuple], bench: Benchmark, gram: int) -> Index:
+    """Index of some hashed items of a benchmark."""
     df, mean = bench.df, bench.words / bench.items
     bags = [Counter(r[3].tolist()) for r in rows]
     terms = np.array(sorted({t for bag in bags for t in bag}), np.uint64)
@@ -277,33 +276,87 @@ def find_leaks(
     Null and empty texts hold nothing; items without a word are left out; equal items,
     null ids and repeated rows are reported each. Empty tables give no rows. Columns of
     ``docs`` other than the two named are not read, so their names cannot clash.
-    The items are gathered on the driver, as test sets are small; one index takes at most
-    ``INDEX_ITEMS`` items and ``INDEX_BYTES`` bytes of text, and each further index
-    is another pass over the documents. Scores and passages do not depend on which items
-    share an index.
+    Items are counted and indexed in tasks. One index takes at most ``INDEX_ITEMS`` items
+    and about ``INDEX_BYTES`` bytes of text; the driver holds one at a time, and each is a pass
+    over the documents. Scores and passages do not depend on which items share an index.
     """
-    columns = [item_col, item_text_col] + ([answer_col] if answer_col else [])
-    triples, parts, size = [], [], 0
-    for row in items.select(*columns).toLocalIterator():
-        if row[1] is None:
-            continue
-        pair = (row[1], row[2] or "") if answer_col else split_item(row[1])
-        length = sum(len(p.encode()) for p in pair)
-        if triples and (len(triples) == INDEX_ITEMS or size + length > INDEX_BYTES):
-            parts.append(triples)
-            triples, size = [], 0
-        triples.append((row[0], *pair))
-        size += length
-    parts.append(triples)
-    benchmark = measure(parts)
     limits = (score_at_least, overlap, short_item)
-    out = [search(docs, build_index(p, benchmark, gram), items, id_col, text_col, item_col, limits) for p in parts]
+    rows = benchmark_rows(items, item_col, item_text_col, answer_col)
+    totals = rows.agg(F.count("*").alias("items"), F.sum("n").alias("words"), F.max("n").alias("reach"), F.sum("size").alias("bytes")).first()
+    if not totals["items"]:
+        return search(docs, None, items, id_col, text_col, item_col, limits)
+    n_parts = min(totals["items"], max(-(-totals["items"] // INDEX_ITEMS), -(-totals["bytes"] // INDEX_BYTES)))
+    bench = Benchmark({}, totals["items"], totals["words"], totals["reach"])
+    indexes = benchmark_indexes(rows, bench, n_parts, gram)
+    out = []
+    for part in range(n_parts):
+        index = Index(**pickle.loads(indexes.filter(F.col("part") == part).first()["index"]))
+        found = search(docs, index, items, id_col, text_col, item_col, limits)
+        # Written where another follows, so that no plan holds two indexes.
+        out.append(found if n_parts == 1 else materialize(found, "leaks-of-part"))
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
     return whole
 
 
+def benchmark_rows(items: DataFrame, item_col: str, text_col: str, answer_col: str | None) -> DataFrame:
+    """Hashed words of every item that has any, written once and numbered from 0 in ``at``."""
+    columns = [items[item_col].alias("item"), items[text_col].alias("text")]
+    columns += [F.coalesce(items[answer_col], F.lit("")).alias("answer")] if answer_col else []
+    given = items.select(*columns).filter("text is not null")
+    kind = given.schema["item"].dataType.simpleString()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, place = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            pairs = zip(texts, batch["answer"].to_pylist(), strict=True) if answer_col else map(split_item, texts)
+            triples = [(i, *pair) for i, pair in enumerate(pairs)]
+            rows = list(hashed_items(triples))
+            sizes = [len(triples[r[0]][1].encode()) + len(triples[r[0]][2].encode()) for r in rows]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "item": batch["item"].take(pa.array([r[0] for r in rows], pa.int64())),
+                    "question": pa.array([r[1].tobytes() for r in rows], pa.binary()),
+                    "answer": pa.array([r[2].tobytes() for r in rows], pa.binary()),
+                    "terms": pa.array([np.unique(r[3]).view(np.int64) for r in rows], pa.list_(pa.int64())),
+                    "n": pa.array([len(r[3]) for r in rows], pa.int64()),
+                    "size": pa.array(sizes, pa.int64()),
+                    "task": pa.array([here] * len(rows), pa.int32()),
+                    "place": pa.array(range(place, place + len(rows)), pa.int64()),
+                }
+            )
+            place += len(rows)
+
+    schema = f"item {kind}, question binary, answer binary, terms array<bigint>, n long, size long, task int, place long"
+    rows = materialize(given.mapInArrow(hashed, schema), "benchmark")
+    # One row per task of the step above.
+    counts = rows.groupBy("task").agg(F.count("*").alias("own"))
+    before = counts.select("task", (F.sum("own").over(W.orderBy("task")) - F.col("own")).alias("before"))
+    return rows.join(before, "task").withColumn("at", F.col("before") + F.col("place"))
+
+
+def benchmark_indexes(rows: DataFrame, bench: Benchmark, n_parts: int, gram: int) -> DataFrame:
+    """(part, index): one index for every ``n_parts``-th item, with the document frequencies of the whole benchmark."""
+    rows = rows.withColumn("part", F.pmod("at", F.lit(n_parts)).cast("int"))
+    terms = rows.select(F.col("part").alias("of_part"), F.explode("terms").alias("term"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = terms.distinct().join(df, "term")
+
+    def build(items: pa.Table, df: pa.Table) -> pa.Table:
+        items = items.sort_by("at")
+        names, parts = items["item"].to_pylist(), items.select(["question", "answer"]).to_pylist()
+        hashed = [(np.frombuffer(p["question"], np.uint64), np.frombuffer(p["answer"], np.uint64)) for p in parts]
+        keys = df["term"].to_numpy().astype(np.int64).view(np.uint64).tolist()
+        own = Benchmark(dict(zip(keys, df["df"].to_pylist(), strict=True)), bench.items, bench.words, bench.reach)
+        index = index_rows([(n, q, a, np.concatenate((q, a))) for n, (q, a) in zip(names, hashed, strict=True)], own, gram)
+        return pa.table({"part": items["part"].slice(0, 1), "index": pa.array([pickle.dumps(vars(index))], pa.binary())})
+
+    made = rows.select("part", "at", "item", "question", "answer").groupBy("part").cogroup(wanted.groupBy("of_part"))
+    return materialize(made.applyInArrow(build, "part int, index binary"), "benchmark-index")
+
+
 def search(docs, index, items, id_col, text_col, item_col, limits) -> DataFrame:
     id_type, item_type = docs.schema[id_col].dataType, items.schema[item_col].dataType
     schema = (
