@@ -251,6 +251,47 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_pipeline_stages_keep_own_columns(spark):
+    """Each stage on its own input with nulls, repeats and columns named as those it makes, against plain loops."""
+    stages = dict(corpus_pipeline.STAGES)
+    names = ["score", "accepted", "lang_pred", "copy", "copies", "shuffle_key", "size", "doc", "row", "key_text", "keep", "text_key", "Copy_of_document"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (-5, "", "en", "src0", 0), (-6, None, None, "src1", 0)], docs.schema)
+    docs = docs.unionByName(odd).unionByName(docs.limit(3))
+    docs = docs.select("*", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names])
+    docs = corpus_pipeline.materialize(docs, "own-columns")
+    given = [r.asDict() for r in docs.collect()]
+    by_row = lambda rows: sorted(map(repr, (tuple(r.values()) for r in rows)))
+    sizes = {s: sum((r["source"] or "") == s for r in given) for s in {r["source"] or "" for r in given}}
+
+    def copies(r):
+        u = int(hashlib.md5(f"17:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        rate, k, total = len(given) / len(sizes) / sizes[r["source"] or ""], 0, 0.0
+        while True:
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            if u < total:
+                return k
+            k += 1
+
+    mixed = stages["mix"](spark, docs, SF)
+    assert mixed.columns == docs.columns
+    assert by_row(r.asDict() for r in mixed.collect()) == by_row(r for r in given for _ in range(copies(r)))
+    for name in ("language", "near_duplicates", "decontaminate"):
+        out = stages[name](spark, docs, SF)
+        assert out.columns == docs.columns
+        kept = by_row(r.asDict() for r in out.collect())
+        assert kept and set(kept) <= set(by_row(given))
+    dealt = stages["shards"](spark, docs, SF).collect()
+    assert len(dealt) == len(given) and all(r.size == len((r.text or "").encode()) + 16 for r in dealt)
+    order = sorted(dealt, key=lambda r: (r.shard, r.slot))
+    keys = [(r.text_crc32, r.doc_id is not None, r.doc_id or 0) for r in order]
+    assert keys == sorted(keys)
+    total, before = sum(r.size for r in order), 0
+    for r in order:
+        assert r.shard == before * 40 // total
+        before += r.size
+
+
 def test_kept_columns_may_bear_derived_names(spark):
     pages = spark.createDataFrame([(1, "http://a.example/", "<p>a</p>", "own", 5)], "page_id long, url string, html string, text string, kept_text int")
     responses = responses_of_pages(pages).join(pages.select("page_id", "text", "kept_text"), "page_id")
