@@ -33,13 +33,27 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("doc"), *row_key("doc_id", text_key()))
 
 
+def apart(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns renamed that bear one of ``names``, and the columns that give them their names back."""
+    new = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            own = c + "_of_document"
+            while own.lower() in {x.lower() for x in [*docs.columns, *new.values()]}:
+                own += "_"
+            new[c] = own
+    return docs.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells: texts without letters and narrow decisions go.
 
     The dictionaries are learned from the labelled documents at hand; a table without
-    labels tells no language, so that all its documents go.
+    labels tells no language, so that all its documents go. Null and empty texts go; equal
+    texts share their fate. Own columns named as those of the prediction are kept as they are.
     """
-    return predict_language(docs, learn_dictionaries(docs)).filter("accepted").select(*docs.columns)
+    docs, own = apart(docs, "lang_pred", "score", "accepted")
+    return predict_language(docs, learn_dictionaries(docs)).filter("accepted").select(*own)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,14 +75,23 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or dropped by Poisson draws so that all sources weigh the same, in random order."""
-    return mix_sources(docs, seed=SEED).select(*docs.columns)
+    """Documents repeated or dropped by Poisson draws so that all sources weigh the same, in random order.
+
+    A null source is that of the empty name. Rows of equal or null id in one source are drawn alike; null and
+    empty texts are documents as any other. Own columns named as those of the draw are kept as they are.
+    """
+    docs, own = apart(docs, "copies", "copy", "shuffle_key")
+    return mix_sources(docs, seed=SEED).select(*own)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the shard they go to and their slot in it; shards have near equal sizes in bytes."""
+    """Documents with the shard they go to and their slot in it; shards have near equal sizes in bytes.
+
+    Adds size, text_crc32, shard and slot, in place of own columns of these names. The order is that of
+    text_crc32 and doc_id, nulls first; a null text counts as an empty one. Equal rows are interchangeable.
+    """
     text = F.coalesce("text", F.lit(""))
-    sized = docs.select("*", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    sized = docs.drop("size", "text_crc32").select("*", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     return shard_by_splitters(sized, ["text_crc32", "doc_id"], "size", N_SHARDS)
 
 
@@ -85,7 +108,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written and read again for the next."""
+    """All stages over the documents of ``sf_dir``, each written and read again for the next.
+
+    Documents with null or empty text, or null labels throughout, go in the first stage, so that an empty
+    table, or one without labels, gives no rows. Extra columns are carried; see the stages for names that clash.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
