@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from test_tasks import LOG, T0, TASK_LOG_SCHEMA, feed, stream  # noqa: F401  the fixture comes along
 from voxtally.operators import tasks
-from voxtally.streaming import snapshots, tasks as live
+from voxtally.plans import driver_queries
+from voxtally.streaming import expiry, snapshots, tasks as live
 
 HOUR = timedelta(hours=1)
 
@@ -129,3 +130,35 @@ def test_latest_completed_snapshot_after_restarts(spark, feed, tmp_path, rows):
     before = snapshots.versions(spark, out)
     live.run_latest_completed(stream(spark, path), out, point).awaitTermination()
     assert snapshots.versions(spark, out) == before
+
+
+def test_number_of_batches_does_not_grow_with_the_files(spark, tmp_path):
+    rows = [(i, T0 + i * HOUR, i % 7, "purchase" if i % 3 else "view", 1.0, "{}") for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    events.repartition(8).write.parquet(str(tmp_path / "events.parquet"))
+    with live.setting(spark, "spark.sql.files.openCostInBytes", str(1 << 30)):  # a task a file, as for large ones
+        stream_, _ = driver_queries._arrivals(spark, str(tmp_path))
+    sizes = []
+    stream_.writeStream.foreachBatch(lambda batch, i: sizes.append(batch.count())).option(
+        "checkpointLocation", str(tmp_path / "c")
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert sum(sizes) == len(rows) and 4 <= len(sizes) < 8
+
+
+def test_rows_older_than_another_of_their_task_do_not_reach_the_store(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(expiry, "FOLD_ROWS", 4)
+    log = [("a", 5, "x"), ("b", None, "y"), ("a", 7, "z"), (None, 3, "n"), (None, 4, "m"), ("a", None, "t"), ("a", 7, "w"), ("b", -2, "v"), ("c", 0, "u"), ("a", 6, "s")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("task_id", "us", "row"), r, strict=True)) for r in log[i : i + 3]], pa.schema({"task_id": pa.string(), "us": pa.int64(), "row": pa.string()})) for i in range(0, len(log), 3)]
+    kept_rows = "".join(sorted(x for b in expiry._without_older(iter([*batches, batches[0].slice(0, 0)])) for x in b["row"].to_pylist()))
+    assert kept_rows == "mtuvwyz"
+    assert list(expiry._without_older(iter([]))) == [] == list(expiry._without_older(iter([batches[0].slice(0, 0)])))
+
+
+def test_a_restart_that_keeps_longer_outdoes_older_timers(spark, feed, tmp_path):  # noqa: F811
+    out, point = str(tmp_path / "o"), str(tmp_path / "c")
+    for grace, log in ((0, ("done", T0)), (8 * 3600, ("late", T0 + 4 * HOUR)), (8 * 3600, ("later", T0 + 12 * HOUR))):
+        path = feed([(log[0], "s", "completed", None, log[1])], 0)
+        live.run_expiring_tasks(stream(spark, path), out, point, "1 hour", grace_s=grace).awaitTermination()
+        assert ("done" in kept(spark, point, "finished")) == (log[0] != "later")
