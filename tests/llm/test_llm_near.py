@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from voxtally.llm import contamination, near, topk
@@ -87,6 +88,29 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(31)}, 99: 99, 100: 99}
 
 
+def test_edges_inside_a_component_are_read_once(spark, monkeypatch):
+    """A long path whose ids do not follow it, and a dense group: rounds after the first hold few edges."""
+    from voxtally.llm import components
+
+    written = []
+    kept = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, purpose: (lambda x: (written.append((purpose, x.count())), x)[1])(kept(df, purpose)))
+    ids = list(range(100))
+    random.Random(3).shuffle(ids)
+    path = list(zip(ids, ids[1:], strict=False))
+    dense = [(200 + i, 200 + j) for i in range(40) for j in range(i)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(path + dense, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(100), 0), **dict.fromkeys(range(200, 240), 200)}
+    edges = [n for purpose, n in written if purpose == "edges"]
+    assert edges[0] == len(path + dense) and all(n <= len(path) / 2 for n in edges[1:]) and len(edges) <= 8
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lowest_name_below_each_root():
+    names, root = np.array([50, 7, 30, 9]), np.array([0, 1, 0, 1])
+    assert near.lowest_of(names, root).tolist() == [30, 7, 30, 7]
+
+
 ITEMS = [
     (0, "What is the capital of the small northern country? The capital is called Marensburg today."),
     (1, "Which river runs through seven green valleys and ends in the salt lake? It is the Ondra."),

@@ -94,6 +94,13 @@ def agreeing(left: np.ndarray, right: np.ndarray, least_equal: float) -> np.ndar
     return root
 
 
+def lowest_of(names: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """For each text the smallest name below its root, so that most trees and blocks tell the same edges of a large group."""
+    lowest = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, root, names)
+    return lowest[root]
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray], same: bool, similarity: float):
     """For each i on the left, the j on the right of exact Jaccard similarity of at least ``similarity``.
 
@@ -247,9 +254,10 @@ def candidates(nodes: DataFrame, trees: int, depth: int, deepest: int, least_equ
                 order = np.argsort(block, kind="stable")
                 names, rows, n = names[order], rows[order], int((block == one).sum())
                 root = agreeing(rows[:n], rows[n:], least_equal)
-            joined_ = np.flatnonzero(root != np.arange(len(root)))
+            lowest = lowest_of(names, root)
+            joined_ = np.flatnonzero(names != lowest)
             if len(joined_):
-                yield pa.RecordBatch.from_pydict({"a": names[joined_], "b": names[root[joined_]]})
+                yield pa.RecordBatch.from_pydict({"a": names[joined_], "b": lowest[joined_]})
 
     return dealt.mapInArrow(walk, "a long, b long").distinct()
 
@@ -302,6 +310,6 @@ def exact_links(near: DataFrame, rows: DataFrame, size: int, similarity: float)
                     root[np.isin(root, apart)] = apart.min()
             told = np.flatnonzero(links)
             if len(told):
-                yield pa.RecordBatch.from_pydict({"node": names[told], "other": names[root[told]], "links": links[told]})
+                yield pa.RecordBatch.from_pydict({"node": names[told], "other": lowest_of(names, root)[told], "links": links[told]})
 
     return dealt.mapInArrow(compare, "node long, other long, links long")
